@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webframe.session import table
-from webframe.llm import decontamination, language_id, pieces, sharding, simhash, substring_dedup
+from webframe.llm import decontamination, language_id, pieces, quality, sharding, simhash, substring_dedup
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, keep=("doc_id", "held_out"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("host", "text_hash")
+
+
 def tokenizer_model(name: str = "piece_bpe_32k.model") -> bytes:
     """The bytes of a public tokenizer's file, read on the driver: executors need no such path."""
     import public_tokenizers
@@ -53,6 +57,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_sharding": op4_sharding,
     "op6_language_id": op6_language_id,
+    "op9_quality_rules": op9_quality_rules,
     "op10_sentencepiece": op10_sentencepiece,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_quality_rules": f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM d),
+windows AS (
+  SELECT doc_id, i, words[i:i + 4] AS g FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 4)) AS i FROM w WHERE len(words) >= 5)
+),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2, 3, 4]) AS k) GROUP BY doc_id),
+lines AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
+real AS (SELECT * FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM real GROUP BY doc_id),
+norm AS (SELECT doc_id, source, text, trim(regexp_replace(lower(line), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS line FROM real),
+hosts AS (SELECT source, count(DISTINCT text) AS n_host FROM d GROUP BY source),
+often AS (
+  SELECT source, line FROM (SELECT source, line, count(DISTINCT text) AS n FROM norm GROUP BY source, line) JOIN hosts USING (source)
+  WHERE n >= {quality.MIN_DOCS} AND n > {quality.SHARE} * n_host
+),
+lost AS (SELECT doc_id, sum(length(line) - length(replace(line, ' ', '')) + 1) AS n FROM norm SEMI JOIN often USING (source, line) GROUP BY doc_id),
+counts AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(least(coalesce(lost.n, 0), len(words)) AS BIGINT) AS n_boilerplate_words
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN lost USING (doc_id)
+)
+SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words)
+    AND n_words - n_boilerplate_words >= {quality.KEEP} * n_words AS kept
+FROM counts
+""",
+}
