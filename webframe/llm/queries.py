@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webframe.session import table
-from webframe.llm import decontamination, language_id, pieces, quality, sharding, simhash, substring_dedup
+from webframe.llm import chat, decontamination, language_id, pieces, quality, sharding, simhash, substring_dedup, url_filter, warc
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)))
@@ -35,6 +39,27 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, keep=("doc_id", "held_out"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    full = F.col("type") == "response"
+    rows = warc.read(spark, folder).withColumn("digest", F.when(full, F.sha1("payload")).otherwise(F.col("digest")))
+    rows = rows.withColumn("payload_length", F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length"))).drop("payload", "http_head")
+    return warc.transactions(rows).select(
+        F.col("response.capture_key").cast("long").alias("page_id"),
+        F.col("response.payload_length").alias("payload_bytes"),
+        F.col("response.digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        F.col("response.refers_to_key").cast("long").alias("refers_to"),
+        F.col("request.uri").alias("url"),
+        F.size("metadata").alias("n_metadata"),
+    )
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(chat.turns_as_messages(table(spark, sf_dir, "conversations")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("host", "text_hash")
 
@@ -56,11 +81,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_simhash": op3_simhash,
     "op4_sharding": op4_sharding,
+    "op5_url_filter": op5_url_filter,
     "op6_language_id": op6_language_id,
+    "op7_warc": op7_warc,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_quality_rules": op9_quality_rules,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op7_warc": """
+WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, url, CAST(octet_length(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS newest FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < newest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < newest THEN newest END AS refers_to, url, CAST(1 AS INTEGER) AS n_metadata
+FROM m
+""",
+    "op8_chat_formatting": chat.ORACLE_SQL,
     "op9_quality_rules": f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM d),
