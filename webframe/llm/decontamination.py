@@ -150,33 +150,57 @@ class Index:
         return [(t, i, len({r[0] for r in rows}), min(r[1] for r in rows), min(r[2] for r in rows), max(r[3] for r in rows)) for (t, i), rows in sorted(found.items())]
 
 
-def _block(docs: DataFrame, items: list[tuple[int, str | None]], id_col: str, text_col: str) -> DataFrame:
-    kind = dict(docs.dtypes)[id_col]
-    index = docs.sparkSession.sparkContext.broadcast(Index(items))  # at most about BLOCK_CHARS characters of items
-    names = [id_col, "item_id", "n_windows", "edits", "begin", "end"]
+def _blocks(benchmark: DataFrame, item_col: str) -> Iterator[list[tuple[int, str | None]]]:
+    """The items in parts of about BLOCK_CHARS characters, each collected by itself."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col("text").alias("t"))
+    blocks = max(1, -(-(items.agg(F.sum(F.length("t"))).first()[0] or 0) // BLOCK_CHARS))
+    for k in range(blocks):
+        part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else items
+        yield [(r["i"], r["t"]) for r in part.collect()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, size, at = [normal(t) for t in batch.column(1).to_pylist()], 0, 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size > PIECE_CHARS or i == len(texts) - 1:
-                    rows = index.value.search(texts[at : i + 1])
-                    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                    ids = batch.column(0).take(pa.array([at + r for r in cols[0]], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(list(c), pa.int64()) for c in cols[1:])], names=names)
-                    at, size = i + 1, 0
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, item_id long, n_windows long, edits long, begin long, end long")
+def _searched(index: Index, column: pa.Array) -> Iterator[tuple[int, int, list]]:
+    """(from, to, hits) for runs of values of about PIECE_CHARS characters."""
+    texts, size, at = [normal(t) for t in column.to_pylist()], 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size > PIECE_CHARS or i == len(texts) - 1:
+            yield at, i + 1, index.search(texts[at : i + 1])
+            at, size = i + 1, 0
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row for each document and benchmark item of which the document holds a window or more."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col("text").alias("t"))
-    blocks = max(1, -(-(items.agg(F.sum(F.length("t"))).first()[0] or 0) // BLOCK_CHARS))
+    kind = dict(docs.dtypes)[id_col]
+    names = [id_col, "item_id", "n_windows", "edits", "begin", "end"]
     out = None
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else items
-        found = _block(docs, [(r["i"], r["t"]) for r in part.collect()], id_col, text_col)
+    for items in _blocks(benchmark, item_col):
+        index = docs.sparkSession.sparkContext.broadcast(Index(items))  # of about BLOCK_CHARS characters
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at, _, rows in _searched(index.value, batch.column(1)):
+                    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                    ids = batch.column(0).take(pa.array([at + r for r in cols[0]], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(list(c), pa.int64()) for c in cols[1:])], names=names)
+
+        found = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, item_id long, n_windows long, edits long, begin long, end long")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """The rows of ``docs`` that hold no window of any item, unchanged."""
+    place = docs.columns.index(text_col)
+    for items in _blocks(benchmark, item_col):
+        index = docs.sparkSession.sparkContext.broadcast(Index(items))
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for at, _, rows in _searched(index.value, batch.column(place)):
+                    keep[[at + r[0] for r in rows]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

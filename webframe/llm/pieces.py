@@ -148,11 +148,13 @@ def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string, n_source_bytes long"
 
 
-def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """One row per document: digests of the ids, the decoded text and the source spans; with ``keep_ids`` also
-    ``ids``, ``span_begin`` and ``span_end``. The map is one pass without a shuffle."""
+def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", keep: str = "digests") -> DataFrame:
+    """One row per document: digests of the ids, the decoded text and the source spans; with ``keep="ids"`` also
+    ``ids``, and with ``keep="all"`` the text decoded, ``span_begin`` and ``span_end`` too. One pass without a shuffle."""
     kind = dict(docs.dtypes)[id_col]
-    extra = ", ids array<int>, span_begin array<long>, span_end array<long>, decoded string" if keep_ids else ""
+    more = {"digests": [], "ids": ["ids array<int>"], "all": ["ids array<int>", "span_begin array<long>", "span_end array<long>", "decoded string"]}[keep]
+    names = [id_col, *(c.strip().split(" ")[0] for c in SCHEMA.split(",")), *(c.split(" ")[0] for c in more)]
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model)
@@ -162,20 +164,18 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                 texts = [t.decode("utf-8", "replace") for t in raw[a:b]]
                 all_ids = e.encode(texts)
                 decoded = e.library.decode(all_ids)
-                rows: list[list] = [[] for _ in range(9)]
+                rows: list[list] = [[] for _ in names[1:]]
                 for text, ids, back in zip(texts, all_ids, decoded, strict=True):
                     x = np.array(ids, np.uint32)
                     span = e.spans(text.encode(), x)
                     values = [len(x), hashlib.sha256(x.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), hashlib.sha256(span.astype("<u4").tobytes()).hexdigest(), len(text.encode())]
-                    if keep_ids:
-                        values += [ids, span[:, 0].tolist(), span[:, 1].tolist(), back]
+                    if more:
+                        values += [x.astype(np.int32), span[:, 0], span[:, 1], back]
                     for column, v in zip(rows, values, strict=False):
                         column.append(v)
-                types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()][: 9 if keep_ids else 5]
-                names = [c.strip().split(" ")[0] for c in (SCHEMA + extra).split(",")]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, t) for c, t in zip(rows, types, strict=False))], names=[id_col, *names])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, t) for c, t in zip(rows, types, strict=False))], names=names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}{extra}")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {", ".join([SCHEMA, *more])}")
 
 
 def decode(tokens: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

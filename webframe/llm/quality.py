@@ -20,11 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webframe.session import cut
+
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 REPEAT_WIDTH = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 MIN_DOCS, SHARE, KEEP = 20, 0.01, 0.5
+SENT_ROWS = 500_000
 
 
 def _let(value: Column, body) -> Column:
@@ -85,8 +88,8 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
     """(id, host, text hash, place, line hash, words): a row for each line with a word."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     line = F.posexplode(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(F.lower(x), BLANK + "+", " "))), lambda x: x != ""))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.xxhash64(text).alias("text_hash"), line.alias("place", "line"))
-    return rows.select("id", "host", "text_hash", "place", F.xxhash64("line").alias("line_hash"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).cast("long").alias("words"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.xxhash64(text).alias("text_hash"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), line.alias("place", "line"))
+    return rows.select("id", "host", "text_hash", "n_words", "place", F.xxhash64("line").alias("line_hash"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).cast("long").alias("words"))
 
 
 def frequent_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
@@ -100,20 +103,34 @@ def frequent_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, m
     return joined.filter(F.col("n") > F.lit(share) * F.col("n_host")).select(counts["host"].alias("f_host"), F.col("line_hash").alias("f_hash"))
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """The rows of ``docs`` that are kept, unchanged."""
-    judged = judge(docs, id_col, text_col, host_col, **limits).filter("kept").select(F.col(id_col).alias("__id"), F.col("host").alias("__host"), F.col("text_hash").alias("__hash")).distinct()
-    same = docs[id_col].eqNullSafe(judged["__id"]) & docs[host_col].eqNullSafe(judged["__host"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == judged["__hash"])
-    return docs.join(judged, same, "left_semi")
+def _lost(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int, share: float) -> DataFrame:
+    """(l_id, l_host, l_hash, lost, l_words): the boilerplate words of rows that have any."""
+    lines = _lines(docs, id_col, text_col, host_col)
+    often = frequent_lines(docs, id_col, text_col, host_col, min_docs, share)
+    met = lines.join(often, lines["host"].eqNullSafe(often["f_host"]) & (lines["line_hash"] == often["f_hash"]))
+    met = met.select("id", "host", "text_hash", "place", "words", "n_words").distinct()  # rows that are repeated lose the same lines
+    sums = met.groupBy("id", "host", "text_hash").agg(F.sum("words").alias("lost"), F.max("n_words").alias("l_words"))
+    return sums.select(F.col("id").alias("l_id"), F.col("host").alias("l_host"), F.col("text_hash").alias("l_hash"), "lost", "l_words")
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, keep: float = KEEP) -> DataFrame:
+    """The rows of ``docs`` that are kept, unchanged.
+
+    Rules of one document need no exchange. The depleted ones are written first; they are sent to the documents if they
+    are few (at most SENT_ROWS of three short columns), and otherwise meet them in a shuffled join.
+    """
+    gone = cut(_lost(docs, id_col, text_col, host_col, min_docs, share).filter(F.col("l_words") - F.col("lost") < F.lit(keep) * F.col("l_words")).drop("lost", "l_words"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    words = words_of(text)
+    good = docs.filter(_let(words, lambda w: (F.size(w) >= MIN_WORDS) & (100 * repeat_words(w) <= MAX_REPEAT_PERCENT * F.size(w))))
+    side = F.broadcast(gone) if gone.count() <= SENT_ROWS else gone
+    same = good[id_col].eqNullSafe(gone["l_id"]) & good[host_col].eqNullSafe(gone["l_host"]) & (F.xxhash64(F.coalesce(good[text_col], F.lit(""))) == gone["l_hash"])
+    return good.join(side, same, "left_anti")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, keep: float = KEEP) -> DataFrame:
     """One row per row of ``docs``: the counts, n_boilerplate_words, base_failed and kept."""
-    lines = _lines(docs, id_col, text_col, host_col)
-    often = frequent_lines(docs, id_col, text_col, host_col, min_docs, share)
-    met = lines.join(often, lines["host"].eqNullSafe(often["f_host"]) & (lines["line_hash"] == often["f_hash"]))
-    met = met.select("id", "host", "text_hash", "place", "words").distinct()  # rows that are repeated lose the same lines
-    lost = met.groupBy("id", "host", "text_hash").agg(F.sum("words").alias("lost")).select(F.col("id").alias("l_id"), F.col("host").alias("l_host"), F.col("text_hash").alias("l_hash"), "lost")
+    lost = _lost(docs, id_col, text_col, host_col, min_docs, share).drop("l_words")
     rows = base(docs, id_col, text_col, host_col)
     same = rows["id"].eqNullSafe(lost["l_id"]) & rows["host"].eqNullSafe(lost["l_host"]) & (rows["text_hash"] == lost["l_hash"])
     joined = rows.join(lost, same, "left").drop("l_id", "l_host", "l_hash")
