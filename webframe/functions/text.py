@@ -32,11 +32,11 @@ def parse_refresh(text: Column) -> Column:
 
 
 def format_size(n: Column) -> Column:
-    """B, KiB, MiB, GiB or TiB with one decimal."""
+    """B, KiB, MiB, GiB or TiB with one decimal; exact halves go to the even digit."""
     units = ("B", "KiB", "MiB", "GiB", "TiB")
-    out = F.format_string("%.1f TiB", n / 1024.0**4)
+    out = F.format_string("%.1f TiB", F.bround(n / 1024.0**4, 1))
     for k in (3, 2, 1, 0):
-        out = F.when((n > -(1024 ** (k + 1))) & (n < 1024 ** (k + 1)), F.format_string(f"%.1f {units[k]}", n / 1024.0**k)).otherwise(out)
+        out = F.when((n > -(1024 ** (k + 1))) & (n < 1024 ** (k + 1)), F.format_string(f"%.1f {units[k]}", F.bround(n / 1024.0**k, 1))).otherwise(out)
     return out
 
 

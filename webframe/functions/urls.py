@@ -228,8 +228,17 @@ def hostname_with_port(url: Column) -> Column:
 
 def canonical(url: Column) -> Column:
     """The URL without its fragment and default port; a missing path is ``/``."""
-    q = query(url)
-    return F.concat(scheme(url), F.lit("://"), hostname_with_port(url), path(url), F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+
+    def parts(u: Column) -> Column:
+        tail = let(query(u), lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+        return F.concat(scheme(u), F.lit("://"), hostname_with_port(u), path(u), tail)
+
+    return let(url, parts)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def origin(url: Column) -> Column:
@@ -238,7 +247,7 @@ def origin(url: Column) -> Column:
 
 def join_plain(base: Column, link: Column) -> Column:
     """A root-relative, scheme-relative or absolute link against a plain base; null for other links."""
-    absolute = link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:")
+    absolute = F.rlike(link, F.lit("^[a-zA-Z][a-zA-Z0-9+.-]*:"))
     return F.when(absolute, link).when(link.startswith("//"), F.concat(scheme(base), F.lit(":"), link)).when(link.startswith("/"), F.concat(origin(base), link))
 
 

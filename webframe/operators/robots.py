@@ -41,7 +41,7 @@ def allowed(urls: DataFrame, rule_rows: DataFrame, agent: str, url_col: str = "u
     joined = urls.withColumn("__origin", U.origin(F.col(url_col))).join(use, F.col("__origin") == F.col("__key"), "left")
     q = U.query(F.col(url_col))
     target = F.concat(U.path(F.col(url_col)), F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
-    fits = F.filter("__rules", lambda r: target.rlike(r["re"]))
+    fits = F.filter("__rules", lambda r: F.rlike(target, r["re"]))
     best = F.array_max(F.transform(fits, lambda r: F.struct(r["n"], r["allow"])))
     return joined.withColumn("robots_ok", F.coalesce(best["allow"], F.lit(True)) | (U.path(F.col(url_col)) == "/robots.txt")).drop("__origin", "__key", "__rules")
 

@@ -40,7 +40,7 @@ def write_cdx(index: DataFrame, path: str, file_col: str = "file") -> None:
         first = True
         for batch in batches:
             if first and batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([CDX_HEADER])], names=["line"])
+                yield pa.RecordBatch.from_arrays([pa.array([CDX_HEADER], batch.schema.field(0).type)], schema=batch.schema)
                 first = False
             yield batch
 
