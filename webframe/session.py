@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints/webframe"
 
@@ -42,6 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Estimates from here on are Catalyst's default for frames whose size it doesn't know, not sizes.
+_UNKNOWN_BYTES = 1 << 52
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a frame (file sizes for scans); no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate of a frame (file sizes for scans). Where it has none, one pass adds up the rows' strings."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < _UNKNOWN_BYTES:
+        return size
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    row = F.lit(8 * len(df.columns)) + sum(texts, F.lit(0))
+    return int(df.agg(F.sum(row.cast("long"))).first()[0] or 0)
