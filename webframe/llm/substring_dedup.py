@@ -56,7 +56,7 @@ def id_ranges(docs: DataFrame, id_col: str, batches: int, spread: Column) -> Col
 def _pack(batch: int, bucket: np.ndarray, keys: np.ndarray) -> pa.Table:
     """One row for each bucket; ``bucket`` is sorted."""
     found, at = np.unique(bucket, return_index=True)
-    ends = np.append(at[1:], len(bucket))
+    ends = np.append(at[1:], len(bucket))[: len(at)]  # none of none
     blobs = [keys[a:b].tobytes() for a, b in zip(at, ends, strict=True)]
     return pa.table([pa.array(found.astype(np.int32)), pa.array(np.full(len(found), batch, np.int32)), pa.array(blobs, pa.binary())], schema=_PACKED_ARROW)
 
