@@ -29,7 +29,7 @@ def test_rotation_starts_a_file_once_the_last_is_over_its_size(spark):
 def test_merged_samples(spark):
     feeds = spark.createDataFrame([("a", t, 10) for t in (0.0, 0.1, 0.2, 0.3, 0.9)], "k string, t double, n long").withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
     found = sorted((round(r["seconds"], 6), r["n"]) for r in S.merge_samples(feeds, "k", "ts", "n").collect())
-    assert found == [(0.2, 30), (0.6, 20)]
+    assert found == [(0.2, 30), (0.7, 20)]  # a sample begins where the last one ended, at 0.2
 
 
 def test_insert_ignores_known_and_repeated_urls(spark):
