@@ -77,19 +77,28 @@ def base(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFram
         "host",
         F.xxhash64("text").alias("text_hash"),
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", BLANK + "+", "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("words")).alias("n_repeat_words"),
     )
 
 
+def _line_words(line: Column) -> Column:
+    """The words of a normalised line, which single spaces part."""
+    return (F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1).cast("long")
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """(id, host, text hash, place, line hash, words): a row for each line with a word."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    line = F.posexplode(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(F.lower(x), BLANK + "+", " "))), lambda x: x != ""))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.xxhash64(text).alias("text_hash"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), line.alias("place", "line"))
-    return rows.select("id", "host", "text_hash", "n_words", "place", F.xxhash64("line").alias("line_hash"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).cast("long").alias("words"))
+    line = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(F.lower(x), BLANK + "+", " "))), lambda x: x != "")
+    # what the whole text gives is computed below the generator: beside it, it would be computed again for every line
+    whole = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.xxhash64(text).alias("text_hash"), line.alias("lines"))
+    # the outer form keeps Catalyst from testing the size of the lines first, which would compute them twice
+    n_words = F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + _line_words(x))
+    rows = whole.withColumn("n_words", n_words).select("id", "host", "text_hash", "n_words", F.posexplode_outer("lines").alias("place", "line")).filter(F.col("line").isNotNull())
+    return rows.select("id", "host", "text_hash", "n_words", "place", F.xxhash64("line").alias("line_hash"), _line_words(F.col("line")).alias("words"))
 
 
 def frequent_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
@@ -103,9 +112,11 @@ def frequent_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, m
     return joined.filter(F.col("n") > F.lit(share) * F.col("n_host")).select(counts["host"].alias("f_host"), F.col("line_hash").alias("f_hash"))
 
 
-def _lost(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int, share: float) -> DataFrame:
-    """(l_id, l_host, l_hash, lost, l_words): the boilerplate words of rows that have any."""
+def _lost(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int, share: float, total: bool = True) -> DataFrame:
+    """(l_id, l_host, l_hash, lost, l_words): the boilerplate words of rows that have any, and if ``total`` all words."""
     lines = _lines(docs, id_col, text_col, host_col)
+    if not total:
+        lines = lines.withColumn("n_words", F.lit(None).cast("long"))
     often = frequent_lines(docs, id_col, text_col, host_col, min_docs, share)
     met = lines.join(often, lines["host"].eqNullSafe(often["f_host"]) & (lines["line_hash"] == often["f_hash"]))
     met = met.select("id", "host", "text_hash", "place", "words", "n_words").distinct()  # rows that are repeated lose the same lines
@@ -130,7 +141,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, keep: float = KEEP) -> DataFrame:
     """One row per row of ``docs``: the counts, n_boilerplate_words, base_failed and kept."""
-    lost = _lost(docs, id_col, text_col, host_col, min_docs, share).drop("l_words")
+    lost = _lost(docs, id_col, text_col, host_col, min_docs, share, total=False).drop("l_words")
     rows = base(docs, id_col, text_col, host_col)
     same = rows["id"].eqNullSafe(lost["l_id"]) & rows["host"].eqNullSafe(lost["l_host"]) & (rows["text_hash"] == lost["l_hash"])
     joined = rows.join(lost, same, "left").drop("l_id", "l_host", "l_hash")
