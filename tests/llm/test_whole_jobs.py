@@ -1,8 +1,7 @@
 """Cases in which an operator once did less than its whole job, against brute force."""
 
 import random
-
-from pyspark.sql import functions as F
+import re
 
 
 def shingle_set(text):
@@ -56,3 +55,81 @@ def test_near_copies_of_the_pipeline(spark):
     found = sorted((r["doc_id"], r["text"]) for r in P.simhash_near_dedup(spark, docs.repartition(3), "").collect())
     want = [rows[i] for i in brute_near_copies(rows)]
     assert found == sorted(want) and len(want) < len(rows) - 30
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def norm(line):
+    return " ".join(re.findall(r"[^\x20\x09-\x0D]+", line.lower()))
+
+
+def brute_lines(rows, min_docs, share, keep=0.5):
+    """(id, text, source) of the rows that stay, without their frequent lines; base rules are taken as passed."""
+    held, texts, out = {}, {}, []
+    for i, text, host in rows:
+        texts.setdefault(host, set()).add(text)
+        for line in text.split("\n"):
+            held.setdefault((host, norm(line)), set()).add(text)
+    for i, text, host in rows:
+        often = lambda x: norm(x) and min_docs <= len(held[host, norm(x)]) > share * len(texts[host])  # noqa: B023, E731
+        lines = text.split("\n")
+        words = [len(norm(x).split()) for x in lines]
+        if sum(words) - sum(n for n, x in zip(words, lines) if often(x)) >= keep * sum(words):
+            out.append((i, "\n".join(x for x in lines if not often(x)), host))
+    return out
+
+
+def line_rows(seed=2):
+    rng = random.Random(seed)
+    own = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for i in range(90):
+        host = None if i % 3 == 0 else "h"
+        lines = [own(12), "", own(rng.randint(1, 9))]
+        if i % 2:
+            lines.insert(rng.randint(0, 3), rng.choice(["Accept all  cookies", "ACCEPT all cookies\t", " accept all cookies"]))
+        if i % 10 == 5:
+            lines.append("Accept all cookies\n" * 30)
+        rows.append((i, "\n".join(lines), host))
+    return [*rows, rows[1], rows[3]]
+
+
+def test_boilerplate_lines_leave_kept_texts(spark):
+    import corpus_pipeline as P
+    from webframe.llm import quality
+
+    rows = line_rows()
+    docs = spark.createDataFrame([(i, t, None, h, -1) for i, t, h in rows], DOCS).repartition(3)
+    want = brute_lines(rows, 6, 0.0)
+    found = quality.remove_lines(docs, min_docs=6, share=0.0).collect()
+    assert sorted((r["doc_id"], r["text"], r["source"] or "") for r in found) == sorted((i, t, h or "") for i, t, h in want)
+    assert len(want) < len(rows) and {i: t for i, t, _ in want} != {i: t for i, t, _ in rows}
+    staged = P.quality_rules(spark, docs, "").collect()
+    assert not [r for r in staged if r["source"] == "h" and "cookies" in r["text"].lower()]
+    assert all(r["n_chars"] in (-1, len(r["text"])) for r in staged) and any(r["n_chars"] > 0 for r in staged)
+
+
+def test_decontamination_of_excerpts_at_every_offset(spark):
+    from webframe.llm import decontamination as D
+
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    item = text(60)
+    long = D.CLOSE_WINDOW + D.CLOSE_STRIDE - 1
+    rows = [(k, text(20) + " x" + item[k : k + long] + "x " + text(20)) for k in range(len(item) - long + 1)]
+    clear = [(10**6 + k, text(60)) for k in range(50)]
+    docs = spark.createDataFrame(rows + clear, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in D.contaminated(docs, bench).collect()) == [i for i, _ in rows]
+    assert sorted(r["doc_id"] for r in D.clean(docs, bench).collect()) == [i for i, _ in clear]
+
+
+def test_decontamination_of_short_items(spark):
+    from webframe.llm import decontamination as D
+
+    bench = spark.createDataFrame([(1, "What is  2+2?"), (2, "Paris"), (3, "???"), (4, "(a b)"), (5, "a question of 23 chars.")], "item_id long, text string")
+    rows = [(1, "so: what IS 2+2?"), (2, "comparison"), (3, "in Paris."), (4, "what? ???"), (5, "x(a b)y"), (6, "a b"), (7, "parisian"), (8, "oh, a question of 23 chars. Paris")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r["doc_id"], r["item_id"], r["n_windows"], r["edits"]) for r in D.contaminated(docs, bench).collect())
+    assert found == [(1, 1, 1, 0), (3, 2, 1, 0), (5, 4, 1, 0), (8, 2, 1, 0), (8, 5, 1, 0)]

@@ -12,7 +12,7 @@ execution splits where a line is in a third of all rows.
 
 Defined results: a null text has no words (base_failed); a null source is a host of its own; a document without words is
 rejected; repeated rows are judged alike and all stay in the result; extra columns are ignored by :func:`judge` and kept
-by :func:`keep_good`; an empty table gives an empty result.
+by :func:`keep_good` and :func:`remove_lines`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -89,10 +89,14 @@ def _line_words(line: Column) -> Column:
     return (F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1).cast("long")
 
 
+def _normal(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), BLANK + "+", " "))
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """(id, host, text hash, place, line hash, words): a row for each line with a word."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    line = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(F.lower(x), BLANK + "+", " "))), lambda x: x != "")
+    line = F.filter(F.transform(F.split(text, "\n"), _normal), lambda x: x != "")
     # what the whole text gives is computed below the generator: beside it, it would be computed again for every line
     whole = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.xxhash64(text).alias("text_hash"), line.alias("lines"))
     # the outer form keeps Catalyst from testing the size of the lines first, which would compute them twice
@@ -113,35 +117,55 @@ def frequent_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, m
 
 
 def _lost(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int, share: float, total: bool = True) -> DataFrame:
-    """(l_id, l_host, l_hash, lost, l_words): the boilerplate words of rows that have any, and if ``total`` all words."""
+    """(l_id, l_host, l_hash, lost, l_words, l_lines): the boilerplate words of rows that have any, if ``total`` all words,
+    and the hashes of the lines."""
     lines = _lines(docs, id_col, text_col, host_col)
     if not total:
         lines = lines.withColumn("n_words", F.lit(None).cast("long"))
     often = frequent_lines(docs, id_col, text_col, host_col, min_docs, share)
     met = lines.join(often, lines["host"].eqNullSafe(often["f_host"]) & (lines["line_hash"] == often["f_hash"]))
-    met = met.select("id", "host", "text_hash", "place", "words", "n_words").distinct()  # rows that are repeated lose the same lines
-    sums = met.groupBy("id", "host", "text_hash").agg(F.sum("words").alias("lost"), F.max("n_words").alias("l_words"))
-    return sums.select(F.col("id").alias("l_id"), F.col("host").alias("l_host"), F.col("text_hash").alias("l_hash"), "lost", "l_words")
+    met = met.select("id", "host", "text_hash", "place", "line_hash", "words", "n_words").distinct()  # rows that are repeated lose the same lines
+    sums = met.groupBy("id", "host", "text_hash").agg(F.sum("words").alias("lost"), F.max("n_words").alias("l_words"), F.collect_set("line_hash").alias("l_lines"))
+    return sums.select(F.col("id").alias("l_id"), F.col("host").alias("l_host"), F.col("text_hash").alias("l_hash"), "lost", "l_words", "l_lines")
+
+
+def _passes_base(docs: DataFrame, text_col: str) -> DataFrame:
+    words = words_of(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.filter(_let(words, lambda w: (F.size(w) >= MIN_WORDS) & (100 * repeat_words(w) <= MAX_REPEAT_PERCENT * F.size(w))))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, keep: float = KEEP) -> DataFrame:
-    """The rows of ``docs`` that are kept, unchanged.
+    """The rows of ``docs`` that are kept, unchanged. :func:`remove_lines` keeps the same rows without their boilerplate.
 
     Rules of one document need no exchange. The depleted ones are written first; they are sent to the documents if they
     are few (at most SENT_ROWS of three short columns), and otherwise meet them in a shuffled join.
     """
-    gone = cut(_lost(docs, id_col, text_col, host_col, min_docs, share).filter(F.col("l_words") - F.col("lost") < F.lit(keep) * F.col("l_words")).drop("lost", "l_words"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    words = words_of(text)
-    good = docs.filter(_let(words, lambda w: (F.size(w) >= MIN_WORDS) & (100 * repeat_words(w) <= MAX_REPEAT_PERCENT * F.size(w))))
+    gone = cut(_lost(docs, id_col, text_col, host_col, min_docs, share).filter(F.col("l_words") - F.col("lost") < F.lit(keep) * F.col("l_words")).drop("lost", "l_words", "l_lines"))
+    good = _passes_base(docs, text_col)
     side = F.broadcast(gone) if gone.count() <= SENT_ROWS else gone
     same = good[id_col].eqNullSafe(gone["l_id"]) & good[host_col].eqNullSafe(gone["l_host"]) & (F.xxhash64(F.coalesce(good[text_col], F.lit(""))) == gone["l_hash"])
     return good.join(side, same, "left_anti")
 
 
+def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, keep: float = KEEP) -> DataFrame:
+    """The rows that :func:`keep_good` keeps, with ``text_col`` rebuilt without its boilerplate lines.
+
+    The hashes of the lines that a row loses come back to it, and its lines are split and filtered again. All other
+    lines, blank ones too, stay as they are; texts that lose nothing are not touched.
+    """
+    found = cut(_lost(docs, id_col, text_col, host_col, min_docs, share))
+    side = F.broadcast(found) if found.count() <= SENT_ROWS // 5 else found
+    good = _passes_base(docs, text_col)
+    same = good[id_col].eqNullSafe(found["l_id"]) & good[host_col].eqNullSafe(found["l_host"]) & (F.xxhash64(F.coalesce(good[text_col], F.lit(""))) == found["l_hash"])
+    depleted = F.coalesce(F.col("l_words") - F.col("lost") < F.lit(keep) * F.col("l_words"), F.lit(False))
+    rows = good.join(side, same, "left").filter(~depleted)
+    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x: ~F.array_contains("l_lines", F.xxhash64(_normal(x)))), "\n")
+    return rows.withColumn(text_col, F.when(F.col("l_lines").isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, keep: float = KEEP) -> DataFrame:
     """One row per row of ``docs``: the counts, n_boilerplate_words, base_failed and kept."""
-    lost = _lost(docs, id_col, text_col, host_col, min_docs, share, total=False).drop("l_words")
+    lost = _lost(docs, id_col, text_col, host_col, min_docs, share, total=False).drop("l_words", "l_lines")
     rows = base(docs, id_col, text_col, host_col)
     same = rows["id"].eqNullSafe(lost["l_id"]) & rows["host"].eqNullSafe(lost["l_host"]) & (rows["text_hash"] == lost["l_hash"])
     joined = rows.join(lost, same, "left").drop("l_id", "l_host", "l_hash")
