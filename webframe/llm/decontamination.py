@@ -1,7 +1,8 @@
 """Benchmark decontamination by q-gram counts in diagonal bands and banded alignment.
 
-Every benchmark item is cut into overlapping windows of WINDOW characters, which are looked for in all documents with at
-most k = WINDOW / 10 edits. Text and window that match with k edits share at least m + 1 - q - k * q character q-grams
+Every benchmark item is cut into overlapping windows, which are looked for in all documents with at most k edits, a tenth
+of their characters: windows of WINDOW characters at every STRIDE-th, and shorter ones of CLOSE_WINDOW at every
+CLOSE_STRIDE-th. An exact excerpt of CLOSE_WINDOW + CLOSE_STRIDE - 1 characters or more thus always holds a window. Text and window that match with k edits share at least m + 1 - q - k * q character q-grams
 (the q-gram lemma), and all of them lie on diagonals that are at most k apart; bands of 2k diagonals that start at every
 k-th diagonal thus hold them together in one band. Bands that reach the count are verified by alignment in the band.
 
@@ -9,12 +10,14 @@ Items are looked up in blocks of bounded size that are sent to the tasks, so the
 through once for each block, without a shuffle and without meeting one another.
 
 Defined results: letters' case and the amount of white space don't matter; null texts match nothing; items of fewer than
-MIN_CHARS characters are never looked for; repeated rows are reported each; offsets count characters of the document
+MIN_CHARS characters are looked for whole and exactly, where no letter or digit adjoins them, and count as one window;
+items without a letter or digit of fewer than MIN_CHARS characters name nothing and match nothing; repeated rows are reported each; offsets count characters of the document
 in lower case with single spaces; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Q, WINDOW, STRIDE, MIN_CHARS = 8, 80, 40, 24
+CLOSE_WINDOW, CLOSE_STRIDE = 60, 8
 EDITS = WINDOW // 10
-BLOCK_CHARS = 1 << 22
+BLOCK_CHARS = 1 << 20
 PIECE_CHARS = 1 << 20
 PAD = WINDOW + 6 * EDITS + Q
 _FILTER_BITS = 22
@@ -55,20 +59,32 @@ def _qgrams(c: np.ndarray) -> np.ndarray:
     return h * np.uint64(0xD6E8FEB86659FD93)
 
 
+def spans(n: int) -> list[tuple[int, int]]:
+    """(start, end) of the windows of an item of n characters."""
+    out = set()
+    for size, stride in ((WINDOW, STRIDE), (CLOSE_WINDOW, CLOSE_STRIDE)):
+        last = max(0, n - size)
+        out |= {(s, min(n, s + size)) for s in (*range(0, last + 1, stride), last)}
+    return sorted(out)
+
+
+_WORD = re.compile(r"[^\W_]+")
+
+
 class Index:
-    """The q-grams of the windows of some items."""
+    """The q-grams of the windows of some items, and the items that are too short for windows."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         self.item, self.chars, grams, windows, offsets = [], [], [], [], []
+        self.short: dict[str, list[tuple[str, int, int]]] = {}
         for item, text in items:
             t = normal(text)
             if len(t) < MIN_CHARS:
+                if word := _WORD.search(t):
+                    self.short.setdefault(word[0], []).append((t, word.start(), item))
                 continue
-            starts = list(range(0, max(1, len(t) - WINDOW + 1), STRIDE))
-            if len(t) > WINDOW and starts[-1] != len(t) - WINDOW:
-                starts.append(len(t) - WINDOW)
-            for s in starts:
-                c = _chars(t[s : s + WINDOW])
+            for s, e in spans(len(t)):
+                c = _chars(t[s:e])
                 g = _qgrams(c)
                 grams.append(g)
                 windows.append(np.full(len(g), len(self.item)))
@@ -114,24 +130,40 @@ class Index:
         return key // bands, (key % bands) * EDITS - PAD
 
     def align(self, c: np.ndarray, window: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Fewest edits between each window and the text in the band, and where that text ends."""
+        """Fewest edits between each window and the text in the band, and where that text ends.
+
+        A row's least cost never falls from one character to the next, so windows beyond their edits are left early.
+        """
         wide = 4 * EDITS + 1
         base = first - EDITS
         text = np.concatenate([np.full(PAD, 10, np.uint32), c, np.full(2 * PAD, 10, np.uint32)])
-        column = np.arange(wide)
-        cost = np.zeros((len(window), wide), np.int32)
+        column = np.arange(wide, dtype=np.int16)
         best, end = np.full(len(window), WINDOW, np.int32), np.zeros(len(window), np.int64)
-        for i in range(1, int(self.size[window].max(initial=0)) + 1):
-            here = text[np.clip(base[:, None] + column + (i - 1) + PAD, 0, len(text) - 1)]
-            new = cost + (here != self.pattern[window, i - 1][:, None])
+        live = np.arange(len(window))
+        size, edits, pattern = self.size[window], self.edits[window], self.pattern[window]
+        near = text[np.clip(base[:, None] + np.arange(wide + WINDOW) + PAD, 0, len(text) - 1)]
+        cost = np.zeros((len(window), wide), np.int16)
+        for i in range(1, int(size.max(initial=0)) + 1):
+            new = cost + (near[:, i - 1 : i - 1 + wide] != pattern[:, i - 1][:, None])
             new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)
             cost = np.minimum.accumulate(new - column, axis=1) + column
-            done = self.size[window] == i
+            done = size == i
             if done.any():
-                best[done] = cost[done].min(axis=1)
-                end[done] = base[done] + cost[done].argmin(axis=1) + i
+                best[live[done]] = cost[done].min(axis=1)
+                end[live[done]] = base[live[done]] + cost[done].argmin(axis=1) + i
+            if done.any() or i % 4 == 0:
+                go = ~done & (cost.min(axis=1) <= edits)
+                live, size, edits, pattern, near, cost = live[go], size[go], edits[go], pattern[go], near[go], cost[go]
         return best, end
 
+    def whole(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(item, begin, end) of the short items in a normalised text."""
+        for m in _WORD.finditer(text):
+            for t, lead, item in self.short.get(m[0], ()):
+                a, b = m.start() - lead, m.start() - lead + len(t)
+                if a >= 0 and text.startswith(t, a) and not (a and t[0].isalnum() and text[a - 1].isalnum()) and not (t[-1].isalnum() and text[b : b + 1].isalnum()):
+                    yield item, a, b
+
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, windows, edits, begin, end) for normalised texts."""
         gap = "\n" * PAD
@@ -147,6 +179,9 @@ class Index:
                 to = int(end[k] - starts[text])
                 row = (int(w[k]), int(best[k]), max(0, to - int(self.size[w[k]])), to)
                 found.setdefault((text, self.item[w[k]]), []).append(row)
+        for text, t in enumerate(texts if self.short else ()):
+            for item, a, b in self.whole(t):
+                found.setdefault((text, item), []).append((-1, 0, a, b))
         return [(t, i, len({r[0] for r in rows}), min(r[1] for r in rows), min(r[2] for r in rows), max(r[3] for r in rows)) for (t, i), rows in sorted(found.items())]
 
 
