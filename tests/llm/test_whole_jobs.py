@@ -1,7 +1,9 @@
 """Cases in which an operator once did less than its whole job, against brute force."""
 
+import json
 import random
 import re
+from collections import Counter
 
 
 def shingle_set(text):
@@ -133,3 +135,42 @@ def test_decontamination_of_short_items(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = sorted((r["doc_id"], r["item_id"], r["n_windows"], r["edits"]) for r in D.contaminated(docs, bench).collect())
     assert found == [(1, 1, 1, 0), (3, 2, 1, 0), (5, 4, 1, 0), (8, 2, 1, 0), (8, 5, 1, 0)]
+
+
+def brute_links(messages):
+    """(call_id, arguments, result, n_calls, n_results, status) of every different call and result."""
+    calls, results = {}, {}
+    for conv, kind, key, arguments, content in messages:
+        at = (calls if kind == "call" else results).setdefault((conv, key), Counter())
+        at[arguments if kind == "call" else content] += 1
+    out = []
+    for at in calls.keys() | results.keys():
+        c, r = calls.get(at, Counter()), results.get(at, Counter())
+        rows = [(x, min(r, default=None)) for x in c] + [(min(c, default=None), y) for y in r if not c or y != min(r)]
+        out += [(f"{at[0]}:{at[1]}", x, y, c[x], r[y], "orphan_result" if not c else "linked" if r else "unanswered") for x, y in rows]
+    return out
+
+
+def test_every_different_call_and_result_stays(spark):
+    from webframe.llm import chat
+
+    rng = random.Random(8)
+    messages = []
+    for k in range(300):
+        hot = k % 3 == 0
+        kind = rng.choice(["call", "result"])
+        key = "hot" if hot else f"{rng.randrange(40)}{rng.choice('ab')}"
+        text = f"t{rng.randrange(20)}"
+        messages.append((1 if hot else k % 4, kind, key, f'{{"text":"{text}"}}' if kind == "call" else None, text if kind == "result" else None))
+    cols = "conv_id long, kind string, call_key string, arguments string, content string, turn long, call_turn long, name string, role string"
+    df = spark.createDataFrame([(*m, k // 2, 0, "reply" if m[1] == "call" else None, None) for k, m in enumerate(messages)], cols)
+    found = []
+    for r in chat.link(df.repartition(3)).collect():
+        j = json.loads(r["json"])
+        found.append((r["call_id"], json.dumps(j["arguments"], separators=(",", ":")) if "arguments" in j else None, j.get("result"), r["n_calls"], r["n_results"], r["status"]))
+    want = brute_links(messages)
+    assert Counter(found) == Counter(want) and len(want) > len({w[0] for w in want}) + 30
+    # identifiers that are turns: two results of one turn's call
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "b"), (1, 1, "assistant", "x"), (1, 1, "assistant", "y"), (1, 1, "assistant", "y")], "conv_id long, turn long, role string, text string")
+    rows = chat.link(chat.turns_as_messages(turns)).collect()
+    assert sorted((json.loads(r["json"])["arguments"]["text"], json.loads(r["json"])["result"], r["n_calls"], r["n_results"]) for r in rows) == [("a", "x", 1, 1), ("a", "y", 1, 2), ("b", "x", 1, 1)]

@@ -1,15 +1,19 @@
 """Tool-call linking for chats, in built-in functions alone.
 
 Messages are calls, results and others. A call has an identifier, a tool's name and arguments in JSON; a result names the
-identifier of its call. Both sides are reduced to one row per (conversation, identifier) before a hash join links them,
-so the join is one to one even if a key is repeated by a third of all rows. The linked rows are put in topological
+identifier of its call. Identifiers are the strings in ``call_key``, or where messages have no such column the numbers in
+``call_turn``. Each side is counted by its different texts, and reduced to one row per (conversation, identifier) for the
+other side to meet in a hash join: so every call and result stays, and no join multiplies rows even if a key is repeated
+by a third of all of them. The linked rows are put in topological
 order: each depends on the message that its call follows, and its place is its depth in that graph, found by pointer
 doubling in about log2(depth) joins on unique keys. Arguments are validated against the tool's schema through the type
 of each variant field, and every row is serialised as canonical JSON: no spaces, keys in order at every level. A
 conversation is never gathered into one task: rows are its links, ordered by (conv_id, depth, turn).
 
 Defined results: results without a call are rows of status ``orphan_result``, calls without a result ``unanswered``;
-of several different texts for one identifier the least is used, and n_calls and n_results tell how many there were;
+of several different calls or results for one identifier each is a row, first the calls with the least result, then the
+other results with the least call; n_calls and n_results tell how many messages had the row's call and its result;
+calls and results whose identifier is null link to nothing;
 messages of other roles, and those with a null conversation or turn, are rows of status ``message``, repeated rows each;
 arguments that are no JSON, lack a required field, have one of the wrong type or one that the schema doesn't know are
 invalid; null texts fail a required string; extra columns are ignored; an empty table gives an empty result.
@@ -76,17 +80,24 @@ def depths(nodes: DataFrame) -> DataFrame:
 
 def link(messages: DataFrame, schemas=SCHEMAS) -> DataFrame:
     """conv_id, turn, call_id, status, depth, valid, n_calls, n_results, json."""
-    calls = messages.filter(F.col("kind") == "call").groupBy("conv_id", "call_turn").agg(F.min(F.struct("name", "arguments")).alias("c"), F.count("*").alias("n_calls"))
-    results = messages.filter(F.col("kind") == "result").groupBy("conv_id", "call_turn").agg(F.min("content").alias("content"), F.min("turn").alias("r_turn"), F.count("*").alias("n_results"))
-    met = calls.join(results, ["conv_id", "call_turn"], "full")
-    called = F.col("n_calls").isNotNull()
+    key = F.col("call_key") if "call_key" in messages.columns else F.col("call_turn").cast("string")
+    messages = messages.withColumn("call_key", key)
+    by = ["conv_id", "call_key"]
+    calls = messages.filter(F.col("kind") == "call").groupBy(*by, "name", "arguments").agg(F.min("turn").alias("turn"), F.count("*").alias("n_calls"))
+    results = messages.filter(F.col("kind") == "result").groupBy(*by, "content").agg(F.min("turn").alias("r_turn"), F.count("*").alias("n_results"))
+    one_call = calls.groupBy(*by).agg(F.min(F.struct("name", "arguments", "turn", "n_calls")).alias("c"))
+    one_result = results.groupBy(*by).agg(F.min_by(F.struct("content", "n_results"), F.struct(F.col("content").isNull(), F.col("content"))).alias("r"))
+    called = calls.join(one_result, by, "left").select(*by, "turn", "name", "arguments", "n_calls", F.col("r.content").alias("content"), F.col("r.n_results").alias("n_results"))
+    more = results.join(one_result, by, "left").join(one_call, by, "left").filter(F.col("c").isNull() | ~F.col("content").eqNullSafe(F.col("r.content")))
+    more = more.select(*by, F.coalesce("c.turn", "r_turn").alias("turn"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.col("c.n_calls").alias("n_calls"), "content", "n_results")
+    met = called.unionByName(more)
     linked = met.select(
         "conv_id",
-        F.when(called, F.col("call_turn")).otherwise(F.col("r_turn")).alias("turn"),
-        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("call_turn").cast("string")).alias("call_id"),
-        F.when(called & F.col("n_results").isNotNull(), "linked").when(called, "unanswered").otherwise("orphan_result").alias("status"),
-        F.col("c.name").alias("name"),
-        F.col("c.arguments").alias("arguments"),
+        "turn",
+        F.when(F.col("call_key").isNotNull(), F.concat_ws(":", F.col("conv_id").cast("string"), F.col("call_key"))).alias("call_id"),
+        F.when(F.col("n_calls").isNull(), "orphan_result").when(F.col("n_results").isNull(), "unanswered").otherwise("linked").alias("status"),
+        "name",
+        "arguments",
         "content",
         F.lit(None).cast("string").alias("role"),
         F.coalesce("n_calls", F.lit(0)).alias("n_calls"),
