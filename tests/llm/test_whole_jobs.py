@@ -174,3 +174,16 @@ def test_every_different_call_and_result_stays(spark):
     turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "b"), (1, 1, "assistant", "x"), (1, 1, "assistant", "y"), (1, 1, "assistant", "y")], "conv_id long, turn long, role string, text string")
     rows = chat.link(chat.turns_as_messages(turns)).collect()
     assert sorted((json.loads(r["json"])["arguments"]["text"], json.loads(r["json"])["result"], r["n_calls"], r["n_results"]) for r in rows) == [("a", "x", 1, 1), ("a", "y", 1, 2), ("b", "x", 1, 1)]
+
+
+def test_queries_read_whole_texts(spark, tmp_path):
+    from urllib.parse import quote
+
+    from webframe.plans import catalog
+
+    rows = [(k, "\n ".join(f"wörd {k}, x{i}\t" for i in range(200))) for k in range(5)] + [(9, "short"), (10, "")]
+    spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    encoded = {r["doc_id"]: r["encoded"] for r in catalog.QUERIES["url_percent_encode"](spark, str(tmp_path)).collect()}
+    assert encoded == {i: quote(re.sub("[^a-zA-Zà-ÿ ]", "", t)) for i, t in rows}
+    soup = {r["doc_id"]: r["soup"] for r in catalog.QUERIES["link_soup_clean"](spark, str(tmp_path)).collect()}
+    assert soup == {i: "".join(x.strip() for x in t.split("\n")) for i, t in rows}

@@ -68,10 +68,10 @@ def url_flatten_path(spark, d):
     return pages(spark, d).select("page_id", f(U.path(F.col("url"))).alias("path"))
 
 
-@query("SELECT doc_id, replace(replace(url_encode(substr(regexp_replace(text, '[^a-zA-Zà-ÿ ]', '', 'g'), 1, 40)), '+', '%20'), '%20', '%20') AS encoded FROM documents")
+@query("SELECT doc_id, replace(replace(url_encode(regexp_replace(text, '[^a-zA-Zà-ÿ ]', '', 'g')), '+', '%20'), '%20', '%20') AS encoded FROM documents")
 def url_percent_encode(spark, d):
     f = U.str_udf(U.percent_encode)
-    return table(spark, d, "documents").select("doc_id", f(F.substring(F.regexp_replace("text", "[^a-zA-Zà-ÿ ]", ""), 1, 40)).alias("encoded"))
+    return table(spark, d, "documents").select("doc_id", f(F.regexp_replace("text", "[^a-zA-Zà-ÿ ]", "")).alias("encoded"))
 
 
 @query(f"WITH {LINKS_SQL} SELECT page_id, pos, link FROM links")
@@ -112,9 +112,9 @@ def link_type_by_ext(spark, d):
     return rows.select("page_id", F.col("pos").cast("long"), L.link_type(F.col("link")).alias("link_type"), L.is_likely_inline(F.col("link")).alias("inline"))
 
 
-@query("SELECT doc_id, array_to_string(list_transform(string_split(substr(text, 1, 300), chr(10)), lambda x: trim(x)), '') AS soup FROM documents")
+@query("SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(x)), '') AS soup FROM documents")
 def link_soup_clean(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.clean_link_soup(F.substring("text", 1, 300)).alias("soup"))
+    return table(spark, d, "documents").select("doc_id", X.clean_link_soup(F.col("text")).alias("soup"))
 
 
 @query("SELECT page_id, url AS target FROM pages")
