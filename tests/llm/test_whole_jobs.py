@@ -187,3 +187,14 @@ def test_queries_read_whole_texts(spark, tmp_path):
     assert encoded == {i: quote(re.sub("[^a-zA-Zà-ÿ ]", "", t)) for i, t in rows}
     soup = {r["doc_id"]: r["soup"] for r in catalog.QUERIES["link_soup_clean"](spark, str(tmp_path)).collect()}
     assert soup == {i: "".join(x.strip() for x in t.split("\n")) for i, t in rows}
+
+
+def test_boilerplate_is_found_at_any_host_size(spark):
+    from webframe.llm import quality
+
+    own = lambda k: " ".join(f"o{k}x{j}" for j in range(20))
+    rows = [(h * 10**4 + k, own(h * 10**4 + k) + ("\nshare this page" if k < 5 else "\nonly four" if k < 9 else "")) for h, n in enumerate((9, 60, 1200)) for k in range(n)]
+    docs = spark.createDataFrame([(i, t, None, f"h{i // 10**4}", 0) for i, t in rows], DOCS)
+    found = {r["doc_id"] for r in quality.judge(docs).filter("n_boilerplate_words = 3").collect()}
+    assert found == {i for i, t in rows if "share" in t}
+    assert quality.judge(docs).filter("n_boilerplate_words NOT IN (0, 3)").count() == 0

@@ -3,7 +3,7 @@
 A line is normalised to lower case with single spaces and hashed (xxHash64). For each host, here the source of a
 document, the distinct documents that hold a line are counted; documents with the same text are one document, so that
 exact copies, which a dedup step handles, don't make their own lines frequent. A line is boilerplate if it is in
-MIN_DOCS documents of its host or more and in over SHARE of them. A document whose words are lost for the most part when
+MIN_DOCS documents of its host or more, however many the host has; callers may ask for over a share of them too. A document whose words are lost for the most part when
 its boilerplate lines go (under KEEP of its words stay) is depleted and rejected.
 
 Texts are not shuffled: only (host, line hash, text hash) and per-document word counts of lines are, pre-aggregated
@@ -26,7 +26,7 @@ BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 REPEAT_WIDTH = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-MIN_DOCS, SHARE, KEEP = 20, 0.01, 0.5
+MIN_DOCS, SHARE, KEEP = 5, 0.0, 0.5
 SENT_ROWS = 500_000
 
 
@@ -110,6 +110,8 @@ def frequent_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, m
     lines = _lines(docs, id_col, text_col, host_col)
     once = lines.groupBy("host", "text_hash", "line_hash").agg(F.lit(1).alias("one"))
     counts = once.groupBy("host", "line_hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
+    if not share:
+        return counts.select(F.col("host").alias("f_host"), F.col("line_hash").alias("f_hash"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     hosts = docs.select(F.col(host_col).alias("host"), F.xxhash64(text).alias("t")).groupBy("host", "t").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("n_host"))
     joined = counts.join(hosts, counts["host"].eqNullSafe(hosts["host"]))
