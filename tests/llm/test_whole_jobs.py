@@ -198,3 +198,22 @@ def test_boilerplate_is_found_at_any_host_size(spark):
     found = {r["doc_id"] for r in quality.judge(docs).filter("n_boilerplate_words = 3").collect()}
     assert found == {i for i, t in rows if "share" in t}
     assert quality.judge(docs).filter("n_boilerplate_words NOT IN (0, 3)").count() == 0
+
+
+def test_writers_rotate_and_script_links_are_whole(spark, tmp_path):
+    from webframe.plans import catalog
+
+    rng = random.Random(6)
+    rows = [(k, "x" * rng.randrange(6000)) for k in range(400)]
+    spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    want, held, seq = {}, Counter(), Counter()
+    for i, t in rows:
+        if held[i % 50] > 8192:
+            seq[i % 50] += 1
+            held[i % 50] = 0
+        want[i] = seq[i % 50]
+        held[i % 50] += len(t)
+    assert {r["doc_id"]: r["file_seq"] for r in catalog.QUERIES["warc_rotation"](spark, str(tmp_path)).collect()} == want and max(want.values()) > 0
+    pages = [(1, "http://h.example/", '<script>var u = "http://b.example/own.html";</script>')]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r["link"] for r in catalog.QUERIES["links_js"](spark, str(tmp_path)).collect()} == {"http://a.example/1/x.html", "http://b.example/own.html"}
