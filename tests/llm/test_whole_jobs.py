@@ -217,3 +217,51 @@ def test_writers_rotate_and_script_links_are_whole(spark, tmp_path):
     pages = [(1, "http://h.example/", '<script>var u = "http://b.example/own.html";</script>')]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert {r["link"] for r in catalog.QUERIES["links_js"](spark, str(tmp_path)).collect()} == {"http://a.example/1/x.html", "http://b.example/own.html"}
+
+
+def brute_passages(rows):
+    """Rows without the 13-word passages that a row of a smaller id has; emptied rows go."""
+    least, out = {}, []
+    grams = lambda w: [tuple(w[k : k + 13]) for k in range(len(w) - 12)]
+    for i, t, *_ in rows:
+        for g in grams(t.split()):
+            least[g] = min(i, least.get(g, i))
+    for i, t, n in rows:
+        w = t.split()
+        gone = {k + j for k, g in enumerate(grams(w)) if least[g] < i for j in range(13)}
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        if len(gone) < len(w) or not w:
+            out.append((i, kept, len(kept)) if gone else (i, t, n))
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = random.Random(12)
+    own = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    passage, item = own(30), " ".join(own(25))
+    rows = []
+    for k in range(80):
+        w = own(rng.randint(40, 90))
+        if k % 8 == 1:
+            w[9:9] = passage
+        if k % 8 == 2:
+            w[7:7] = item.split()[3:18]
+        rows.append((k, " ".join(w) + ("\nshare this page" if k % 4 == 3 else "")))
+        if k % 5 == 0:
+            w[20] = "changed"
+            rows.append((1000 + k, " ".join(w)))
+    rows += [(5, " ".join(own(50))), (6, rows[6][1]), (2000, "too short"), (2001, rows[0][1])]
+    docs = spark.createDataFrame([(i, t, "en", "h", -1) for i, t in rows], DOCS)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = [(i, t, -1 if (i, t) in rows else len(t)) for i, t, _ in brute_lines([(i, t, "h") for i, t in rows], 5, 0.0) if len(t.split()) >= 10]
+    want = [want[k] for k in brute_near_copies(want)]
+    want = brute_passages(want)
+    planted = {i for i, t, _ in want if " ".join(item.split()[3:18]) in t}
+    want = [r for r in want if r[0] not in planted]
+    found = docs.repartition(3)
+    for _, stage in P.STAGES[:-1]:
+        found = stage(spark, found, str(tmp_path)).localCheckpoint()
+    assert sorted(map(tuple, found.collect())) == sorted((i, t, "en", "h", n) for i, t, n in want)
+    assert planted and sum(i == 5 for i, *_ in want) == 2
