@@ -262,6 +262,6 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     want = [r for r in want if r[0] not in planted]
     found = docs.repartition(3)
     for _, stage in P.STAGES[:-1]:
-        found = stage(spark, found, str(tmp_path)).localCheckpoint()
+        found = stage(spark, found, str(tmp_path)).checkpoint()
     assert sorted(map(tuple, found.collect())) == sorted((i, t, "en", "h", n) for i, t, n in want)
     assert planted and sum(i == 5 for i, *_ in want) == 2
