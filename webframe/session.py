@@ -27,11 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a folder of our own only where none is set."""
+    """The shared folder named by ``spark.checkpoint.dir``; a folder of our own only where none is set and the session is local."""
     jsc = spark.sparkContext._jsc.sc()
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = jsc.getCheckpointDir()
     if current.isEmpty():
+        if not conf and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(conf or DEFAULT_CHECKPOINT_DIR)
         current = jsc.getCheckpointDir()
     return conf or current.get()
