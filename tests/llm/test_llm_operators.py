@@ -102,16 +102,44 @@ def test_simhash(docs, rows):
     assert found == {i: (f"{marks[i]:016x}", want[i]) for i in marks}
 
 
-def test_simhash_links_of_planted_fingerprints():
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def test_simhash_links_inside_lists():
+    """Short lists by tallies, long ones by look-ups: both connect what brute force connects, to the least member."""
     import numpy as np
 
     rng = random.Random(3)
     base = rng.getrandbits(64)
-    fp = sorted({base ^ (1 << rng.randrange(16)) ^ (1 << rng.randrange(16)) for _ in range(90)})
-    rep = list(range(100, 100 + len(fp)))
-    u, v = simhash.link_list(np.array(fp, np.uint64), np.array(rep, np.int64))
-    joined = {r: r for r in rep} | dict(zip(u.tolist(), v.tolist(), strict=True))
-    assert joined == brute_components(dict(zip(rep, fp, strict=True)))
+    near = {base ^ (1 << rng.randrange(16)) ^ (1 << rng.randrange(16)) for _ in range(90)}
+    far = near | {base ^ (rng.getrandbits(16) << 16) for _ in range(60)} | {base ^ (1 << rng.randrange(32)) for _ in range(20)}
+    for links, marks in ((simhash.looked_up_links, near), (simhash.tallied_links, near), (simhash.tallied_links, far)):
+        fp = np.array(sorted(map(signed, marks)), np.int64)
+        u, v = links(fp.view(np.uint64))
+        joined = {f: f for f in fp.tolist()} | dict(zip(u.view(np.int64).tolist(), v.view(np.int64).tolist(), strict=True))
+        assert joined == brute_components({f: f % (1 << 64) for f in fp.tolist()})
+
+
+def test_simhash_lists_longer_than_are_gathered(spark):
+    from webframe.llm.components import components
+
+    rng = random.Random(4)
+    base = rng.getrandbits(64)
+    marks = {base ^ rng.getrandbits(13) for _ in range(700)} | {base ^ (rng.getrandbits(12) << 40) for _ in range(400)} | {rng.getrandbits(64) for _ in range(50)}
+    df = spark.createDataFrame([(signed(x),) for x in marks], "fp long")
+    edges = simhash.postings(df).mapInArrow(simhash._links, "u long, v long")
+    found = {r["node"]: r["component"] for r in components(edges).collect()}
+    want = brute_components({signed(x): x for x in marks})
+    assert {x: found.get(x, x) for x in want} == want
+
+
+def test_simhash_ids_of_any_value(spark):
+    texts = {1: "a b c d", 2**62: "e f g h", 2**62 + 5: "e f g h", 2**63 - 1: "i j k l", -5: "a b c d"}
+    rows = [*texts.items(), (None, "i j k l"), (None, "m n o p")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, id string")
+    found = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()), key=str)
+    assert found == sorted([(1, -5), (-5, -5), (2**62, 2**62), (2**62 + 5, 2**62), (2**63 - 1, 2**63 - 1), (None, 2**63 - 1), (None, None)], key=str)
 
 
 def test_sharding(docs, rows):
