@@ -145,3 +145,47 @@ def test_every_language_is_learned(spark):
     df = spark.createDataFrame([(f"{name(i)} {name(i)}", f"l{i}") for i in range(400)], "text string, lang string")
     found = language_id.predict(df.withColumnRenamed("lang", "doc_id"), language_id.train(df)).collect()
     assert sum(r["doc_id"] == r["lang_pred"] for r in found) == 400
+
+
+def brute_repeats(rows):
+    """{row number: (words, removed, kept)}; rows without an id neither lose nor give."""
+    least = {}
+    for i, t in rows:
+        w = (t or "").split()
+        for k in range(len(w) - 12 if i is not None else 0):
+            g = tuple(w[k : k + 13])
+            least[g] = min(i, least.get(g, i))
+    out = []
+    for i, t in rows:
+        w = (t or "").split()
+        gone = {k + j for k in range(len(w) - 12 if i is not None else 0) if least[tuple(w[k : k + 13])] < i for j in range(13)}
+        out.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return out
+
+
+def test_repeats_across_and_inside_batches_with_odd_ids(spark):
+    from webframe.llm import substring_dedup
+
+    rng = random.Random(21)
+    say = lambda n: [f"w{rng.randrange(300)}" for _ in range(n)]
+    passages = [say(n) for n in (12, 13, 14, 20, 60)]
+    ids = [None, 7, 7, 7, -3, 2**63 - 1, -(2**63), *range(100, 260)]
+    rows = []
+    for i in ids:
+        w = say(rng.randint(0, 40))
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randint(0, len(w))
+            w[k:k] = rng.choice(passages)[rng.randint(0, 3) :]
+        rows.append((i, " ".join(w)))
+    rows += [(300, rows[9][1]), (300, rows[9][1]), (7, rows[1][1]), (None, rows[20][1]), (301, None), (302, ""), (303, " ".join(rows[30][1].split() * 40))]
+    df = spark.createDataFrame([(i, t, "a", "b", "c", "d") for i, t in rows], "doc_id long, text string, __kept string, batch string, keys string, __meta string")
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            done = substring_dedup.remove_repeats(df.repartition(3), names=("n", "gone", "left")).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert Counter((r["doc_id"], r["n"], r["gone"], r["left"]) for r in done) == Counter(brute_repeats(rows))
+        assert {(r["__kept"], r["batch"], r["keys"], r["__meta"]) for r in done} == {("a", "b", "c", "d")}
+    replaced = substring_dedup.remove_repeats(df)
+    assert replaced.columns == ["doc_id", "text", "batch", "keys", "__meta", "__n_words", "__n_removed", "__kept"]

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
+_OTHER = np.uint64(0xA0761D6478BD642F)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -96,6 +97,15 @@ def rolling(words: np.ndarray, width: int) -> np.ndarray:
     return mix(_span_hash(words, _STEP, starts, starts + width))
 
 
+def second_rolling(words: np.ndarray, width: int) -> np.ndarray:
+    """32 bits of a second hash of the same windows, from other word values and another base."""
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint32)
+    starts = np.arange(n)
+    return (mix(_span_hash(mix(words ^ _OTHER), _BASE, starts, starts + width)) >> np.uint64(32)).astype(np.uint32)
+
+
 def owner(offsets: np.ndarray) -> np.ndarray:
     """For every word the index of its value."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
