@@ -47,25 +47,35 @@ def _permute_once(x: Column, n: int, seed: int) -> Column:
 
 
 def feistel(x: Column, n: int, seed: int = 0) -> Column:
-    """The place of row number ``x`` in a pseudo-random permutation of ``0..n-1``.
-
-    At most ``a - 1 < sqrt(n) + 1`` numbers lie outside, so WALKS steps always suffice for n < 4000, and beyond that
-    the chance of needing more is below 63**-64; the expression raises an error rather than give a wrong place.
-    """
+    """The place of row number ``x`` in a pseudo-random permutation of ``0..n-1``, or a number from n on where WALKS
+    steps of the walk don't lead inside: see :func:`permuted`."""
     n = max(1, n)
     walks = F.array(*[F.lit(k) for k in range(WALKS)])
-    placed = F.aggregate(walks, F.lit(-1).cast("long"), lambda y, _: F.when((y >= 0) & (y < n), y).otherwise(_permute_once(F.when(y < 0, x).otherwise(y), n, seed)))
-    return F.when(placed < n, placed).otherwise(F.raise_error(F.lit("cycle walk did not end")))
+    return F.aggregate(walks, F.lit(-1).cast("long"), lambda y, _: F.when((y >= 0) & (y < n), y).otherwise(_permute_once(F.when(y < 0, x).otherwise(y), n, seed)))
+
+
+def permuted(df: DataFrame, number: str, n: int, place: str, seed: int = 0) -> DataFrame:
+    """Adds ``place`` to the rows of ``df``, whose ``number`` is in ``0..n-1``.
+
+    Fewer than sqrt(n) + 1 numbers lie outside and a walk meets each once at most, so walks end. A walk of more than WALKS
+    steps has a chance below sqrt(n)**-WALKS; the rows are looked at for one, and walk on as long as there is any.
+    """
+    df = df.withColumn(place, feistel(F.col(number), n, seed))
+    while df.filter(F.col(place) >= max(1, n)).limit(1).count():
+        df = cut(df.withColumn(place, F.when(F.col(place) < n, F.col(place)).otherwise(feistel(F.col(place), n, seed))))
+    return df
 
 
 def number_rows(df: DataFrame, order: list[str], name: str = "row_number") -> DataFrame:
     """Global row numbers from 0 in the given order: range partitions, numbers inside each, and offsets of partitions.
 
     The sorted rows are checkpointed, so that the counts and the numbers come from the same partitions even if an
-    executor is lost. The one-partition window runs over one row for each partition.
+    executor is lost. The one-partition window runs over one row for each partition. Partitions are as many as shuffles
+    have: few bytes of rows would else be merged into few tasks.
     """
     inner = (1 << 33) - 1
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     placed = cut(placed.withColumn("_id", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftright("_id", 33)).withColumn("_pos", F.col("_id").bitwiseAND(F.lit(inner)))
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
@@ -76,11 +86,11 @@ def number_rows(df: DataFrame, order: list[str], name: str = "row_number") -> Da
 
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:
     """One row per row of ``docs``: id, size, text_crc32, law, shard, slot, grown_shard (null under the law of rows)."""
-    body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    rows = docs.select(F.col(id_col).alias("_key"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).cast("long").alias("text_crc32"))
+    body = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("_key"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).cast("long").alias("text_crc32"))
     numbered = number_rows(rows, ["_key", "size", "text_crc32"])
     n = numbered.count()
-    place = numbered.withColumn("_place", feistel(F.col("row_number"), n, seed))
+    place = permuted(numbered, "row_number", n, "_place", seed)
     return place.select(
         F.col("_key").alias(id_col),
         "size",
