@@ -189,3 +189,145 @@ def test_repeats_across_and_inside_batches_with_odd_ids(spark):
         assert {(r["__kept"], r["batch"], r["keys"], r["__meta"]) for r in done} == {("a", "b", "c", "d")}
     replaced = substring_dedup.remove_repeats(df)
     assert replaced.columns == ["doc_id", "text", "batch", "keys", "__meta", "__n_words", "__n_removed", "__kept"]
+
+
+def brute_fits(x, schema):
+    kinds = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "null": type(None), "object": dict, "array": list}
+    types = schema.get("type", [])
+    types = [types] if isinstance(types, str) else types
+    if types and not any(isinstance(x, kinds[t]) and (t == "boolean" or not isinstance(x, bool)) for t in types):
+        return False
+    if "enum" in schema and x not in schema["enum"]:
+        return False
+    sizes = {"Length": len(x) if isinstance(x, str) else None, "Items": len(x) if isinstance(x, list) else None, "imum": x if isinstance(x, (int, float)) and not isinstance(x, bool) else None}
+    for name, size in sizes.items():
+        if size is not None and not schema.get(f"min{name}", size) <= size <= schema.get(f"max{name}", size):
+            return False
+    if isinstance(x, list) and "items" in schema and not all(brute_fits(y, schema["items"]) for y in x):
+        return False
+    if isinstance(x, dict) and ("properties" in schema or "required" in schema):
+        known = schema.get("properties", {})
+        if not schema.get("additionalProperties") and not set(x) <= set(known) or not set(schema.get("required", ())) <= set(x):
+            return False
+        return all(brute_fits(y, known[k]) for k, y in x.items() if k in known)
+    return True
+
+
+def test_schemas_of_nested_arguments(spark):
+    import json
+
+    from webframe.llm import chat
+
+    schema = {
+        "type": "object",
+        "properties": {
+            "to": {"type": "array", "items": {"type": "object", "properties": {"name": {"type": "string", "minLength": 2}, "age": {"type": ["integer", "null"], "minimum": 0}}, "required": ["name"]}, "minItems": 1, "maxItems": 2},
+            "mode": {"enum": ["a", "b", 3, None]},
+            "rate.x": {"type": "number", "maximum": 1.5},
+            "any": {},
+            "open": {"type": "object", "required": ["k"], "additionalProperties": True},
+        },
+        "required": ["to"],
+    }
+    rng = random.Random(6)
+    pick = lambda *xs: rng.choice(xs)
+
+    def person():
+        return pick({"name": pick("ann", "x", 5)}, {"name": "bob", "age": pick(3, -1, None, "4", 2.5)}, {"age": 1}, {"name": "bob", "more": 1}, "bob")
+
+    rows = []
+    for _ in range(300):
+        x = {"to": pick([], [person()], [{"name": "ann"}], [{"name": "ann"}, person()], [person()] * 3, "no", None)}
+        for k, v in (("mode", pick("a", "c", 3, None, "3")), ("rate.x", pick(1, 1.5, 2, "1")), ("any", pick([], {}, None, 1)), ("open", pick({"k": 1, "z": 2}, {}, [])), ("z", 1)):
+            if rng.random() < 0.2:
+                x[k] = v
+        rows.append(json.dumps(x))
+    whole = [(t, brute_fits(json.loads(t), schema)) for t in rows]
+    odd = [("[1]", False), ("{", False), (None, False), ("", False), ("3", False), ('"to"', False)]
+    df = spark.createDataFrame([(t, w) for t, w in [*whole, *odd]], "arguments string, want boolean")
+    found = df.select("arguments", "want", chat.valid_arguments(F.lit("t"), F.col("arguments"), {"t": schema}).alias("found")).collect()
+    assert not [r for r in found if r["found"] != r["want"]]
+    assert 10 < sum(w for _, w in whole) < 280
+    assert not df.filter(chat.valid_arguments(F.lit("other"), F.col("arguments"), {"t": schema})).count()
+
+
+def test_order_over_call_dependencies(spark):
+    from webframe.llm import chat
+
+    rng = random.Random(5)
+    messages, parent = [], {}
+    for conv in range(6):
+        turns = sorted(rng.sample(range(60), 40))
+        for n, t in enumerate(turns):
+            after = f"k{rng.choice(turns[:n])}" if n and rng.random() < 0.5 else None
+            parent[conv, t] = int(after[1:]) if after else t - 1 if t - 1 in turns else None
+            messages.append((conv, t, "call", f"k{t}", after, "reply", "{}", None, None))
+    circle = [(90, t, "call", f"k{t}", f"k{(t + 1) % 3}", "reply", "{}", None, None) for t in range(3)] + [(90, 9, "call", "k9", "k2", "reply", "{}", None, None), (90, 20, "call", "k20", "nowhere", "reply", "{}", None, None)]
+    cols = "conv_id long, turn long, kind string, call_key string, after_key string, name string, arguments string, role string, content string"
+    found = {(r["conv_id"], r["turn"]): r["depth"] for r in chat.link(spark.createDataFrame(messages + circle, cols)).collect()}
+
+    def depth(conv, t):
+        up = parent[conv, t]
+        return 0 if up is None else 1 + depth(conv, up)
+
+    want = {k: depth(*k) for k in parent} | {(90, t): None for t in (0, 1, 2, 9)} | {(90, 20): 0}
+    assert found == want
+    plain = chat.link(spark.createDataFrame([m[:4] + (None,) + m[5:] for m in messages], cols)).collect()
+    turns = {(r["conv_id"], r["turn"]) for r in plain}
+
+    def run(conv, t):
+        return 1 + run(conv, t - 1) if (conv, t - 1) in turns else 0
+
+    assert {(r["conv_id"], r["turn"]): r["depth"] for r in plain} == {k: run(*k) for k in turns}
+
+
+def plain_feistel(x, n, seed):
+    """The permutation by integers and the standard hash, walking until inside."""
+    import xxhash
+
+    from webframe.llm import sharding
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    a = math.isqrt(n - 1) + 1 if n > 1 else 1
+    b = -(-n // a)
+
+    def mixed(value, k):
+        h = 42
+        for part in (struct.pack("<i", seed), struct.pack("<i", k), struct.pack("<q", value)):
+            h = xxhash.xxh64_intdigest(part, h)
+        return signed(h)
+
+    while True:
+        left, right = divmod(x, b)
+        for k in range(sharding.ROUNDS):
+            if k % 2 == 0:
+                left = (left + mixed(right, k) % a) % a
+            else:
+                right = (right + mixed(left, k) % b) % b
+        x = left * b + right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("walks", [64, 1])
+def test_feistel_equals_a_second_implementation(spark, monkeypatch, walks):
+    from webframe.llm import sharding
+
+    monkeypatch.setattr(sharding, "WALKS", walks)  # with one step for each look, rows must walk on
+    for n in (1, 2, 3, 7, 50, 131):
+        rows = sharding.permuted(spark.range(n), "id", n, "place", 17).collect()
+        assert {r["id"]: r["place"] for r in rows} == {x: plain_feistel(x, n, 17) for x in range(n)}
+        assert sorted(r["place"] for r in rows) == list(range(n))
+
+
+def test_sharding_of_null_ids_ties_and_clashing_names(spark):
+    import zlib
+
+    from webframe.llm import sharding
+
+    rows = [(None, "a"), (None, "a"), (None, None), (4, "b"), (4, "b"), (4, "ü"), (2**63 - 1, "")] * 3
+    df = spark.createDataFrame([(i, t, 1, 2, "c") for i, t in rows], "doc_id long, text string, size int, shard int, _key string")
+    found = sharding.shard(df, shards=4).collect()
+    body = lambda t: (t or "").encode()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in found) == Counter((i, len(body(t)) + 16, zlib.crc32(body(t))) for i, t in rows)
+    assert sorted((r["shard"], r["slot"]) for r in found) == sorted((k % 4, k // 4) for k in range(len(rows)))
