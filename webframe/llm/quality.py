@@ -6,9 +6,9 @@ exact copies, which a dedup step handles, don't make their own lines frequent. A
 MIN_DOCS documents of its host or more, however many the host has; callers may ask for over a share of them too. A document whose words are lost for the most part when
 its boilerplate lines go (under KEEP of its words stay) is depleted and rejected.
 
-Texts are not shuffled: only (host, line hash, text hash) and per-document word counts of lines are, pre-aggregated
-before each exchange. The counts meet the lines of documents again in a plain equi-join of two exchanges, which adaptive
-execution splits where a line is in a third of all rows.
+Texts are not shuffled and their lines are cut once: (id, host, text hash, place, line hash, words) of each line is
+checkpointed, counted, and met again by the frequent lines in a plain equi-join, which adaptive execution splits where a
+line is in a third of all rows. Counts are pre-aggregated before each exchange.
 
 Defined results: a null text has no words (base_failed); a null source is a host of its own; a document without words is
 rejected; repeated rows are judged alike and all stay in the result; extra columns are ignored by :func:`judge` and kept
@@ -105,34 +105,32 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
     return rows.select("id", "host", "text_hash", "n_words", "place", F.xxhash64("line").alias("line_hash"), _line_words(F.col("line")).alias("words"))
 
 
-def frequent_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """(host, line_hash) of boilerplate."""
-    lines = _lines(docs, id_col, text_col, host_col)
+def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+    """(f_host, f_hash) of boilerplate, from (host, text_hash, line_hash) of lines."""
     once = lines.groupBy("host", "text_hash", "line_hash").agg(F.lit(1).alias("one"))
     counts = once.groupBy("host", "line_hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
-    if not share:
-        return counts.select(F.col("host").alias("f_host"), F.col("line_hash").alias("f_hash"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    hosts = docs.select(F.col(host_col).alias("host"), F.xxhash64(text).alias("t")).groupBy("host", "t").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("n_host"))
-    joined = counts.join(hosts, counts["host"].eqNullSafe(hosts["host"]))
-    return joined.filter(F.col("n") > F.lit(share) * F.col("n_host")).select(counts["host"].alias("f_host"), F.col("line_hash").alias("f_hash"))
-
-
-def _lost(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int, share: float, total: bool = True) -> DataFrame:
-    """(l_id, l_host, l_hash, lost, l_words, l_lines): the boilerplate words of rows that have any, if ``total`` all words,
-    and the hashes of the lines."""
-    lines = _lines(docs, id_col, text_col, host_col)
-    if not total:
-        lines = lines.withColumn("n_words", F.lit(None).cast("long"))
-    often = frequent_lines(docs, id_col, text_col, host_col, min_docs, share)
+    if share:
+        hosts = lines.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy(F.col("host").alias("h")).agg(F.count("*").alias("n_host"))
+        counts = counts.join(hosts, counts["host"].eqNullSafe(hosts["h"])).filter(F.col("n") > F.lit(share) * F.col("n_host"))
+    return counts.select(F.col("host").alias("f_host"), F.col("line_hash").alias("f_hash"))
+
+
+def row_key(id: Column, host: Column) -> Column:
+    return F.xxhash64(id, host, id.isNull(), host.isNull())
+
+
+def _lost(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int, share: float) -> DataFrame:
+    """(l_key, l_hash, lost, l_words, l_lines) of rows that have boilerplate, by the keys of id and host, and text: the
+    words of boilerplate, all words, and the hashes of the lines. The keys are 16 bytes, whatever ids and hosts are."""
+    lines = cut(_lines(docs, id_col, text_col, host_col))
+    often = frequent_lines(lines, min_docs, share)
     met = lines.join(often, lines["host"].eqNullSafe(often["f_host"]) & (lines["line_hash"] == often["f_hash"]))
-    met = met.select("id", "host", "text_hash", "place", "line_hash", "words", "n_words").distinct()  # rows that are repeated lose the same lines
-    sums = met.groupBy("id", "host", "text_hash").agg(F.sum("words").alias("lost"), F.max("n_words").alias("l_words"), F.collect_set("line_hash").alias("l_lines"))
-    return sums.select(F.col("id").alias("l_id"), F.col("host").alias("l_host"), F.col("text_hash").alias("l_hash"), "lost", "l_words", "l_lines")
+    met = met.select(row_key(F.col("id"), F.col("host")).alias("l_key"), F.col("text_hash").alias("l_hash"), "place", "line_hash", "words", "n_words").distinct()  # rows that are repeated lose the same lines
+    return met.groupBy("l_key", "l_hash").agg(F.sum("words").alias("lost"), F.max("n_words").alias("l_words"), F.collect_set("line_hash").alias("l_lines"))
 
 
 def _passes_base(docs: DataFrame, text_col: str) -> DataFrame:
-    words = words_of(F.coalesce(F.col(text_col), F.lit("")))
+    words = words_of(F.coalesce(docs[text_col], F.lit("")))
     return docs.filter(_let(words, lambda w: (F.size(w) >= MIN_WORDS) & (100 * repeat_words(w) <= MAX_REPEAT_PERCENT * F.size(w))))
 
 
@@ -140,37 +138,40 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     """The rows of ``docs`` that are kept, unchanged. :func:`remove_lines` keeps the same rows without their boilerplate.
 
     Rules of one document need no exchange. The depleted ones are written first; they are sent to the documents if they
-    are few (at most SENT_ROWS of three short columns), and otherwise meet them in a shuffled join.
+    are few (at most SENT_ROWS of two numbers), and otherwise meet them in a shuffled join.
     """
-    gone = cut(_lost(docs, id_col, text_col, host_col, min_docs, share).filter(F.col("l_words") - F.col("lost") < F.lit(keep) * F.col("l_words")).drop("lost", "l_words", "l_lines"))
-    good = _passes_base(docs, text_col)
+    gone = cut(_lost(docs, id_col, text_col, host_col, min_docs, share).filter(F.col("l_words") - F.col("lost") < F.lit(keep) * F.col("l_words")).select("l_key", "l_hash"))
     side = F.broadcast(gone) if gone.count() <= SENT_ROWS else gone
-    same = good[id_col].eqNullSafe(gone["l_id"]) & good[host_col].eqNullSafe(gone["l_host"]) & (F.xxhash64(F.coalesce(good[text_col], F.lit(""))) == gone["l_hash"])
-    return good.join(side, same, "left_anti")
+    return _passes_base(docs, text_col).join(side, _same(docs, gone, id_col, text_col, host_col), "left_anti")
+
+
+def _same(docs: DataFrame, lost: DataFrame, id_col: str, text_col: str, host_col: str) -> Column:
+    """Columns are named by their frames: those of ``docs`` may have any names."""
+    return (row_key(docs[id_col], docs[host_col]) == lost["l_key"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == lost["l_hash"])
 
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, keep: float = KEEP) -> DataFrame:
     """The rows that :func:`keep_good` keeps, with ``text_col`` rebuilt without its boilerplate lines.
 
     The hashes of the lines that a row loses come back to it, and its lines are split and filtered again. All other
-    lines, blank ones too, stay as they are; texts that lose nothing are not touched.
+    lines, blank ones too, stay as they are; texts that lose nothing are not touched. Rows and hashes are sent to the
+    documents if together they are SENT_ROWS numbers at most.
     """
     found = cut(_lost(docs, id_col, text_col, host_col, min_docs, share))
-    side = F.broadcast(found) if found.count() <= SENT_ROWS // 5 else found
-    good = _passes_base(docs, text_col)
-    same = good[id_col].eqNullSafe(found["l_id"]) & good[host_col].eqNullSafe(found["l_host"]) & (F.xxhash64(F.coalesce(good[text_col], F.lit(""))) == found["l_hash"])
-    depleted = F.coalesce(F.col("l_words") - F.col("lost") < F.lit(keep) * F.col("l_words"), F.lit(False))
-    rows = good.join(side, same, "left").filter(~depleted)
-    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x: ~F.array_contains("l_lines", F.xxhash64(_normal(x)))), "\n")
-    return rows.withColumn(text_col, F.when(F.col("l_lines").isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
+    numbers = found.agg(F.sum(F.size("l_lines") + 4)).first()[0] or 0
+    side = F.broadcast(found) if numbers <= SENT_ROWS else found
+    depleted = F.coalesce(found["l_words"] - found["lost"] < F.lit(keep) * found["l_words"], F.lit(False))
+    rows = _passes_base(docs, text_col).join(side, _same(docs, found, id_col, text_col, host_col), "left").filter(~depleted)
+    left = F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda x: ~F.array_contains(found["l_lines"], F.xxhash64(_normal(x)))), "\n")
+    text = F.when(found["l_lines"].isNull(), docs[text_col]).otherwise(left).alias(text_col)
+    return rows.select(*[text if c == text_col else docs[c] for c in docs.columns])
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, keep: float = KEEP) -> DataFrame:
     """One row per row of ``docs``: the counts, n_boilerplate_words, base_failed and kept."""
-    lost = _lost(docs, id_col, text_col, host_col, min_docs, share, total=False).drop("l_words", "l_lines")
+    lost = _lost(docs, id_col, text_col, host_col, min_docs, share).select("l_key", "l_hash", "lost")
     rows = base(docs, id_col, text_col, host_col)
-    same = rows["id"].eqNullSafe(lost["l_id"]) & rows["host"].eqNullSafe(lost["l_host"]) & (rows["text_hash"] == lost["l_hash"])
-    joined = rows.join(lost, same, "left").drop("l_id", "l_host", "l_hash")
+    joined = rows.join(lost, (row_key(rows["id"], rows["host"]) == lost["l_key"]) & (rows["text_hash"] == lost["l_hash"]), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = joined.withColumn("base_failed", failed).withColumn("n_boilerplate_words", F.least(F.coalesce("lost", F.lit(0)), F.col("n_words")).cast("long"))
     left = F.col("n_words") - F.col("n_boilerplate_words")
