@@ -3,11 +3,14 @@
 The text is normalised by longest-prefix replacement through the model's compiled character map (a double-array trie
 and a pool of replacements; a model without one maps each character to itself), white space becomes U+2581 and the
 dummy prefix is added. Each normalised byte keeps the source byte it came from. The library's ids then give piece
-lengths in normalised bytes, so that running sums project every piece to a span of the source. The normalised text of
-the pieces is compared with our own, and a text whose spans can't be shown right raises an error.
+lengths in normalised bytes, so that running sums project every piece to a span of the source. An unknown piece has the
+characters between the known ones around it: in the library a run of unknown characters is one piece.
 
 Defined results: a null text is an empty one, encoded as the begin and end ids alone; begin, end and dummy prefix have
-empty spans; repeated rows are encoded each for itself; extra columns are ignored.
+empty spans; of several pieces that one source character became, as bytes or by the map, the last has its span and the
+others are empty before it; a text whose pieces don't add up to the normalised text has null spans, while its ids and decoded text stand; repeated
+rows are encoded each for itself; extra columns are ignored; of ids that the model doesn't have :func:`decode` makes a
+null text.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SPACE = "▁".encode()
 PIECE_BYTES = 1 << 20
@@ -65,6 +69,7 @@ class Encoder:
         spec = proto.normalizer_spec
         self.map, self.prefix, self.squeeze, self.escape = CharsMap(spec.precompiled_charsmap), spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
         kinds = proto.SentencePiece
+        self.piece = [bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else b"" if p.type == kinds.CONTROL else p.piece.encode() for p in proto.pieces]
         self.length = np.array([1 if p.type == kinds.BYTE else 0 if p.type == kinds.CONTROL else len(p.piece.encode()) for p in proto.pieces], np.int64)
         self.unknown = self.library.unk_id()
 
@@ -72,56 +77,87 @@ class Encoder:
         """The normalised text, and for each of its bytes and its end the source byte that it comes from."""
         if not len(self.map.units) and not self.squeeze and self.escape:
             return self._escaped(text)
-        out, source, at = bytearray(), [], 0
-        blank = SPACE if self.escape else b" "
+        units = []  # (source begin, replacement)
+        at = 0
         while at < len(text):
             hit = self.map.longest(text, at)
             size = hit[0] if hit else next((n for n, low in ((4, 0xF0), (3, 0xE0), (2, 0xC0)) if text[at] >= low), 1)
-            new = hit[1] if hit else text[at : at + size]
-            if self.squeeze and (new == b" " or not new.strip(b" ")) and (not out or out.endswith(blank)):
-                new = b""
-            new = new.replace(b" ", blank)
-            out += new
-            source += [at] * len(new)
+            units.append((at, hit[1] if hit else text[at : at + size]))
             at += size
+        end = len(text)
+        if self.squeeze:  # blanks at both ends go, and all but the first of a run
+            while units and not units[0][1].strip(b" "):
+                del units[0]
+        out, source = bytearray(), []
+        blank = SPACE if self.escape else b" "
+        if self.prefix and units:
+            out += blank
+            source += [units[0][0]] * len(blank)
+        blank_before = self.squeeze
+        for begin, new in units:
+            if blank_before:
+                new = new.lstrip(b" ")
+            if new:
+                shown = new.replace(b" ", blank)
+                out += shown
+                source += [begin] * len(shown)
+                blank_before = self.squeeze and new.endswith(b" ")
         if self.squeeze:
             while out.endswith(blank):
+                end = source[-len(blank)]
                 del out[-len(blank) :], source[-len(blank) :]
-        if self.prefix and out:
-            out, source = blank + out, [source[0]] * len(blank) + source
-        return bytes(out), np.array([*source, len(text)], np.int64)
+        return bytes(out), np.array([*source, end if out else 0], np.int64)
 
     def _escaped(self, text: bytes) -> tuple[bytes, np.ndarray]:
         body = SPACE + text.replace(b" ", SPACE) if self.prefix and text else text.replace(b" ", SPACE)
         raw = np.frombuffer(text, np.uint8)
         width = np.where(raw == 0x20, len(SPACE), 1)
-        source = np.repeat(np.arange(len(raw)), width)
+        begin = np.maximum.accumulate(np.where(raw & 0xC0 == 0x80, 0, np.arange(len(raw)))) if len(raw) else raw.astype(np.int64)
+        source = np.repeat(begin, width)
         if self.prefix and text:
             source = np.concatenate([np.zeros(len(SPACE), np.int64), source])
         return body, np.append(source, len(raw))
 
-    def spans(self, text: bytes, ids: np.ndarray) -> np.ndarray:
-        """Source (begin, end) of each id."""
+    def spans(self, text: bytes, ids: np.ndarray) -> np.ndarray | None:
+        """Source (begin, end) of each id; null where the ids aren't the normalised text's."""
         body, source = self.normalise(text)
         size = self.length[ids]
-        if (ids == self.unknown).any():  # unknown pieces have the length of what they stand for
+        if (ids == self.unknown).any():
             size = self._sizes(body, ids)
-        if size.sum() != len(body):
-            raise ValueError("pieces don't cover the normalised text")
+        if size is None or size.sum() != len(body):
+            return None
         end = np.cumsum(size)
         return np.stack([source[end - size], source[end]], axis=1)
 
-    def _sizes(self, body: bytes, ids: np.ndarray) -> np.ndarray:
-        size, at = np.zeros(len(ids), np.int64), 0
+    def _sizes(self, body: bytes, ids: np.ndarray) -> np.ndarray | None:
+        """Lengths where some pieces are unknown. Runs of known pieces between unknown ones are found one after another;
+        where the first of them may begin at several places, the latest pieces decide by going on to the end."""
+        runs: list[list[int]] = [[]]
         for k, i in enumerate(ids.tolist()):
-            if i != self.unknown:
-                size[k] = self.length[i]
-            else:  # up to the next place where the following known piece fits
-                after = next((self.library.id_to_piece(j).encode() for j in ids[k + 1 :].tolist() if j != self.unknown and self.length[j] > 0), b"")
-                to = body.find(after, at + 1) if after else len(body)
-                size[k] = (to if to >= 0 else len(body)) - at
-            at += int(size[k])
-        return size
+            if i == self.unknown:
+                runs.append([])
+            else:
+                runs[-1].append(k)
+        show = lambda run: b"".join(self.piece[ids[k]] for k in run)
+        texts = [show(r) for r in runs]
+        if not body.startswith(texts[0]) or not body.endswith(texts[-1]):
+            return None
+        known = [0]
+        for t in texts[1:-1]:  # at least one character is unknown before each
+            at = known[-1] + len(texts[len(known) - 1])
+            skip = next((n for n, low in ((4, 0xF0), (3, 0xE0), (2, 0xC0)) if at < len(body) and body[at] >= low), 1)
+            found = body.find(t, at + skip) if t else at + skip
+            if found < 0:
+                return None
+            known.append(found)
+        if len(texts) > 1:
+            known.append(len(body) - len(texts[-1]))
+        size = self.length[ids].copy()
+        places = iter(zip(known[1:], (a + len(t) for a, t in zip(known, texts, strict=True)), strict=False))
+        for k in np.flatnonzero(ids == self.unknown):
+            begin, before = next(places)
+            size[k] = begin - before
+        return size if (size >= 0).all() else None
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
@@ -168,24 +204,29 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                 for text, ids, back in zip(texts, all_ids, decoded, strict=True):
                     x = np.array(ids, np.uint32)
                     span = e.spans(text.encode(), x)
-                    values = [len(x), hashlib.sha256(x.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), hashlib.sha256(span.astype("<u4").tobytes()).hexdigest(), len(text.encode())]
+                    shown = None if span is None else hashlib.sha256(span.astype("<u4").tobytes()).hexdigest()
+                    values = [len(x), hashlib.sha256(x.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), shown, len(text.encode())]
                     if more:
-                        values += [x.astype(np.int32), span[:, 0], span[:, 1], back]
+                        values += [x.astype(np.int32), *((None, None) if span is None else (span[:, 0], span[:, 1])), back]
                     for column, v in zip(rows, values, strict=False):
                         column.append(v)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, t) for c, t in zip(rows, types, strict=False))], names=names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {", ".join([SCHEMA, *more])}")
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, {", ".join([SCHEMA, *more])}")
 
 
 def decode(tokens: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``id_col`` and ``text`` of each row of ids; null ids give an empty text."""
     kind = dict(tokens.dtypes)[id_col]
 
+    def text_of(e: Encoder, ids: list[int] | None) -> str | None:
+        fits = all(i is not None and 0 <= i < len(e.length) for i in ids or [])
+        return e.library.decode(ids or []) if fits else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model)
         for batch in batches:
-            texts = [e.library.decode(ids or []) for ids in batch.column(1).to_pylist()]
+            texts = [text_of(e, ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
     return tokens.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
