@@ -331,3 +331,57 @@ def test_sharding_of_null_ids_ties_and_clashing_names(spark):
     body = lambda t: (t or "").encode()
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in found) == Counter((i, len(body(t)) + 16, zlib.crc32(body(t))) for i, t in rows)
     assert sorted((r["shard"], r["slot"]) for r in found) == sorted((k % 4, k // 4) for k in range(len(rows)))
+
+
+def model_with_map(rule, squeeze, fallback):
+    """The query's vocabulary behind a character map that the library compiles from its rules; nothing is trained."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    from webframe.llm.queries import tokenizer_model
+
+    own, rules = pb.ModelProto(), pb.ModelProto()
+    own.ParseFromString(tokenizer_model())
+    rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    own.normalizer_spec.CopyFrom(rules.normalizer_spec)
+    own.normalizer_spec.remove_extra_whitespaces = squeeze
+    own.normalizer_spec.add_dummy_prefix = own.normalizer_spec.escape_whitespaces = True
+    if not fallback:
+        own.trainer_spec.byte_fallback = False
+        for p in own.pieces:
+            if p.type == p.BYTE:
+                p.type = p.CONTROL
+    return own.SerializeToString()
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "identity"])
+@pytest.mark.parametrize("squeeze", [True, False])
+@pytest.mark.parametrize("fallback", [True, False])
+def test_spans_equal_the_librarys_offsets(rule, squeeze, fallback):
+    from webframe.llm.pieces import Encoder
+
+    e = Encoder(model_with_map(rule, squeeze, fallback))
+    assert bool(len(e.map.units)) == (rule != "identity")
+    rng = random.Random(1)
+    parts = ["a", "B", "ﬁ", "①", "  ", " ", "\u3000", "é", "e\u0301", "カ\u3099", "が", "\xa0", "漢", "ﷺ", "x", "\n", "\t", "\u200b", "İ", "ß", "😀", "Ⅷ", "ａ", "word", "ing ", "▁"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        raw = text.encode()
+        body, source = e.normalise(raw)
+        assert body.decode() == e.library.normalize(text), repr(text)
+        ids = e.encode([text])[0]
+        found = e.spans(raw, np.array(ids))
+        want = [(p.begin, p.end) for p in e.library.encode(text, return_type="proto").pieces]
+        assert [tuple(map(int, x)) for x in found[1:-1]] == want, repr(text)
+
+
+def test_spans_and_decoding_of_what_does_not_fit(spark):
+    from webframe.llm import pieces
+    from webframe.llm.queries import tokenizer_model
+
+    e = pieces.encoder(tokenizer_model())
+    ids = np.array(e.encode(["some text"])[0])
+    assert e.spans(b"another text of more words", ids) is None
+    assert e.spans(b"some text", np.array([e.unknown, *ids, e.unknown])) is None
+    rows = spark.createDataFrame([(1, ids.tolist()), (2, None), (3, [5, 10**6]), (4, [-1]), (5, [])], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in pieces.decode(rows, tokenizer_model()).collect()} == {1: "some text", 2: "", 3: None, 4: None, 5: ""}
