@@ -385,3 +385,102 @@ def test_spans_and_decoding_of_what_does_not_fit(spark):
     assert e.spans(b"some text", np.array([e.unknown, *ids, e.unknown])) is None
     rows = spark.createDataFrame([(1, ids.tolist()), (2, None), (3, [5, 10**6]), (4, [-1]), (5, [])], "doc_id long, ids array<int>")
     assert {r["doc_id"]: r["text"] for r in pieces.decode(rows, tokenizer_model()).collect()} == {1: "some text", 2: "", 3: None, 4: None, 5: ""}
+
+
+def dict_model(texts):
+    """Counts of (context, byte) for every order, by the bytes themselves."""
+    from webframe.llm import url_filter as U
+
+    seen, total = Counter(), Counter()
+    for t in texts:
+        padded = b"\0" * U.ORDER + t
+        for i in range(U.ORDER, len(padded)):
+            for k in range(U.ORDER + 1):
+                seen[padded[i - k : i], padded[i], k] += 1
+                total[padded[i - k : i], k] += 1
+
+    def log(t):
+        padded, out = b"\0" * U.ORDER + t, 0.0
+        for i in range(U.ORDER, len(padded)):
+            p = 1 / 256
+            for k in range(U.ORDER + 1):
+                p = (seen[padded[i - k : i], padded[i], k] + U.SMOOTH * p) / (total[padded[i - k : i], k] + U.SMOOTH)
+            out += math.log(p)
+        return out
+
+    return log
+
+
+def test_url_scores_equal_a_model_of_dicts(monkeypatch):
+    from webframe.llm import url_filter as U
+
+    monkeypatch.setattr(U, "TABLE_BITS", 23)  # hardly any chance collision
+    rng = random.Random(3)
+    url = lambda x: f"www.{rng.choice(['news', 'blog', 'shop'])}.{x}/{''.join(rng.choice('abcdef0123') for _ in range(rng.randint(0, 12)))}/{rng.choice(['a', 'ü', '%20'])}"
+    good, bad = [url("org").encode() for _ in range(40)], [url("net").encode() for _ in range(30)]
+    ratio = U.fit(good, bad)
+    yes, no = (dict_model([t for i, t in enumerate(x) if i % 5]) for x in (good, bad))
+    texts = [*good[:8], *bad[:8], b"", b"x", b"q" * 300]
+    off = [abs(s - (yes(t) - no(t)) / max(1, len(t))) for t, s in zip(texts, ratio.score(texts), strict=True)]
+    assert sorted(off)[len(off) // 2] < 1e-5 and max(off) < 0.02
+    assert ratio.balance > 0.9
+    assert U.fit([], bad).score([b"x"])[0] != 0 and U.fit([], []).score([b"x"])[0] == 0 and U.fit(good[:4], bad).balance is None
+
+
+def test_url_verdicts_of_long_null_and_repeated_urls(spark):
+    from webframe.llm import url_filter as U
+
+    rows = [(k, f"http://h{k}.{'net' if k % 2 else 'org/fr'}/p{k}") for k in range(60)] + [(100, None), (None, "no scheme"), (101, "http://zz.example/" + "long/" * 400_000), (102, "http://zz.example/x"), (102, "http://zz.example/x"), (103, "HTTP://ÜBER.Example.NET/en/\nx")]
+    pages = spark.createDataFrame([(i, u, "a", "b") for i, u in rows], "page_id long, url string, host string, rule_verdict string")
+    found = U.judge(pages).collect()
+    assert Counter(r["page_id"] for r in found) == Counter(i for i, _ in rows)
+    by = {r["page_id"]: r for r in found}
+    assert all(by[k]["verdict"] == ("block" if k % 2 else "allow") for k in range(60))
+    assert (by[100]["host"], by[100]["score"], by[None]["path"]) == ("", 0.0, "") and len(by[101]["path"]) == 2_000_001
+    assert (by[103]["host"], by[103]["rule"]) == ("ÜBER.example.net".replace("B", "b").replace("E", "e").replace("R", "r"), "example.net/en/")
+    assert len({(r["verdict"], r["score"]) for r in found if r["page_id"] == 102}) == 1
+
+
+def test_near_copies_in_lists_longer_than_a_chunk(spark, monkeypatch):
+    from test_whole_jobs import brute_near_copies
+
+    from webframe.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "CHUNK", 4)
+    rng = random.Random(9)
+    hot = [f"h{i}" for i in range(40)]
+    rows = []
+    for k in range(60):
+        w = hot + [f"u{rng.randrange(10**6)}" for _ in range(rng.choice([4, 8, 12, 60]))]
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {}
+    for r in near_copies.groups(docs).collect():
+        found.setdefault(r["__group"], []).append(r["doc_id"])
+    assert sorted(min(v) for v in found.values()) == [rows[k][0] for k in brute_near_copies(rows)]
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    """Nulls, repeated rows, empty tables, very long texts and clashing names, for each stage by itself."""
+    import corpus_pipeline as P
+
+    spark.createDataFrame([(1, "x " * 40), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    own = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(1, None), (1, None), (None, None), (2, ""), (None, own(1)), (None, own(1)), (3, own(2)), (3, own(2)), (3, own(3)), (4, own(2)), (2**63 - 1, own(4)), (2**63 - 1, own(5)), (5, " ".join(f"v{j}" for j in range(60_000)))]
+    cols = "doc_id long, text string, lang string, source string, n_chars long, l_key long, f_host string, __key string, kept string, component string, id string"
+    docs = spark.createDataFrame([(i, t, None, None, None, 1, "a", "b", "c", "d", "e") for i, t in rows], cols).repartition(3)
+    want = {
+        "quality_rules": Counter((i, t) for i, t in rows if t),
+        "simhash_near_dedup": Counter([(None, None), (None, own(1)), (None, own(1)), (1, None), (3, own(2)), (3, own(3)), (2**63 - 1, own(4)), (2**63 - 1, own(5)), rows[-1]]),
+        "substring_dedup": Counter((i, t) for i, t in rows if i != 4),
+        "benchmark_decontamination": Counter(rows),
+    }
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        # of the rows that say nothing, ids 1 and 2 are copies of one another
+        assert Counter((r["doc_id"], r["text"]) for r in found) == want[name], name
+        assert {(r["l_key"], r["f_host"], r["__key"], r["kept"], r["component"], r["id"]) for r in found} == {(1, "a", "b", "c", "d", "e")}
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert P.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows)
