@@ -1,7 +1,8 @@
-"""URL functions: a full parser for any input, and native columns for canonical-looking URLs.
+"""URL functions: a full parser for any input, and native columns for canonical URLs.
 
-``url_info`` is an Arrow-batched UDF, run over distinct URLs by :func:`with_url_info`. The native functions below it cover
-URLs that :func:`is_plain` accepts; on those both give the same result (see tests).
+``url_info`` is an Arrow-batched UDF for any text. :func:`canonical` and :func:`resolved` make canonical URLs: natively
+where :func:`is_plain` accepts the URL, on which both agree, and by the full parser elsewhere; workers get nothing but
+nulls for plain rows. The other native functions take canonical URLs apart, userinfo and IPv6 addresses included.
 """
 
 from __future__ import annotations
@@ -46,6 +47,14 @@ def percent_encode_plus(text: str, encode_set: bytes = QUERY_SET, encoding: str
     return percent_encode(text, encode_set, encoding).replace(" ", "+")
 
 
+def percent_decode(text: str, encoding: str = "utf-8") -> str:
+    return unquote(text, encoding)
+
+
+def percent_decode_plus(text: str, encoding: str = "utf-8") -> str:
+    return unquote(text.replace("+", " "), encoding)
+
+
 def uppercase_escapes(text: str) -> str:
     """Upper-cases escapes of two lower-case or decimal digits; mixed-case ones stay as they are."""
     return re.sub("%[a-f0-9]{2}", lambda m: m[0].upper(), text)
@@ -82,7 +91,10 @@ def normalize_hostname(host: str) -> str:
     if host.startswith("["):
         if not host.endswith("]"):
             raise ValueError("bracket isn't closed")
-        return ipaddress.IPv6Address(host[1:-1]).compressed
+        address = ipaddress.IPv6Address(host[1:-1])
+        if address.ipv4_mapped:  # in groups of hexadecimal digits, as all others
+            return "::ffff:{:x}:{:x}".format(*divmod(int(address.ipv4_mapped), 1 << 16))
+        return address.compressed
     name = (_ipv4(host) or host).encode("idna").decode("ascii").lower()
     name.encode("idna")
     if FORBIDDEN_IN_HOST & set(name):
@@ -91,8 +103,8 @@ def normalize_hostname(host: str) -> str:
 
 
 @lru_cache(4096)
-def parse_url(url: str | None, default_scheme: str | None = "http") -> dict | None:
-    """The parts of a URL as a dict; raises ValueError where it can't be one. Other schemes than those with a default
+def parse_url(url: str | None, default_scheme: str | None = "http", encoding: str = "utf-8") -> dict | None:
+    """The parts of a URL as a dict, path and query in the bytes of ``encoding``; raises ValueError where it can't be one. Other schemes than those with a default
     port are opaque: only raw, scheme and path are set."""
     if url is None:
         return None
@@ -124,9 +136,9 @@ def parse_url(url: str | None, default_scheme: str | None = "http") -> dict | No
     if not hostname:
         raise ValueError("no host")
     number = number or DEFAULT_PORTS[scheme]
-    path = uppercase_escapes(percent_encode(flatten_path("/" + path.removeprefix("/"), True)))
-    query = uppercase_escapes(percent_encode_plus(query))
-    fragment = uppercase_escapes(percent_encode(fragment, FRAGMENT_SET))
+    path = uppercase_escapes(percent_encode(flatten_path("/" + path.removeprefix("/"), True), encoding=encoding))
+    query = uppercase_escapes(percent_encode_plus(query, encoding=encoding))
+    fragment = uppercase_escapes(percent_encode(fragment, FRAGMENT_SET, encoding))
     username, password = unquote(username), unquote(password)
     user = uppercase_escapes(percent_encode(username, USERNAME_SET)) + (":" + uppercase_escapes(percent_encode(password, PASSWORD_SET)) if password else "")
     shown = f"[{hostname}]" if ":" in hostname else hostname
@@ -155,9 +167,19 @@ def url_info(urls: pd.Series) -> pd.DataFrame:
 
 
 def with_url_info(df: DataFrame, url_col: str = "url", name: str = "info") -> DataFrame:
-    """Adds the parts of each URL, parsing every distinct URL once."""
-    parsed = df.select(F.col(url_col).alias("__u")).filter(F.col("__u").isNotNull()).distinct().withColumn(name, url_info("__u"))
-    return df.join(parsed, df[url_col] == parsed["__u"], "left").drop("__u")
+    """Adds the parts of each URL: a narrow map, as shuffling URLs to parse each but once would cost more."""
+    return df.withColumn(name, url_info(F.col(url_col)))
+
+
+@F.pandas_udf(T.StringType())
+def _canonical_of_any(urls: pd.Series) -> pd.Series:
+    return pd.Series([None if u is None else (try_parse_url(u) or {}).get("url") for u in urls], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def _resolved_of_any(bases: pd.Series, links: pd.Series) -> pd.Series:
+    joined = (join_url(b, x) for b, x in zip(bases, links, strict=True))
+    return pd.Series([None if u is None else (try_parse_url(u) or {}).get("url") for u in joined], dtype=object)
 
 
 @F.pandas_udf(T.StringType())
@@ -185,48 +207,89 @@ def str_udf(f):
 # --- native columns -----------------------------------------------------------------------------------------------
 
 
+_SAFE = r"!$&-;=@-\[\]^_a-z|~"
+_LABEL = "[a-z0-9-]{1,63}"
+_PLAIN = rf"^https?://(?:{_LABEL}\.)*(?={_LABEL}(?:[:/?#]|$))[0-9-]*[a-z][a-z0-9-]*(:[1-9][0-9]{{0,3}})?(/[{_SAFE}]*)?(\?[{_SAFE}?/]*)?(#[{_SAFE}?/]*)?$"
+_DOTS_OR_SLASHES = r"^[^?#]*://[^?#]*(//|/\.\.?(/|[?#]|$))"
+_HEXADECIMAL = r"^https?://(?:0x[0-9a-f]*|[0-9]+)(?:\.(?:0x[0-9a-f]*|[0-9]+))*(?:[:/?#]|$)"
+
+
 def is_plain(url: Column) -> Column:
-    """Whether the URL is already canonical but for its fragment, so that native functions parse it."""
-    return url.rlike(r"^https?://[a-z0-9.-]*[a-z][a-z0-9-]*(:[1-9][0-9]{0,3})?(/[!$&-;=@-\[\]^_a-z|~]*)?(\?[!$&-;=?@-\[\]^_a-z|~/]*)?(#.*)?$") & ~url.rlike(r"^[^?#]*://[^?#]*(//|/\.\.?(/|[?#]|$))")
+    """Whether the URL is canonical but for its fragment, a default port and a missing path, so that native functions
+    make it canonical: a name in lower case of labels that aren't all numbers, and only characters that are never escaped."""
+    return url.rlike(_PLAIN) & ~url.rlike(_DOTS_OR_SLASHES) & ~url.rlike(_HEXADECIMAL)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _tail(text: Column, mark: str) -> Column:
+    """What follows the first ``mark``; empty without one."""
+    at = F.instr(text, mark)
+    return F.when(at > 0, F.substr(text, at + len(mark))).otherwise("")
 
 
 def scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^([^:/?#]+):", 1))
+    return F.when(url.contains(":"), F.lower(F.substring_index(url, ":", 1))).otherwise("")
+
+
+def _authority(url: Column) -> Column:
+    rest = _tail(F.substring_index(F.substring_index(url, "#", 1), "?", 1), "://")
+    return F.substring_index(rest, "/", 1)
+
+
+def _host_and_port(url: Column) -> Column:
+    return F.substring_index(_authority(url), "@", -1)
 
 
 def hostname(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[^:]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    return F.lower(let(_host_and_port(url), lambda h: F.when(h.startswith("["), F.substring_index(F.substr(h, F.lit(2)), "]", 1)).otherwise(F.substring_index(h, ":", 1))))
 
 
-def port(url: Column) -> Column:
-    given = F.regexp_extract(url, r"^[^:]+://[^/?#:]*:([0-9]+)", 1)
+def _given_port(host: Column) -> Column:
+    """The port of ``host:port``; null without one."""
+    after = F.when(host.startswith("["), _tail(host, "]")).otherwise(host)
+    return F.nullif(_tail(after, ":"), F.lit("")).try_cast("int")
+
+
+def _default_port(name: Column) -> Column:
     default = F.lit(None).cast("int")
-    for name, number in DEFAULT_PORTS.items():
-        default = F.when(scheme(url) == name, number).otherwise(default)
-    return F.when(given != "", given.cast("int")).otherwise(default)
+    for known, number in DEFAULT_PORTS.items():
+        default = F.when(name == known, number).otherwise(default)
+    return default
+
+
+def port(url: Column) -> Column:
+    return F.coalesce(_given_port(_host_and_port(url)), _default_port(scheme(url)))
 
 
 def path(url: Column) -> Column:
-    p = F.regexp_extract(url, r"^[^:]+://[^/?#]*([^?#]*)", 1)
-    return F.when(p == "", "/").otherwise(p)
+    rest = _tail(F.substring_index(F.substring_index(url, "#", 1), "?", 1), "://")
+    return let(rest, lambda r: let(F.substr(r, F.length(F.substring_index(r, "/", 1)) + 1), lambda p: F.when(p == "", "/").otherwise(p)))
 
 
 def query(url: Column) -> Column:
-    return F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    return _tail(F.substring_index(url, "#", 1), "?")
 
 
 def fragment(url: Column) -> Column:
-    return F.regexp_extract(url, r"#(.*)$", 1)
+    return _tail(url, "#")
 
 
 def hostname_with_port(url: Column) -> Column:
-    plain = F.lit(False)
-    for name, number in DEFAULT_PORTS.items():
-        plain = plain | ((scheme(url) == name) & (port(url) == number))
-    return F.when(plain, hostname(url)).otherwise(F.concat_ws(":", hostname(url), port(url).cast("string")))
+    """The host, an IPv6 address in brackets, and the port unless it is the scheme's."""
 
+    def shown(h: Column) -> Column:
+        bare = F.when(h.startswith("["), F.concat(F.substring_index(h, "]", 1), F.lit("]"))).otherwise(F.substring_index(h, ":", 1))
+        given = _given_port(h)
+        return F.when(given.isNull() | (given == _default_port(scheme(url))), F.lower(bare)).otherwise(F.concat_ws(":", F.lower(bare), given.cast("string")))
 
-def canonical(url: Column) -> Column:
+    return let(_host_and_port(url), shown)
+
+
+def _canonical_of_plain(url: Column) -> Column:
     """The URL without its fragment and default port; a missing path is ``/``."""
 
     def parts(u: Column) -> Column:
@@ -236,24 +299,35 @@ def canonical(url: Column) -> Column:
     return let(url, parts)
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is evaluated once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def canonical(url: Column) -> Column:
+    """The canonical URL of any text; null where it can't be one."""
+    plain = F.coalesce(is_plain(url), F.lit(False))
+    return F.when(plain, _canonical_of_plain(url)).otherwise(_canonical_of_any(F.when(~plain, url)))
 
 
 def origin(url: Column) -> Column:
     return F.concat(scheme(url), F.lit("://"), hostname_with_port(url))
 
 
+_ABSOLUTE = "^[a-zA-Z][a-zA-Z0-9+.-]*:"
+
+
 def join_plain(base: Column, link: Column) -> Column:
     """A root-relative, scheme-relative or absolute link against a plain base; null for other links."""
-    absolute = F.rlike(link, F.lit("^[a-zA-Z][a-zA-Z0-9+.-]*:"))
-    return F.when(absolute, link).when(link.startswith("//"), F.concat(scheme(base), F.lit(":"), link)).when(link.startswith("/"), F.concat(origin(base), link))
+    return F.when(F.rlike(link, F.lit(_ABSOLUTE)), link).when(link.startswith("//"), F.concat(scheme(base), F.lit(":"), link)).when(link.startswith("/"), F.concat(origin(base), link))
+
+
+def resolved(base: Column, link: Column) -> Column:
+    """The canonical URL of a link in a document at ``base``; null where there is none."""
+    joined = join_plain(base, link)
+    plain = F.coalesce(is_plain(joined) & is_plain(base), F.lit(False))
+    return F.when(plain, _canonical_of_plain(joined)).otherwise(_resolved_of_any(F.when(~plain, base), F.when(~plain, link)))
 
 
 def split_path(p: Column) -> Column:
     """struct(dirname, basename)"""
-    return F.struct(F.regexp_extract(p, r"^(.*)/", 1).alias("dirname"), F.regexp_extract(p, r"([^/]*)$", 1).alias("basename"))
+    name = F.substring_index(p, "/", -1)
+    return F.struct(F.substr(p, F.lit(1), F.greatest(F.length(p) - F.length(name) - 1, F.lit(0))).alias("dirname"), name.alias("basename"))
 
 
 def split_query(q: Column, keep_blank: bool = False) -> Column:

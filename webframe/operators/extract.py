@@ -9,7 +9,9 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
+from typing import NamedTuple
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -19,21 +21,26 @@ from pyspark.sql import functions as F
 from webframe.functions import links as L
 from webframe.functions.urls import join_url
 
-# Link attributes; what each attribute of a tag is (i: embedded, h: a page, ih: both); Open Graph names.
-LINK_ATTRIBUTES = frozenset("action archive background cite classid codebase data dynsrc href longdesc lowsrc profile src usemap".split())
+EMBEDDED, PAGE, BOTH = "embedded", "page", "both"
+
+# Link attributes; what each attribute of an element leads to; begins of script attributes; properties of
+# Open Graph and Twitter; elements whose text can be a link; patterns of CSS and JavaScript.
+LINK_ATTRIBUTES = frozenset(["action", "archive", "background", "cite", "classid", "codebase", "data", "dynsrc", "href", "longdesc", "lowsrc", "profile", "src", "usemap"])
 KINDS = {
-    "a": {"href": "h"}, "applet": {"code": "i"}, "area": {"href": "h"}, "bgsound": {"src": "i"}, "body": {"background": "i"}, "embed": {"href": "h", "src": "ih"},
-    "fig": {"src": "i"}, "form": {"action": "h"}, "frame": {"src": "ih"}, "iframe": {"src": "ih"}, "img": {"href": "i", "lowsrc": "i", "src": "i"}, "input": {"src": "i"},
-    "layer": {"src": "ih"}, "object": {"data": "i"}, "overlay": {"src": "ih"}, "script": {"src": "i"}, "table": {"background": "i"}, "td": {"background": "i"}, "th": {"background": "i"},
+    ("a", "href"): PAGE, ("applet", "code"): EMBEDDED, ("area", "href"): PAGE, ("bgsound", "src"): EMBEDDED, ("body", "background"): EMBEDDED, ("embed", "href"): PAGE, ("embed", "src"): BOTH,
+    ("fig", "src"): EMBEDDED, ("form", "action"): PAGE, ("frame", "src"): BOTH, ("iframe", "src"): BOTH, ("img", "href"): EMBEDDED, ("img", "lowsrc"): EMBEDDED, ("img", "src"): EMBEDDED,
+    ("input", "src"): EMBEDDED, ("layer", "src"): BOTH, ("object", "data"): EMBEDDED, ("overlay", "src"): BOTH, ("script", "src"): EMBEDDED, ("table", "background"): EMBEDDED,
+    ("td", "background"): EMBEDDED, ("th", "background"): EMBEDDED,
 }
 SCRIPT_ATTRIBUTES = ("onkey", "oncli", "onmou")
-MEDIA_PROPERTIES = ("og:image og:audio og:video twitter:image:src twitter:image0 twitter:image1 twitter:image2 twitter:image3 twitter:player:stream").split()
+MEDIA_PROPERTIES = ("og:image", "og:audio", "og:video", "twitter:image:src", "twitter:image0", "twitter:image1", "twitter:image2", "twitter:image3", "twitter:player:stream")
 LINK_PROPERTIES = ("og:url", "twitter:player")
 TEXT_TAGS = ("style", "script", "link", "url", "icon")
-
 CSS_URL = r"""url\(\s*(['"]?)(.{1,500}?)(?:\1)\s*\)"""
 CSS_IMPORT = r"""@import\s*(?:url\()?['"]?([^\s'")]{1,500}).*?;"""
 JS_STRING = r"""(\\{0,8}['"])(https?://[^'"]{1,500}|[^\s'"]{1,500})(?:\1)"""
+# End of fixed values.
+
 _CSS = re.compile(f"{CSS_URL}|{CSS_IMPORT}")
 _JS = re.compile(JS_STRING)
 
@@ -122,51 +129,119 @@ def _attribute_links(tag: str, attrib: dict[str, str], scripts: bool) -> Iterato
             yield from ((name, x.lstrip().split(" ", 1)[0]) for x in value.split(","))
 
 
-def _element_links(tag: str, attrib: dict[str, str], text: str, css: bool, scripts: bool) -> Iterator[tuple]:
-    """(attrib, link, inline, linked, link_type, value_type, base)"""
-    if tag == "link":
-        rel = attrib.get("rel", "")
-        kind = "css" if "stylesheet" in rel else "media" if "icon" in rel else None
-        for name, link in _attribute_links(tag, attrib, scripts):
-            yield name, link, kind is not None, kind is None, kind, "plain", None
-    elif tag == "meta":
-        prop, content = attrib.get("property", "").lower(), attrib.get("content")
-        if attrib.get("http-equiv", "").lower() == "refresh":
-            link = refresh_target(content or "")
-            if link:
-                yield "http-equiv", link, False, True, None, "refresh", None
-        elif content and (prop in MEDIA_PROPERTIES or prop in LINK_PROPERTIES):
-            yield "property", content, False, True, "media" if prop in MEDIA_PROPERTIES else None, "plain", None
-    elif tag in ("object", "applet"):
-        base = attrib.get("codebase") or None
-        if base:
-            yield "codebase", base, True, False, None, "plain", None
-        for name in ("code", "src", "classid", "data"):
-            if name in attrib:
-                yield name, attrib[name], True, False, L.link_type_of(attrib[name]), "plain", base
-        for link in attrib.get("archive", "").split():
-            yield "archive", link, True, False, L.link_type_of(link), "list", base
-    elif tag == "param":
-        if attrib.get("valuetype", "").lower() == "ref" and "value" in attrib:
-            yield "value", attrib["value"], True, False, L.link_type_of(attrib["value"]), "plain", None
-    elif tag == "style":
-        if css and text:
-            yield from ((None, link, True, False, kind, "css", None) for link, kind in css_links(text))
-    else:
-        if tag == "script" and scripts and text:
-            for link in script_links(text):
-                yield None, link, L.likely_inline(link), not L.likely_inline(link), L.link_type_of(link), "script", None
-        for name, link in _attribute_links(tag, attrib, scripts):
-            if name in LINK_ATTRIBUTES:
-                kind = KINDS.get(tag, {}).get(name) or ("h" if name == "href" else "i")
-                yield name, link, "i" in kind, "h" in kind, L.link_type_of(link), "plain", None
-            else:
-                inline = L.likely_inline(link)
-                yield name, link, inline, not inline, L.link_type_of(link), "plain", None
-    if tag in ("link", "url", "icon") and text:
-        yield None, text, False, True, L.link_type_of(text), "plain", None
-    if css and "style" in attrib:
-        yield from (("style", link, True, False, "media", "css", None) for link, _ in css_links(attrib["style"]))
+class Found(NamedTuple):
+    """A link before it is resolved: ``base`` is the element's own one."""
+
+    attrib: str | None
+    link: str
+    inline: bool
+    linked: bool
+    link_type: str | None
+    value_type: str = "plain"
+    base: str | None = None
+
+
+@dataclass(frozen=True)
+class Element:
+    tag: str
+    attrib: dict[str, str]
+    text: str
+    css: bool
+    scripts: bool
+
+    def attributes(self) -> Iterator[tuple[str, str]]:
+        return _attribute_links(self.tag, self.attrib, self.scripts)
+
+
+def _embedded(name: str | None, link: str, value_type: str = "plain", base: str | None = None) -> Found:
+    return Found(name, link, True, False, L.link_type_of(link), value_type, base)
+
+
+def _guessed(name: str | None, link: str, value_type: str = "plain") -> Found:
+    """A link of which only its text tells what it is."""
+    inline = L.likely_inline(link)
+    return Found(name, link, inline, not inline, L.link_type_of(link), value_type)
+
+
+def _of_attributes(e: Element) -> Iterator[Found]:
+    for name, link in e.attributes():
+        if name not in LINK_ATTRIBUTES:
+            yield _guessed(name, link)
+            continue
+        kind = KINDS.get((e.tag, name), PAGE if name == "href" else EMBEDDED)
+        yield Found(name, link, kind != PAGE, kind != EMBEDDED, L.link_type_of(link))
+
+
+def _of_relation(e: Element) -> Iterator[Found]:
+    relation = e.attrib.get("rel", "")
+    kind = next((k for word, k in (("stylesheet", "css"), ("icon", "media")) if word in relation), None)
+    for name, link in e.attributes():
+        yield Found(name, link, kind is not None, kind is None, kind)
+
+
+def _of_meta(e: Element) -> Iterator[Found]:
+    content = e.attrib.get("content") or ""
+    if e.attrib.get("http-equiv", "").lower() == "refresh":
+        if target := refresh_target(content):
+            yield Found("http-equiv", target, False, True, None, "refresh")
+        return
+    for known, kind in ((MEDIA_PROPERTIES, "media"), (LINK_PROPERTIES, None)):
+        if content and e.attrib.get("property", "").lower() in known:
+            yield Found("property", content, False, True, kind)
+
+
+def _of_plugin(e: Element) -> Iterator[Found]:
+    base = e.attrib.get("codebase") or None
+    if base:
+        yield Found("codebase", base, True, False, None)
+    parts = {name: [e.attrib[name]] for name in ("code", "src", "classid", "data") if name in e.attrib} | {"archive": e.attrib.get("archive", "").split()}
+    for name, links in parts.items():
+        yield from (_embedded(name, link, "list" if name == "archive" else "plain", base) for link in links)
+
+
+def _of_parameter(e: Element) -> Iterator[Found]:
+    if e.attrib.get("valuetype", "").lower() == "ref" and "value" in e.attrib:
+        yield _embedded("value", e.attrib["value"])
+
+
+def _of_style(e: Element) -> Iterator[Found]:
+    if e.css:
+        yield from (Found(None, link, True, False, kind, "css") for link, kind in css_links(e.text))
+
+
+def _of_script(e: Element) -> Iterator[Found]:
+    if e.scripts:
+        yield from (_guessed(None, link, "script") for link in script_links(e.text))
+
+
+def _of_link_text(e: Element) -> Iterator[Found]:
+    if e.text:
+        yield Found(None, e.text, False, True, L.link_type_of(e.text))
+
+
+def _of_style_attribute(e: Element) -> Iterator[Found]:
+    if e.css:
+        yield from (Found("style", link, True, False, "media", "css") for link, _ in css_links(e.attrib.get("style", "")))
+
+
+#: The rules of each element, in order; those of ANY_TAG for elements without rules of their own.
+ANY_TAG = (_of_attributes,)
+RULES = {
+    "link": (_of_relation, _of_link_text),
+    "meta": (_of_meta,),
+    "object": (_of_plugin,),
+    "applet": (_of_plugin,),
+    "param": (_of_parameter,),
+    "style": (_of_style,),
+    "script": (_of_script, _of_attributes),
+    "url": (_of_attributes, _of_link_text),
+    "icon": (_of_attributes, _of_link_text),
+}
+
+
+def element_links(e: Element) -> Iterator[Found]:
+    for rule in (*RULES.get(e.tag, ANY_TAG), _of_style_attribute):
+        yield from rule(e)
 
 
 def document_links(html: str, url: str, refresh: str | None = None, css: bool = True, scripts: bool = True, follow_tags=(), ignore_tags=(), only_relative: bool = False, strict_nofollow: bool = False) -> list[tuple]:
@@ -189,8 +264,8 @@ def document_links(html: str, url: str, refresh: str | None = None, css: bool =
         add("_refresh", None, target, False, True, None, "refresh", None)
     for tag, attrib, text in walker.elements:
         if (not follow_tags or tag in follow_tags) and tag not in ignore_tags:
-            for name, link, inline, linked, kind, value, own_base in _element_links(tag, attrib, text, css, scripts):
-                add(tag, name, link, inline, linked, kind, value, own_base)
+            for found_link in element_links(Element(tag, attrib, text, css, scripts)):
+                add(tag, *found_link)
     return list(found.values())
 
 
@@ -219,9 +294,13 @@ def html_links(pages: DataFrame, key: str = "page_id", url_col: str = "url", htm
 # --- native paths -------------------------------------------------------------------------------------------------
 
 
+_ANCHOR = r"""(?i)<a(?:\s+[a-z][a-z0-9_:.-]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*?\s+href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
 def anchor_hrefs(html: Column) -> Column:
-    """array of the href values of ``<a href="...">``: the fast path for pages whose links are of that form."""
-    return F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*"([^"]*)\""""), F.lit(1))
+    """array of the href values of ``a`` elements, in quotes of both kinds or none: the fast path for pages whose links
+    are anchors without character references."""
+    return F.transform(F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(1)), lambda x: F.regexp_replace(x, "^[\"']|[\"']$", ""))
 
 
 def style_texts(html: Column) -> Column:

@@ -1,178 +1,103 @@
-"""Directory listings: UNIX, MS-DOS, name lists and machine listings, and FTP replies.
+"""Directory listings: UNIX, MS-DOS, name lists and machine listings, and FTP replies, all as native columns.
 
-A listing is parsed as a whole, as its lines vote for its type and date order; listings are files, so a grouped map takes
-one at a time. Machine listings and replies are native.
+A listing is one row, an array of its lines. A line is matched with the grammar of its listing's type: columns, then a
+date, with or without a time, then a name. The type, and the order of numbers in dates, are what most of the first lines
+speak for; these counts are taken inside the row, so that nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webframe.functions.urls import glob_regex
+from webframe.functions.urls import glob_regex, let
 
-# Names of months and of halves of the day in the languages of common servers.
+# Names of months and of halves of the day in the languages of common servers, by month.
 MONTHS = {
-    1: "jan janv ene sty янв يناير जन 1月", 2: "feb fev févr lut февр فبراير फ़र 2月", 3: "mar mars märz марта مارس मार्च 3月", 4: "apr abr avr kwi апр أبريل अप्रै 4月",
-    5: "may mai maj мая مايو मई 5月", 6: "jun juni juin cze июня يونيو जून 6月", 7: "jul juli juil lip июля يوليو जुला 7月", 8: "aug ago août sie авг أغسطس अग 8月",
-    9: "sep sept set wrz сент سبتمبر सितं 9月", 10: "oct okt out paź окт أكتوبر अक्टू 10月", 11: "nov lis нояб نوفمبر नवं 11月", 12: "dec dez dic déc gru дек ديسمبر दिसं 12月",
+    "jan": 1, "janv": 1, "ene": 1, "sty": 1, "янв": 1, "يناير": 1, "जन": 1, "1月": 1,
+    "feb": 2, "fev": 2, "févr": 2, "lut": 2, "февр": 2, "فبراير": 2, "फ़र": 2, "2月": 2,
+    "mar": 3, "mars": 3, "märz": 3, "марта": 3, "مارس": 3, "मार्च": 3, "3月": 3,
+    "apr": 4, "abr": 4, "avr": 4, "kwi": 4, "апр": 4, "أبريل": 4, "अप्रै": 4, "4月": 4,
+    "may": 5, "mai": 5, "maj": 5, "мая": 5, "مايو": 5, "मई": 5, "5月": 5,
+    "jun": 6, "juni": 6, "juin": 6, "cze": 6, "июня": 6, "يونيو": 6, "जून": 6, "6月": 6,
+    "jul": 7, "juli": 7, "juil": 7, "lip": 7, "июля": 7, "يوليو": 7, "जुला": 7, "7月": 7,
+    "aug": 8, "ago": 8, "août": 8, "sie": 8, "авг": 8, "أغسطس": 8, "अग": 8, "8月": 8,
+    "sep": 9, "sept": 9, "set": 9, "wrz": 9, "сент": 9, "سبتمبر": 9, "सितं": 9, "9月": 9,
+    "oct": 10, "okt": 10, "out": 10, "paź": 10, "окт": 10, "أكتوبر": 10, "अक्टू": 10, "10月": 10,
+    "nov": 11, "lis": 11, "нояб": 11, "نوفمبر": 11, "नवं": 11, "11月": 11,
+    "dec": 12, "dez": 12, "dic": 12, "déc": 12, "gru": 12, "дек": 12, "ديسمبر": 12, "दिसं": 12, "12月": 12,
 }
-AM, PM = ("a. m", "am", "पूर्व", "vorm", "ص", "上午", "午前"), ("p. m", "pm", "अपर", "nachm", "م", "下午", "午後")
-SAMPLE_LINES, TYPE_VOTES, FORMAT_VOTES = 101, 100, 5
-
-_fold = lambda s: unicodedata.normalize("NFKD", s).lower()
-_MONTH_OF = {_fold(name): number for number, names in MONTHS.items() for name in names.split()}
-_HALF = "|".join(re.escape(_fold(x)) for x in (*AM, *PM))
-_HALF_RE = re.compile(rf"(?:{_HALF})\b")
-_YMD = re.compile(r"(\d{4})(?!\d)[\w./-](\d{1,2})(?!\d)[\w./-](\d{1,2})")
-_NAMED = re.compile(r"([^\W\d_]{3,4})\s{0,4}(\d{1,2})\s{0,4}(\d{0,4})")
-_NUMBERS = re.compile(r"(\d{1,2})[./-](\d{1,2})[./-](\d{2,4})")
-_TIME = re.compile(rf"(\d{{1,2}}):(\d{{2}}):?(\d{{0,2}})\s?({_HALF})?")
-
-
-def guess_format(lines: list[str]) -> tuple[str | None, bool | None]:
-    """(ymd, dmy, mdy or None; whether hours are of half days or None)"""
-    dates, halves, seen = dict.fromkeys(("ymd", "dmy", "mdy"), 0), 0, 0
-    for line in map(_fold, lines):
-        seen += 1
-        halves += bool(_HALF_RE.search(line))
-        dates["ymd"] += bool(_YMD.search(line))
-        dates["mdy"] += bool(_NAMED.search(line))
-        m = _NUMBERS.search(line)
-        if m and int(m[1]) > 12:
-            dates["dmy"] += 1
-        elif m and int(m[2]) > 12:
-            dates["mdy"] += 1
-        if seen >= FORMAT_VOTES and sum(dates.values()) >= FORMAT_VOTES:
-            break
-    best = max(dates, key=dates.get)
-    return (best if dates[best] else None), (halves > seen - halves if seen else None)
-
-
-def month_number(name: str) -> int:
-    for key in (name, name[:3]):
-        if key in _MONTH_OF:
-            return _MONTH_OF[key]
-    raise ValueError(f"no month: {name!r}")
-
-
-def parse_datetime(text: str, order: str | None, half_days: bool | None, now: dt.datetime, compat_century: bool = False) -> tuple[dt.datetime, int, int]:
-    """(UTC time, begin, end of the text it takes up). Dates without a year are in the past year. Two-digit years from
-    69 on are 19xx (``compat_century``: 10xx)."""
-    text = _fold(text)
-    spans, hour, minute, second = [], 0, 0, 0
-    m = _TIME.search(text)
-    if m:
-        hour, minute, second = int(m[1]), int(m[2]), int(m[3] or 0)
-        if m[4] and half_days and hour < 13:
-            hour = hour % 12 + (12 if m[4] in map(_fold, PM) else 0)
-        spans.append(m.span())
-    year, unclear, found = now.year, False, None
-    if order in ("ymd", None) and (found := _YMD.search(text)):
-        year, month, day = map(int, found.groups())
-    elif order in ("mdy", None) and (found := _NAMED.search(text)):
-        month, day = month_number(found[1]), int(found[2])
-        unclear = len(found[3]) != 4
-        year = year if unclear else int(found[3])
-    elif found := _NUMBERS.search(text):
-        a, b, year = map(int, found.groups())
-        if year < 100:
-            year += (1000 if compat_century else 1900) if year >= 69 else 2000
-        month, day = (a, b) if order == "mdy" or b > 12 else (b, a)
-    if not found:
-        raise ValueError("no date")
-    spans.append(found.span())
-    when = dt.datetime(year, month, day, hour, minute, second)
-    if unclear and when > now:
-        when = when.replace(year=year - 1)
-    return when, min(s[0] for s in spans), max(s[1] for s in spans)
-
-
-def guess_type(lines: list[str]) -> str:
-    """unix, msdos, nlst or unknown; ties go to the first of these."""
-    votes = dict.fromkeys(("unix", "msdos", "nlst"), 0)
-    for line in filter(None, lines):
-        votes["unix"] += bool(re.search("---|r--|rw-|rwx", line))
-        votes["msdos"] += "<DIR>" in line or bool(re.search(r"^.{0,4}\d\d", line))
-        votes["nlst"] += " " not in line
-        if max(votes.values()) > TYPE_VOTES:
-            break
-    best = max(votes, key=votes.get)
-    return best if votes[best] else "unknown"
-
-
-def unix_perm(text: str) -> int:
-    return sum(1 << (8 - i) for i, (c, want) in enumerate(zip(text, ("r", "w", "xs") * 3, strict=False)) if c in want) if len(text) == 9 else 0
-
-
-def _unix_line(line: str, order, half_days, now) -> tuple:
-    m = re.search(r"(?:^| )([bcdlps-])(\S*)", line)
-    if not m:
-        raise ValueError("no file type")
-    kind = {"d": "dir", "-": "file", "l": "symlink"}.get(m[1], "other")
-    rest = line[m.end() :]
-    while rest:  # the date may follow any number of columns
-        try:
-            when, begin, end = parse_datetime(rest, order, half_days, now)
-            break
-        except ValueError:
-            rest = rest[4:]
-    else:
-        raise ValueError("no date")
-    size = int(rest[:begin].rstrip().rpartition(" ")[2])
-    name, dest = rest[end:].strip(), None
-    if kind == "symlink":
-        name, _, dest = name.partition(" -> ")
-    return name, kind, size, when, dest, unix_perm(m[2])
-
-
-def _msdos_line(line: str, order, half_days, now) -> tuple:
-    date, time, size, name = line.split(None, 3)
-    when = parse_datetime(f"{date} {time}", order, half_days, now)[0]
-    directory = size == "<DIR>"
-    return name, "dir" if directory else "file", None if directory else int(re.sub("[ ,]", "", size)), when, None, None
-
-
-def parse_listing(text: str, now: dt.datetime) -> list[tuple]:
-    """(name, type, size, date, dest, perm) of each line; raises ValueError for unknown types and unreadable lines."""
-    lines = [x for x in text.splitlines() if x]
-    kind = guess_type(lines[:SAMPLE_LINES])
-    order, half_days = guess_format(lines[:SAMPLE_LINES])
-    if kind == "nlst":
-        return [(x, None, None, None, None, None) for x in lines]
-    if kind == "unknown":
-        raise ValueError("unknown listing")
-    one = _unix_line if kind == "unix" else _msdos_line
-    return [one(x, order, half_days, now) for x in lines]
+MORNING = ("am", "a. m", "vorm", "上午", "午前", "पूर्व", "ص")
+EVENING = ("pm", "p. m", "nachm", "下午", "午後", "अपर", "م")
+#: What the lines of each type of listing look like.
+SIGNS = {"unix": "---|r--|rw-|rwx", "msdos": r"<DIR>|^.{0,4}\d\d", "nlst": "^[^ ]+$"}
+SAMPLE_LINES = 101
 
+# --- the grammar of dates -----------------------------------------------------------------------------------------
 
-ENTRY = "name string, type string, size long, date timestamp, dest string, perm int"
 
+def _spellings(names) -> dict[str, str]:
+    """Each name in composed and in decomposed characters."""
+    return {unicodedata.normalize(form, n): n for n in names for form in ("NFC", "NFD")} | {n: n for n in names}
+
+
+def _any_of(names) -> str:
+    return "|".join(sorted((n.replace(".", r"\.") for n in _spellings(names)), key=len, reverse=True))
+
+
+_FLAGS = "(?iu)"
+_NAMED = rf"(?:{_any_of(MONTHS)})\p{{L}}*\.?\s{{0,4}}\d{{1,2}}日?(?:\s{{1,4}}\d{{4}}(?![\d:]))?"
+_YEAR_FIRST = r"\d{4}[^\d\s]\d{1,2}[^\d\s]\d{1,2}(?!\d)日?"
+_NUMBERS = r"\d{1,2}[./-]\d{1,2}[./-](?:\d{4}|\d{2})(?!\d)"
+_HALF = _any_of((*MORNING, *EVENING))
+_TIME = rf"\d{{1,2}}:\d{{2}}(?::\d{{2}})?(?:\s?(?:{_HALF})(?!\p{{L}}))?"
+_DATE = f"(?:{_NAMED}|{_YEAR_FIRST}|{_NUMBERS})"
+WHEN = rf"(?:{_DATE}(?:\s+{_TIME})?|{_TIME}\s+{_DATE})"
+_UNIX = rf"{_FLAGS}^(?:.* )??([bcdlps-])(\S*)\s.*?(\d+)\s+({WHEN})\s(.*)$"
+_MSDOS = r"^\s*(\S+\s+\S+)\s+(<DIR>|[\d,]+)\s+(.*)$"
+
+
+def _number(text: Column, pattern: str, group: int) -> Column:
+    return F.nullif(F.regexp_extract(text, _FLAGS + pattern, group), F.lit("")).cast("int")
+
+
+def _month(name: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for n, plain in _spellings(MONTHS).items() for x in (n, MONTHS[plain])])
+    return F.try_element_at(known, F.lower(name))
 
-def listings(files: DataFrame, key: str, text_col: str, now: dt.datetime) -> DataFrame:
-    """Entries of each listing; one that can't be parsed has none. A listing is one row, so no shuffle is needed."""
-    kind = dict(files.dtypes)[key]
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for k, text in pdf.itertuples(index=False):
-                try:
-                    rows += [(k, *entry) for entry in parse_listing(text or "", now)]
-                except ValueError:
-                    continue
-            out = pd.DataFrame(rows, columns=[key, "name", "type", "size", "date", "dest", "perm"])
-            yield out.astype({"size": "Int64", "perm": "Int32", "date": "datetime64[ns]"})
+def _full_year(year: Column) -> Column:
+    return F.when(year >= 100, year).when(year >= 69, year + 1900).otherwise(year + 2000)
 
-    return files.select(key, text_col).mapInPandas(run, f"`{key}` {kind}, {ENTRY}")
 
+def date_time(text: Column, now: dt.datetime, day_first: Column | bool = True, half_days: Column | bool = True) -> Column:
+    """The timestamp of a date with or without a time; null where there is none. A named date without a year is in the
+    year that ends ``now``. Of two numbers the first is the day if ``day_first``, or if the second can't be a month;
+    halves of the day count if ``half_days``."""
+    flag = lambda x: x if isinstance(x, Column) else F.lit(x)
+    iso = lambda k: _number(text, r"(\d{4})[^\d\s](\d{1,2})[^\d\s](\d{1,2})", k)
+    num = lambda k: _number(text, r"(?<!\d)(\d{1,2})[./-](\d{1,2})[./-](\d{4}|\d{2})(?!\d)", k)
+    named = rf"({_any_of(MONTHS)})\p{{L}}*\.?\s{{0,4}}(\d{{1,2}})日?(?:\s{{1,4}}(\d{{4}})(?![\d:]))?"
+    clock = rf"(\d{{1,2}}):(\d{{2}})(?::(\d{{2}}))?(?:\s?({_HALF})(?!\p{{L}}))?"
+    month = _month(F.regexp_extract(text, _FLAGS + named, 1))
+    half = F.lower(F.regexp_extract(text, _FLAGS + clock, 4))
+    hour = F.coalesce(_number(text, clock, 1), F.lit(0))
+    late = half.isin(*_spellings(EVENING))
+    hour = F.when((half != "") & flag(half_days) & (hour < 13), hour % 12 + F.when(late, 12).otherwise(0)).otherwise(hour)
+    at = (hour, F.coalesce(_number(text, clock, 2), F.lit(0)), F.coalesce(_number(text, clock, 3), F.lit(0)))
+    make = lambda y, m, d: F.try_make_timestamp(y, m, d, *at)
+    this_year = make(F.lit(now.year), month, _number(text, named, 2))
+    past = F.when(this_year > F.lit(now).cast("timestamp"), make(F.lit(now.year - 1), month, _number(text, named, 2))).otherwise(this_year)
+    swap = flag(day_first) & (num(2) <= 12) | (num(1) > 12)
+    numeric = make(_full_year(num(3)), F.when(swap, num(2)).otherwise(num(1)), F.when(swap, num(1)).otherwise(num(2)))
+    by_name = F.coalesce(make(_number(text, named, 3), month, _number(text, named, 2)), F.when(_number(text, named, 3).isNull(), past))
+    return F.when(iso(1).isNotNull(), make(iso(1), iso(2), iso(3))).when(month.isNotNull(), by_name).otherwise(numeric)
 
-# --- native -------------------------------------------------------------------------------------------------------
+
+# --- listings -----------------------------------------------------------------------------------------------------
 
 
 def perm_bits(text: Column) -> Column:
@@ -183,12 +108,87 @@ def perm_bits(text: Column) -> Column:
     return F.when(F.length(text) == 9, bits).otherwise(0)
 
 
+def lines_of(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\r\n\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"), lambda x: x != "")
+
+
+def _count(lines: Column, test) -> Column:
+    return F.size(F.filter(lines, test))
+
+
+def listing_type(lines: Column) -> Column:
+    """unix, msdos, nlst or unknown: what most lines look like; of equal counts the first of these."""
+    like = lambda sign: _count(lines, lambda x: x.rlike(sign))
+    votes = F.array(*[F.struct(like(sign).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, sign) in enumerate(SIGNS.items())])
+    return let(F.array_max(votes), lambda best: F.when(best["n"] > 0, best["name"]).otherwise("unknown"))
+
+
+def listing_format(lines: Column) -> Column:
+    """struct(day_first, half_days): day_first unless more lines have a second number over 12 than a first one."""
+    number = lambda x, k: F.coalesce(_number(x, r"(?<!\d)(\d{1,2})[./-](\d{1,2})[./-](?:\d{4}|\d{2})(?!\d)", k), F.lit(0))
+    month_first = _count(lines, lambda x: (number(x, 2) > 12) & (number(x, 1) <= 12)) > _count(lines, lambda x: number(x, 1) > 12)
+    halves = _count(lines, lambda x: x.rlike(rf"{_FLAGS}(?:{_HALF})(?!\p{{L}})"))
+    return F.struct((~month_first).alias("day_first"), (2 * halves > F.size(lines)).alias("half_days"))
+
+
+ENTRY = "name string, type string, size long, date timestamp, dest string, perm int"
+
+
+def _entry(name: Column, kind: Column, size: Column, date: Column, dest: Column, perm: Column) -> Column:
+    return F.struct(name.alias("name"), kind.alias("type"), size.cast("long").alias("size"), date.alias("date"), dest.cast("string").alias("dest"), perm.cast("int").alias("perm"))
+
+
+def unix_entry(line: Column, form: Column, now: dt.datetime) -> Column:
+    """The entry of a line of ``ls -l``; null where it isn't one."""
+    part = lambda k: F.regexp_extract(line, _UNIX, k)
+    kind = F.when(part(1) == "d", "dir").when(part(1) == "-", "file").when(part(1) == "l", "symlink").otherwise("other")
+    date = date_time(part(4), now, form["day_first"], form["half_days"])
+
+    def named(p: Column) -> Column:
+        name, link = F.trim(part(5)), (p["kind"] == "symlink") & part(5).contains(" -> ")
+        own = F.when(link, F.substring_index(name, " -> ", 1)).otherwise(name)
+        target = F.when(link, F.substr(name, F.length(F.substring_index(name, " -> ", 1)) + 5))
+        return F.when(p["date"].isNotNull(), _entry(own, p["kind"], part(3), p["date"], target, perm_bits(part(2))))
+
+    return F.when(line.rlike(_UNIX), let(F.struct(kind.alias("kind"), date.alias("date")), named))
+
+
+def msdos_entry(line: Column, form: Column, now: dt.datetime) -> Column:
+    part = lambda k: F.regexp_extract(line, _MSDOS, k)
+    folder, none = part(2) == "<DIR>", F.lit(None)
+    date = date_time(part(1), now, form["day_first"], form["half_days"])
+    size = F.when(~folder, F.replace(part(2), F.lit(","), F.lit("")))
+    return let(date, lambda d: F.when(line.rlike(_MSDOS) & d.isNotNull(), _entry(part(3), F.when(folder, "dir").otherwise("file"), size, d, none, none)))
+
+
+def entries(text: Column, now: dt.datetime) -> Column:
+    """array of ENTRY; null where the type isn't known or a line isn't of it."""
+    none = F.lit(None)
+
+    def read(x: Column) -> Column:
+        every = lambda f: let(F.transform(x["lines"], lambda line: f(line, x["form"], now)), lambda es: F.when(~F.exists(es, lambda e: e.isNull()), es))
+        names = F.transform(x["lines"], lambda line: _entry(line, none.cast("string"), none, none.cast("timestamp"), none, none))
+        return F.when(x["kind"] == "unix", every(unix_entry)).when(x["kind"] == "msdos", every(msdos_entry)).when(x["kind"] == "nlst", names)
+
+    def sampled(lines: Column) -> Column:
+        return let(F.slice(lines, 1, SAMPLE_LINES), lambda s: F.struct(lines.alias("lines"), listing_type(s).alias("kind"), listing_format(s).alias("form")))
+
+    return let(let(lines_of(text), sampled), read)
+
+
+def listings(files: DataFrame, key: str, text_col: str, now: dt.datetime) -> DataFrame:
+    """The key and ENTRY of each entry of each listing; one that can't be parsed has none."""
+    return files.select(key, F.inline(entries(F.col(text_col), now)))
+
+
 def machine_listing(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """Adds name, type, size and date of a line of facts; lines without a name are dropped."""
-    facts = F.transform(F.split(F.regexp_extract(line_col, "^(.*?;) ", 1), ";"), lambda f: F.struct(F.lower(F.trim(F.regexp_extract(f, "^([^=]*)=", 1))).alias("k"), F.lower(F.trim(F.regexp_extract(f, "^[^=]*=(.*)$", 1))).alias("v")))
-    out = lines.withColumn("name", F.nullif(F.regexp_extract(line_col, "^.*?; (.*)$", 1), F.lit(""))).filter(F.col("name").isNotNull())
-    get = lambda n: F.get(F.filter(facts, lambda f: f["k"] == n), F.lit(0))["v"]
-    return out.withColumns({"type": get("type"), "size": get("size").cast("long"), "date": F.try_to_timestamp(F.substring(get("modify"), 1, 14), F.lit("yyyyMMddHHmmss"))})
+    line = F.col(line_col)
+    facts = F.transform(F.split(F.substring_index(line, "; ", 1), ";"), lambda f: F.transform(F.split(f, "=", 2), lambda x: F.lower(F.trim(x))))
+    get = lambda fs, n: F.get(F.get(F.filter(fs, lambda f: F.get(f, F.lit(0)) == n), F.lit(0)), F.lit(1))
+    told = let(facts, lambda fs: F.struct(get(fs, "type").alias("type"), get(fs, "size").cast("long").alias("size"), get(fs, "modify").alias("modify")))
+    out = lines.withColumn("name", F.nullif(F.regexp_extract(line, "^.*?; (.*)$", 1), F.lit(""))).filter(F.col("name").isNotNull())
+    return out.withColumn("__told", told).withColumns({"type": F.col("__told.type"), "size": F.col("__told.size"), "date": F.try_to_timestamp(F.substring("__told.modify", 1, 14), F.lit("yyyyMMddHHmmss"))}).drop("__told")
 
 
 def reply(text: Column) -> Column:

@@ -10,7 +10,7 @@ from webframe.operators import crawl as CR
 from webframe.operators import extract as E
 from webframe.operators import frontier as fr
 from webframe.plans.catalog import query
-from webframe.plans.inputs import CANONICAL_SQL, FRONTIER_SQL, GRAPH_SQL, LINKS_SQL, anchor_links, frontier, graph, page_key, pages
+from webframe.plans.inputs import CANONICAL_SQL, FRONTIER_SQL, GRAPH_SQL, LINKS_SQL, anchor_links, frontier, graph, linked_pages, page_key, pages
 
 _HOST = "regexp_extract(url, '^[^:]+://([^/?#]*)', 1)"
 
@@ -24,8 +24,9 @@ def links_by_host(spark, d):
 
 @query(f"WITH {LINKS_SQL} SELECT DISTINCT page_id, link FROM links")
 def links_html(spark, d):
-    found = E.html_links(pages(spark, d))
-    return found.filter((F.col("tag") == "a") & (F.col("attrib") == "href")).select("page_id", "link").distinct()
+    found = E.html_links(linked_pages(spark, d))
+    hrefs = found.filter((F.col("tag") == "a") & (F.col("attrib") == "href"))
+    return hrefs.select("page_id", U.canonical(F.col("link")).alias("link")).distinct()
 
 
 @query(

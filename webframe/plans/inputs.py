@@ -14,19 +14,38 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with four more anchors in front: relative, in other quotes or none, and with userinfo, an IPv6 address,
+    dot segments and characters to escape."""
+    n = F.col("page_id").cast("string")
+    more = F.concat(
+        F.lit("<a href='rel"), n, F.lit(".html'>1</a><A class=x HREF=?q="), n, F.lit(' >2</A><a title="a>b" href="../up/./'), n, F.lit('/x y">3</a><a\nhref = "//User:pw@[::1]:8080/A/../é?x=%c3#f">4</a>')
+    )
+    return pages(spark, sf_dir).withColumn("html", F.concat(more, "html"))
+
+
 def anchor_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, pos, href, link: the anchors of all pages, resolved."""
-    p = pages(spark, sf_dir)
+    p = linked_pages(spark, sf_dir)
     rows = p.select("page_id", "url", F.posexplode(E.anchor_hrefs(F.col("html"))).alias("pos", "href"))
-    return rows.withColumn("link", U.canonical(U.join_plain(F.col("url"), F.col("href"))))
+    return rows.withColumn("link", U.resolved(F.col("url"), F.col("href")))
+
+
+def escaped_sql(text: str) -> str:
+    return f"array_to_string(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) > 126 OR c = ' ' THEN url_encode(c) ELSE c END), '')"
 
 
-LINKS_SQL = """
+LINKS_SQL = f"""
 hrefs AS (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*"([^"]*)"', 1) AS hs FROM pages),
+dirs AS (SELECT page_id, url, regexp_extract(url, '^([^?#]*)', 1) AS page, regexp_extract(url, '^([^?#]*/)', 1) AS dir FROM pages),
 links AS (
-  SELECT page_id, url, i - 1 AS pos, hs[i] AS href,
-    regexp_extract(url, '^([^:]+://[^/?#]*)', 1) || regexp_extract(hs[i], '^([^#]*)', 1) AS link
+  SELECT page_id, url, i + 3 AS pos, hs[i] AS href,
+    regexp_extract(url, '^([^:]+://[^/?#]*)', 1) || {escaped_sql("regexp_extract(hs[i], '^([^#]*)', 1)")} AS link
   FROM (SELECT page_id, url, hs, unnest(generate_series(1, len(hs))) AS i FROM hrefs)
+  UNION ALL SELECT page_id, url, 0, 'rel' || page_id || '.html', dir || 'rel' || page_id || '.html' FROM dirs
+  UNION ALL SELECT page_id, url, 1, '?q=' || page_id, page || '?q=' || page_id FROM dirs
+  UNION ALL SELECT page_id, url, 2, '../up/./' || page_id || '/x y', CASE WHEN regexp_matches(dir, '^[^:]+://[^/]+/$') THEN dir ELSE regexp_replace(dir, '[^/]*/$', '') END || 'up/' || page_id || '/x%20y' FROM dirs
+  UNION ALL SELECT page_id, url, 3, '//User:pw@[::1]:8080/A/../é?x=%c3#f', regexp_extract(url, '^([^:]+)', 1) || '://User:pw@[::1]:8080/%C3%A9?x=%C3' FROM dirs
 )"""
 
 

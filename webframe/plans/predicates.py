@@ -57,7 +57,7 @@ def filter_filename(spark, d):
     return rows.filter(P.filenames(("*.html", "[0-4]"), ("7?html",))).select("page_id")
 
 
-@query(f"WITH {LINKS_SQL} SELECT page_id, pos, link LIKE regexp_extract(url, '^([^#?]*/)', 1) || '%' AS ok FROM links")
+@query(f"WITH {LINKS_SQL} SELECT page_id, pos, {_HOST} <> regexp_extract(link, '^[^:]+://([^/?#]*)', 1) OR link LIKE regexp_extract(url, '^([^#?]*/)', 1) || '%' AS ok FROM links")
 def filter_parent(spark, d):
     rows = anchor_links(spark, d).select("page_id", F.col("pos").cast("long").alias("pos"), F.col("link"), F.col("url").alias("root_url"), F.col("url").alias("parent_url"), F.lit(None).cast("int").alias("inline_level")).withColumnRenamed("link", "url")
     return P.record_columns(rows).select("page_id", "pos", P.parent().alias("ok"))

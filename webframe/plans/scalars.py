@@ -81,7 +81,7 @@ def url_join_links(spark, d):
 
 @query(f"WITH {LINKS_SQL} SELECT page_id, pos, link FROM links")
 def url_join_full(spark, d):
-    return anchor_links(spark, d).select("page_id", F.col("pos").cast("long"), U.urljoin("url", "href").alias("link"))
+    return anchor_links(spark, d).select("page_id", F.col("pos").cast("long"), U.canonical(U.urljoin("url", "href")).alias("link"))
 
 
 @query("SELECT page_id, q || '&a=1' AS stripped FROM (SELECT page_id, CASE WHEN regexp_extract(url, '\\?([^#]*)', 1) = '' THEN 'z=0' ELSE regexp_extract(url, '\\?([^#]*)', 1) END AS q FROM pages)")
@@ -103,7 +103,7 @@ def url_is_subdir(spark, d):
 
 
 @query(
-    f"WITH {LINKS_SQL}, named AS (SELECT page_id, pos, link || (['.css', '.js', '.html', '.png', '.mp3', '.zip', '', '.com'])[pos % 8 + 1] AS link FROM links) "
+    f"WITH {LINKS_SQL}, named AS (SELECT page_id, pos, regexp_extract(link || (['.css', '.js', '.html', '.png', '.mp3', '.zip', '', '.com'])[pos % 8 + 1], '^([^?]*)', 1) AS link FROM links) "
     "SELECT page_id, pos, CASE WHEN link LIKE '%.css' THEN 'css' WHEN link LIKE '%.js' THEN 'javascript' WHEN link LIKE '%.html' THEN 'html' WHEN link LIKE '%.png' OR link LIKE '%.mp3' THEN 'media' END AS link_type, link LIKE '%.js' OR link LIKE '%.png' OR link LIKE '%.mp3' AS inline FROM named"
 )
 def link_type_by_ext(spark, d):
