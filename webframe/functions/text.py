@@ -67,6 +67,7 @@ def http_date(text: Column) -> Column:
 
 # --- HTTP heads ---------------------------------------------------------------------------------------------------
 
+# The first lines of responses and requests.
 _STATUS = r"^(HTTP/\d+\.\d+)[ \t]+([0-9]{1,3})[ \t]*([^\r\n]*)"
 _REQUEST = r"^([a-zA-Z]+)[ \t]+([^ \t]+)[ \t]+(HTTP/\d+\.\d+)"
 
@@ -136,36 +137,67 @@ def mimetype(content_type: Column) -> Column:
 # --- document types -----------------------------------------------------------------------------------------------
 
 
+# What types of documents are known by, in lower case.
+HTML_MARKS = "<!doctype html|<head|<title|<html|<script|<table|<a href"
+CSS_MARKS = "@import |color:|background[a-z-]*:|font[a-z-]*:"
+SCRIPT_MARKS = r"var|function|settimeout|jquery\("
+SITEMAP_ROOTS = "<sitemapindex|<urlset"
+PEEK = 4096
+
+
 def _peek(body: Column) -> Column:
-    return F.lower(F.substring(body, 1, 4096))
+    """The printable characters of a document's begin."""
+    return printable(F.substring(body, 1, PEEK))
+
+
+def first_true(*tests: Column) -> Column:
+    """Whether the first test that decides says yes. A test decides by true, or by false; null leaves it to the next."""
+    return F.coalesce(*tests, F.lit(False))
+
 
+def _yes(test: Column) -> Column:
+    """A test that can only say yes."""
+    return F.when(test, True)
 
-def _verdict(by_header: Column, by_body: Column, by_url: Column) -> Column:
-    return F.coalesce(by_header, F.lit(False)) | F.coalesce(by_body, F.lit(False)) | F.coalesce(by_url, F.lit(False))
+
+def _unless_page(marks: str, text: Column) -> Column:
+    """No for pages, whatever else speaks for it; yes if a mark is found."""
+    return F.when(text.contains("<html"), False).when(text.rlike(marks), True)
 
 
 def is_html(content_type: Column, body: Column, url_path: Column) -> Column:
-    markers = _peek(body).rlike("<!doctype html|<html|<head|<title|<body|<script|<table|<a href|<!--")
-    return _verdict(F.lower(content_type).contains("html"), markers, F.lower(url_path).rlike(r"\.d?html?|\.xht"))
+    return first_true(_yes(F.lower(content_type).contains("html")), _yes(F.lower(_peek(body)).rlike(HTML_MARKS)), _yes(F.lower(url_path).rlike(r"\.d?htm|\.xht")))
+
+
+def _of_mislabelled(word: str, marks: str, end: str, content_type: Column, body: Column, url_path: Column) -> Column:
+    """By the media type; by the body only where a page is announced, or nothing is; by the path."""
+    kind, text = F.lower(content_type), F.lower(_peek(body))
+    looked_at = kind.isNull() | kind.contains("html")
+    return first_true(_yes(kind.contains(word)), F.when(looked_at, _unless_page(marks, text)), _yes(F.lower(url_path).contains(end)))
 
 
 def is_css(content_type: Column, body: Column, url_path: Column) -> Column:
-    markers = ~_peek(body).contains("<html") & _peek(body).rlike("@import |color:|background[a-z-]*:|font[a-z-]*:")
-    return _verdict(F.lower(content_type).contains("css"), markers, F.lower(url_path).contains(".css"))
+    """A null media type stands for a file without a response."""
+    return _of_mislabelled("css", CSS_MARKS, ".css", content_type, body, url_path)
 
 
 def is_javascript(content_type: Column, body: Column, url_path: Column) -> Column:
-    markers = ~_peek(body).contains("<html") & _peek(body).rlike(r"var|function|settimeout|jquery\(")
-    return _verdict(F.lower(content_type).contains("javascript"), markers, F.lower(url_path).contains(".js"))
+    return _of_mislabelled("javascript", SCRIPT_MARKS, ".js", content_type, body, url_path)
 
 
 def is_xml(content_type: Column, body: Column, url_path: Column) -> Column:
-    return _verdict(F.lower(content_type).contains("xml"), _peek(body).contains("<?xml"), F.lower(url_path).endswith(".xml"))
+    return first_true(_yes(F.lower(content_type).contains("xml")), _yes(F.lower(_peek(body)).contains("<?xml")), _yes(F.lower(url_path).endswith(".xml")))
 
 
 def is_sitemap(body: Column, url_path: Column) -> Column:
+    """By its begin, in the letters as they are, or by its path; binary bodies may be gzip."""
     peek, p = _peek(body), F.lower(url_path)
-    return _verdict(F.lit(False), peek.contains("<?xml") & peek.rlike("<sitemapindex|<urlset"), (p == "/robots.txt") | (p.contains("sitemap") & p.contains(".xml")))
+    return first_true(_yes(peek.contains("<?xml") & peek.rlike(SITEMAP_ROOTS)), _yes((p == "/robots.txt") | (p.contains("sitemap") & p.contains(".xml"))))
+
+
+def inflated_text(data: Column) -> Column:
+    """The text of bytes that may be gzip, whole or cut."""
+    return F.decode(gunzip_any(data), "utf-8")
 
 
 # --- bytes --------------------------------------------------------------------------------------------------------
@@ -245,3 +277,33 @@ gunzip = _bytes_udf(decode_gzip, T.BinaryType())
 inflate = _bytes_udf(decode_deflate, T.BinaryType())
 unchunk = _bytes_udf(decode_chunked, T.BinaryType())
 encoding_of = _bytes_udf(detect_encoding, T.StringType())
+gunzip_any = _bytes_udf(lambda data: decode_gzip(data, truncated=True), T.BinaryType())
+
+# --- containers ---------------------------------------------------------------------------------------------------
+
+
+def to_text(value: Column, kind: T.DataType, encoding: str = "utf-8") -> Column:
+    """Bytes as text at any depth of arrays, structs and map values; ``kind`` is the column's type."""
+    return _recoded(value, kind, T.BinaryType, lambda x: F.decode(x, encoding))
+
+
+def to_bytes(value: Column, kind: T.DataType, encoding: str = "utf-8") -> Column:
+    """Text as bytes at any depth."""
+    return _recoded(value, kind, T.StringType, lambda x: F.encode(x, encoding))
+
+
+def _recoded(value: Column, kind: T.DataType, leaf: type, change) -> Column:
+    if isinstance(kind, leaf):
+        return change(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _recoded(x, kind.elementType, leaf, change))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: _recoded(x, kind.valueType, leaf, change))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[_recoded(value[f.name], f.dataType, leaf, change).alias(f.name) for f in kind.fields]))
+    return value
+
+
+def json_metadata(**values: Column) -> Column:
+    """A JSON object of columns, keys in order, nulls left out."""
+    return F.to_json(F.struct(*[values[k].alias(k) for k in sorted(values)]))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,21 +55,41 @@ def offsets(records: DataFrame, file_col: str, size_col: str, *order: Column) ->
 
 
 def rotate(records: DataFrame, size_col: str, max_size: int, key: str, *order: Column) -> DataFrame:
-    """``file_seq``: a new file once a file has reached ``max_size``; sequential for each writer, by its running sum."""
-    kinds = ", ".join(f"`{n}` {t}" for n, t in records.dtypes)
+    """``file_seq``: a new file once a file holds more than ``max_size``; sequential for each writer.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("__o")
-        seq, held, out = 0, 0, []
-        for n in group[size_col]:
-            if held > max_size:
-                seq, held = seq + 1, 0
-            out.append(seq)
-            held += n
-        return group.drop(columns="__o").assign(file_seq=out)
-
-    n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return records.withColumn("__o", n).groupBy(key).applyInPandas(run, f"{kinds}, file_seq int")
+    A writer's sorted rows stream through, and the state is two numbers; only the first row of each file is decided by
+    the rows before it, so no writer is gathered.
+    """
+    kinds = ", ".join(f"`{n}` {t}" for n, t in records.dtypes)
+    place, own = records.columns.index(size_col), records.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer, seq, held, begun = None, 0, 0, False
+        for batch in batches:
+            out = []
+            for who, n in zip(batch.column(own).to_pylist(), batch.column(place).to_pylist(), strict=True):
+                if not begun or who != writer:
+                    writer, seq, held, begun = who, 0, 0, True
+                if held > max_size:
+                    seq, held = seq + 1, 0
+                out.append(seq)
+                held += n or 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=[*batch.schema.names, "file_seq"])
+
+    return records.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, f"{kinds}, file_seq int")
+
+
+def exchange_records(transactions: DataFrame) -> DataFrame:
+    """(id, record_type, concurrent_to, url, block, payload_offset): a request and a response record for each of
+    ``transactions`` (key, url, request_head, response_head, body); the response names its request."""
+    own = lambda kind: F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.md5(F.concat_ws(":", F.lit(kind), F.col("key").cast("string")).cast("binary")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
+    bytes_of = lambda c: F.coalesce(F.col(c).cast("binary"), F.lit(b""))
+    record = lambda kind, to, block, offset: F.struct(own(kind).alias("id"), F.lit(kind).alias("record_type"), to.alias("concurrent_to"), F.col("url"), block.alias("block"), offset.cast("int").alias("payload_offset"))
+    pair = F.array(
+        record("request", F.lit(None).cast("string"), bytes_of("request_head"), F.lit(None)),
+        record("response", own("request"), F.concat(bytes_of("response_head"), bytes_of("body")), F.octet_length(bytes_of("response_head"))),
+    )
+    return transactions.select("key", F.explode(pair).alias("r")).select("key", "r.*")
 
 
 def file_name(prefix: str, seq: Column, compress: bool = True) -> Column:

@@ -1,53 +1,138 @@
 """Crawling a snapshot: waves of check-out, fetch (a join), verdict, extraction and insertion, to a fix-point.
 
-Each wave is one plan over the frontier's new rows; its result is cut with a reliable checkpoint. The driver sees only
-whether a wave has rows.
+Each wave is one plan over the frontier's open rows; its results are cut with a reliable checkpoint and never written
+again, so that a wave costs what it has, and for the known URLs one narrow anti-join. The driver sees counts and sums.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webframe.config import CrawlConfig
+from webframe.functions import urls as U
 from webframe.operators import filters as P
 from webframe.operators import frontier as fr
+from webframe.operators import hooks as H
 from webframe.operators import results as R
+from webframe.operators import robots
 from webframe.session import cut
 
 
-def crawl(spark: SparkSession, seeds: DataFrame, edges: DataFrame, fetches: DataFrame, config: CrawlConfig, accept_url: Callable | None = None, max_waves: int = 1000) -> DataFrame:
-    """The final frontier.
+@dataclass
+class Crawl:
+    """A finished crawl: the frontier, and why it ended."""
+
+    frontier: DataFrame
+    files: int = 0
+    size: int = 0
+    exit_code: int = 0
+    ended_by: str = "no URLs left"  # or: quota, hook
+    waves: list[DataFrame] = field(default_factory=list)
+
+
+def _wanted(wave: DataFrame, fetches: DataFrame, seeds: DataFrame, tests: dict[str, Column], config: CrawlConfig, hooks: H.Hooks, rules: DataFrame | None) -> DataFrame:
+    """The wave with verdicts, and what fetching gives: ``__code``, ``__error``, ``__size`` and ``final_url``.
+
+    Redirects are followed inside the item: at most ``max_redirect`` hops, and the last URL must pass the tests again,
+    for which hosts alone are no obstacle to a strong redirect. Robots' rules hold for the first and the last URL.
+    """
+    records = P.with_seed_flags(P.record_columns(wave), seeds)
+    judged = records.withColumn("__v", P.verdict(tests))
+    accept = hooks.callbacks.get("accept_url")
+    judged = judged.withColumn("__v", P.with_hook(F.col("__v"), accept[0])) if accept else judged
+    judged = judged.withColumn("__ok", F.col("__v.verdict"))
+    hops = fetches.filter(F.col("status_code").isin(*R.REDIRECT_CODES) & F.col("location").isNotNull()).select("url", "location")
+    chains = redirect_chains(wave.select("url"), hops, config.max_redirect)
+    met = judged.join(chains.select("url", "final_url", "n_hops"), "url", "left")
+    moved = met.filter(F.col("n_hops") > 0).select(*wave.columns, F.col("final_url").alias("__to"))
+    again = P.with_seed_flags(P.record_columns(moved.withColumn("__from", F.col("url")).withColumn("url", F.coalesce("__to", "url"))), seeds)
+    passes = again.select(F.col("__from").alias("url"), P.verdict(tests, True, config.strong_redirects)["verdict"].alias("__again"))
+    met = met.join(passes, "url", "left").withColumn("__ok", F.col("__ok") & F.coalesce("__again", F.lit(True)))
+    if config.robots and rules is not None:
+        for column in ("url", "final_url"):
+            met = robots.allowed(met, rules, config.user_agent, column).withColumn("__ok", F.col("__ok") & F.col("robots_ok")).drop("robots_ok")
+    resolver = hooks.callbacks.get("resolve_dns")
+    gone = resolver[0](U.hostname(F.col("final_url"))).isNull() if resolver else F.lit(False)
+    side = fetches.select(F.col("url").alias("__u"), F.col("status_code").alias("__code"), F.col("error").alias("__error"), F.col("size").alias("__size"))
+    met = met.join(side, F.col("final_url") == F.col("__u"), "left").drop("__u")
+    lost = F.when(F.col("final_url").isNull(), "ProtocolError").when(gone | (F.col("__code").isNull() & F.col("__error").isNull()), "DNSNotFound")
+    return met.withColumn("__error", F.coalesce("__error", lost))
+
+
+def run(spark: SparkSession, seeds: DataFrame, edges: DataFrame, fetches: DataFrame, config: CrawlConfig, hooks: H.Hooks | None = None, robots_files: DataFrame | None = None, max_waves: int = 1000) -> Crawl:
+    """A crawl of the snapshot.
 
     ``seeds``: seq, url. ``edges``: url, seq, link, inline, link_type (links of every document of the snapshot, resolved).
-    ``fetches``: url, status_code, error (what fetching gives; URLs beyond it are unknown hosts). All URLs canonical.
-    Filters decide at fetch time on the item's own URL; what they reject is ``skipped``.
+    ``fetches``: url, status_code, error, and where known size and location (what fetching gives; URLs beyond it are
+    unknown hosts). ``robots_files``: origin, body. All URLs canonical. What filters or robots reject is ``skipped``; an
+    error is tried again until the tries filter rejects it. The quota is looked at after each wave.
     """
-    frontier = cut(fr.insert(fr.empty(spark), seeds))
-    seed_rows = frontier.select("url")
+    hooks = hooks or H.Hooks()
+    for name, kind in (("location", "string"), ("size", "long")):
+        if name not in fetches.columns:
+            fetches = fetches.withColumn(name, F.lit(None).cast(kind))
+    rules = cut(robots.rules(robots_files)) if config.robots and robots_files is not None else None
     tests = P.assemble(config)
+    opened = cut(fr.insert(fr.empty(spark), seeds))
+    hooks.notify("queued_url", opened)
+    seed_rows = opened.select("url")
+    out = Crawl(opened)
+    errors: list[DataFrame] = []
     for _ in range(max_waves):
-        status = fr.next_status(frontier)
+        status = fr.next_status(opened)
         if status is None:
             break
-        frontier, wave = fr.check_out(frontier, status)
-        records = P.with_seed_flags(P.record_columns(wave), seed_rows)
-        judged = records.withColumn("__v", P.verdict(tests))
-        judged = judged.withColumn("__v", P.with_hook(F.col("__v"), accept_url)) if accept_url else judged
-        met = judged.join(fetches.select("url", F.col("status_code").alias("__code"), F.col("error").alias("__error")), "url", "left")
-        error = F.coalesce("__error", F.when(F.col("__code").isNull(), "DNSNotFound"))
-        outcome = F.when(~F.col("__v.verdict"), "skipped").otherwise(F.coalesce(R.status_of_error(error, config.retry_connrefused, config.retry_dns_error), R.status_of_code(F.col("__code"), config.content_on_error)))
-        outcome = F.when(outcome == "redirect", "done").otherwise(outcome)
-        done = cut(met.select("url", "level", "inline_level", "root_url", F.col("__code").alias("status_code"), outcome.alias("new_status")))
-        frontier = fr.check_in(frontier, done.select("url", "new_status", "status_code"))
-        parents = done.filter(F.col("new_status") == "done").select("url", "level", "inline_level", "root_url")
+        _, wave = fr.check_out(opened, status)
+        hooks.notify("dequeued_url", wave)
+        met = _wanted(wave, fetches, seed_rows, tests, config, hooks, rules)
+        plain = F.coalesce(R.status_of_error(F.col("__error"), config.retry_connrefused, config.retry_dns_error), R.status_of_code(F.col("__code"), config.content_on_error))
+        action = H.action_of(hooks, F.col("url"), F.col("__code"), F.col("__error"))
+        new = F.when(~F.col("__ok"), "skipped").otherwise(R.action_status(action, F.when(plain == "redirect", "error").otherwise(plain)))
+        kept = [c for c in fr.COLUMNS if c not in ("status", "status_code", "try_count")]
+        done = met.select(*kept, new.alias("status"), F.coalesce("__code", "status_code").alias("status_code"), (F.col("try_count") + 1).alias("try_count"), "final_url", F.when(F.col("__ok"), F.col("__error")).alias("__error"), F.col("__size"), (F.col("__ok") & (action == "stop")).alias("__stop"))
+        done = cut(done)
+        out.waves.append(done.filter(F.col("status").isin("done", "skipped")).select(*fr.COLUMNS))
+        errors.append(done.select(F.col("__error").alias("error")))
+        files, size, stop = done.agg(F.count_if(F.col("status") == "done"), F.sum(F.when(F.col("status") == "done", F.col("__size"))), F.max("__stop")).first()
+        out.files, out.size = out.files + files, out.size + (size or 0)
+        parents = done.filter(F.col("status") == "done").select(F.col("final_url").alias("url"), "level", "inline_level", "root_url")
         children = fr.child_rows(edges.join(parents, "url"))
         record_only = {k: v for k, v in tests.items() if k in ("RecursiveFilter", "LevelFilter")}
-        fresh = fr.new_rows(children).filter(P.all_of(record_only))
-        frontier = cut(fr.insert(frontier, fresh))
-    return frontier
+        wanted = fr.first_per(fr.new_rows(children).filter(P.all_of(record_only)), "url", F.col("seq")).select(*fr.COLUMNS)
+        for known in (opened, *out.waves):
+            wanted = wanted.join(known.select("url"), "url", "left_anti")
+        wanted = cut(wanted.select(*fr.COLUMNS))
+        hooks.notify("queued_url", wanted)
+        waiting = opened.filter(F.col("status") != status).unionByName(done.filter(F.col("status") == "error").select(*fr.COLUMNS))
+        opened = cut(waiting.unionByName(wanted))
+        if stop:
+            out.ended_by = "hook"
+            break
+        if config.quota is not None and out.size >= config.quota and not opened.filter((F.col("status") == "todo") & (F.col("level") == 0)).limit(1).count():
+            out.ended_by = "quota"
+            break
+    out.frontier = opened
+    for known in out.waves:
+        out.frontier = out.frontier.unionByName(known)
+    if errors:
+        every = errors[0]
+        for e in errors[1:]:
+            every = every.unionByName(e)
+        out.exit_code = R.exit_status(every).first()[0]
+    out.exit_code = H.exit_code(hooks, out.exit_code)
+    hooks.notify("finishing_statistics", {"files": out.files, "size": out.size, "exit_code": out.exit_code, "ended_by": out.ended_by})
+    return out
+
+
+def crawl(spark: SparkSession, seeds: DataFrame, edges: DataFrame, fetches: DataFrame, config: CrawlConfig, accept_url=None, **options) -> DataFrame:
+    """The final frontier of :func:`run`."""
+    hooks = options.pop("hooks", None) or H.Hooks()
+    if accept_url:
+        hooks.connect("accept_url", accept_url)
+    return run(spark, seeds, edges, fetches, config, hooks, **options).frontier
 
 
 def bfs_levels(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -64,14 +149,21 @@ def bfs_levels(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 
 def redirect_chains(starts: DataFrame, hops: DataFrame, max_redirects: int = 20) -> DataFrame:
-    """(url, final_url, n_hops, ended): follows ``hops`` (url, location), unique by URL; chains longer than the most, and
-    cycles, don't end. Each round is one equi-join of the chains still open."""
-    unique = hops.groupBy("url").agg(F.min("location").alias("location")).select(F.col("url").alias("__from"), "location")
-    state = starts.select("url").distinct().select("url", F.col("url").alias("final_url"), F.lit(0).alias("n_hops"), F.lit(False).alias("ended"))
-    for _ in range(max_redirects + 1):
-        joined = state.filter(~F.col("ended")).join(unique, F.col("final_url") == F.col("__from"), "left")
-        stepped = joined.select("url", F.coalesce("location", "final_url").alias("final_url"), (F.col("n_hops") + F.when(F.col("location").isNull(), 0).otherwise(1)).alias("n_hops"), F.col("location").isNull().alias("ended"))
-        state = cut(state.filter("ended").unionByName(stepped))
-        if state.filter(~F.col("ended")).limit(1).count() == 0:
+    """(url, final_url, n_hops, ended): follows ``hops`` (url, location), unique by URL. Chains of more than the most, and
+    cycles, don't end and have no final URL.
+
+    Pointers are doubled: each of the log2(max_redirects) rounds is one equi-join of the hops with themselves, and the
+    starts meet them once at the end.
+    """
+    to = hops.groupBy("url").agg(F.min("location").alias("to")).withColumn("n", F.lit(1))
+    for _ in range(max_redirects.bit_length()):
+        to = cut(to)
+        on = to.select(F.col("url").alias("to"), F.col("to").alias("__next"), F.col("n").alias("__more"))
+        met = to.join(on, "to", "left")
+        if not met.filter(F.col("__next").isNotNull() & (F.col("n") <= max_redirects)).limit(1).count():
             break
-    return state.withColumn("n_hops", F.least("n_hops", F.lit(max_redirects + 1)))
+        far = F.col("n") > max_redirects  # a chain that is too long already needn't go on
+        to = met.select("url", F.when(far, F.col("to")).otherwise(F.coalesce("__next", "to")).alias("to"), (F.col("n") + F.when(far, 0).otherwise(F.coalesce("__more", F.lit(0)))).alias("n"))
+    joined = starts.select("url").distinct().join(to, "url", "left")
+    ended = F.coalesce(F.col("n") <= max_redirects, F.lit(True))
+    return joined.select("url", F.when(ended, F.coalesce("to", "url")).alias("final_url"), F.least(F.coalesce("n", F.lit(0)), F.lit(max_redirects + 1)).alias("n_hops"), ended.alias("ended"))

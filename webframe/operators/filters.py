@@ -172,3 +172,27 @@ def with_hook(decided: Column, accept_url) -> Column:
 def referer(url: Column, parent_url: Column) -> Column:
     """No referer from https to http."""
     return F.when(~((U.scheme(parent_url) == "https") & (U.scheme(url) == "http")), parent_url)
+
+
+def subsequent_request(tests: dict[str, Column], is_redirect: Column | bool, is_virtual: Column, strong_redirects: bool = True) -> Column:
+    """Whether a request after an item's first one may go out: the filters' verdict, and always for virtual items."""
+    return is_virtual | verdict(tests, is_redirect, strong_redirects)["verdict"]
+
+
+def generic_request(tests: dict[str, Column]) -> Column:
+    """Whether a request of a protocol without robots may go out: the filters alone."""
+    return verdict(tests)["verdict"]
+
+
+def sampled(rows: DataFrame, share: float = 0.75, seed: int = 0, key: str = "url") -> DataFrame:
+    """A random share of the rows, by a hash of their key, so that a retried task draws the same ones."""
+    return rows.filter(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
+def by_scheme(rows: DataFrame, processors: dict[str, object]) -> DataFrame:
+    """Each row through the processor of its scheme, a function of a frame; rows of other schemes are ``skipped``.
+    Processors return the columns of ``rows`` and ``outcome``."""
+    out = rows.filter(~F.col("scheme").isin(*processors)).withColumn("outcome", F.lit("skipped"))
+    for name, f in processors.items():
+        out = out.unionByName(f(rows.filter(F.col("scheme") == name)))
+    return out

@@ -121,3 +121,61 @@ def anti_clobber(paths: DataFrame, path_col: str, *order: Column) -> DataFrame:
     """``name``, ``name.1``, ``name.2`` ... for equal paths."""
     n = F.row_number().over(Window.partitionBy(path_col).orderBy(*order)) - 1
     return paths.withColumn("__n", n).withColumn(path_col, F.when(F.col("__n") == 0, F.col(path_col)).otherwise(F.concat_ws(".", path_col, F.col("__n").cast("string")))).drop("__n")
+
+
+def get_one(frontier: DataFrame, url: str) -> DataFrame:
+    """The record of a URL, or no row: a filter that Parquet's statistics and row groups serve."""
+    return frontier.filter(F.col("url") == url)
+
+
+def contains(frontier: DataFrame, urls: DataFrame) -> DataFrame:
+    """``urls`` with ``known``, for any number of them."""
+    known = frontier.select("url", F.lit(True).alias("__known"))
+    return urls.join(known, "url", "left").withColumn("known", F.coalesce("__known", F.lit(False))).drop("__known")
+
+
+def interned(frontier: DataFrame, columns: tuple[str, ...] = ("url", "parent_url", "root_url")) -> tuple[DataFrame, DataFrame]:
+    """(string_id, value) of the distinct strings, and the frontier with their ids in place of the strings. Ids are hashes,
+    so that no numbering has to be agreed on and both sides are made by narrow maps; nulls stay."""
+    values = frontier.select(F.explode(F.array(*columns)).alias("value")).filter(F.col("value").isNotNull()).distinct()
+    ids = frontier.withColumns({c: F.when(F.col(c).isNotNull(), F.xxhash64(c)) for c in columns})
+    return values.select(F.xxhash64("value").alias("string_id"), "value"), ids
+
+
+def restored(strings: DataFrame, ids: DataFrame, columns: tuple[str, ...] = ("url", "parent_url", "root_url")) -> DataFrame:
+    out = ids
+    for c in columns:
+        side = strings.select(F.col("string_id").alias("__id"), F.col("value").alias("__value"))
+        out = out.join(side, out[c] == side["__id"], "left").withColumn(c, F.col("__value")).drop("__id", "__value")
+    return out.select(*ids.columns)
+
+
+def file_check_out(files: DataFrame, frontier: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files (url, filename, file_status) with the queued ones in progress, these with their URL's record)."""
+    queued = files.filter(F.col("file_status") == "todo")
+    after = files.withColumn("file_status", F.when(F.col("file_status") == "todo", "in_progress").otherwise(F.col("file_status")))
+    return after, queued.select("url", F.col("filename").alias("queued_file")).join(frontier, "url")
+
+
+def file_check_in(files: DataFrame, results: DataFrame) -> DataFrame:
+    """``results``: unique url, new_status."""
+    new = results.select("url", F.col("new_status").alias("__new"))
+    return files.join(new, "url", "left").withColumn("file_status", F.coalesce("__new", "file_status")).select(*files.columns)
+
+
+def last_seq(frontier: DataFrame) -> DataFrame:
+    """The greatest number given so far, -1 for an empty frontier; new rows go on from it."""
+    return frontier.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("last_seq"))
+
+
+def numbered_batches(rows: DataFrame, size: int = 1000, *order: Column) -> DataFrame:
+    """``batch`` of at most ``size`` rows. Rows are numbered inside partitions of ranges of the order, so no window runs
+    over all of them; a partition's last batch may be short."""
+    part = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    inside, where = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)), F.shiftright("__id", 33)
+    return part.withColumn("batch", F.concat_ws("-", where.cast("string"), F.floor(inside / size).cast("string"))).drop("__id")
+
+
+def evicted(cache: DataFrame, max_items: int, time_col: str = "used_at") -> DataFrame:
+    """The rows that stay: the most recently used ones. A top-k, which Spark takes partition by partition."""
+    return cache.orderBy(F.desc(time_col)).limit(max_items)

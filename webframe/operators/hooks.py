@@ -51,11 +51,24 @@ def attach(hooks: Hooks, plugin: object) -> Hooks:
     return hooks
 
 
-def handled(results: DataFrame, hooks: Hooks, status: Column) -> DataFrame:
-    """``results`` with the status after handle_response or, for rows with an error, handle_error."""
+def action_of(hooks: Hooks, url: Column, code: Column, error: Column) -> Column:
+    """The action for a row: of handle_error where there is an error, otherwise of handle_pre_response unless it is
+    ``normal``, and of handle_response."""
     normal = F.lit("normal")
-    action = F.when(F.col("error").isNull(), hooks.call("handle_response", normal, F.col("url"), F.col("status_code"))).otherwise(hooks.call("handle_error", normal, F.col("url"), F.col("error")))
-    return results.withColumn("action", action).withColumn("status", action_status(F.col("action"), status))
+    before = hooks.call("handle_pre_response", normal, url, code)
+    after = hooks.call("handle_response", normal, url, code)
+    return F.when(error.isNotNull(), hooks.call("handle_error", normal, url, error)).when(before != "normal", before).otherwise(after)
+
+
+def handled(results: DataFrame, hooks: Hooks, status: Column) -> DataFrame:
+    """``results`` (url, status_code, error) with the action and the status after it."""
+    return results.withColumn("action", action_of(hooks, F.col("url"), F.col("status_code"), F.col("error"))).withColumn("status", action_status(F.col("action"), status))
+
+
+def exit_code(hooks: Hooks, code: int) -> int:
+    """The code that exit_status makes of the crawl's own."""
+    held = hooks.callbacks.get("exit_status")
+    return held[0](code) if held else code
 
 
 def wait_seconds(hooks: Hooks, seconds: Column) -> Column:

@@ -10,11 +10,14 @@ from webframe.functions import urls as U
 MAX_BYTES = 4096
 
 
-def rules(files: DataFrame, key: str = "origin", body_col: str = "body") -> DataFrame:
-    """(key, agent, allow, pattern, ord): one row for each rule and each agent of its group, all in native functions."""
-    lines = F.split(F.substring(F.col(body_col), 1, MAX_BYTES), r"\r\n|[\r\n]")
+def rules(files: DataFrame, key: str = "origin", body_col: str = "body", max_bytes: int | None = MAX_BYTES) -> DataFrame:
+    """(key, agent, allow, pattern, ord): one row for each rule and each agent of its group, all in native functions.
+    Of a file the first ``max_bytes`` bytes count, or all with None; a file is one row and its lines one short array."""
+    body = F.col(body_col).cast("binary")
+    text = (body if max_bytes is None else F.substring(body, 1, max_bytes)).cast("string")
+    lines = F.split(text, r"\r\n|[\r\n]")
     flat = files.select(key, F.posexplode(lines).alias("ord", "line"))
-    text = F.trim(F.regexp_replace("line", "#.*$", ""))
+    text = F.trim(F.regexp_replace("line", "#.*$", ""))  # of a line
     named = flat.select(key, "ord", F.lower(F.trim(F.regexp_extract(text, "^([^:]*):", 1))).alias("name"), F.trim(F.regexp_extract(text, "^[^:]*:(.*)$", 1)).alias("value")).filter(F.col("name").isin("user-agent", "allow", "disallow"))
     # a group begins at an agent line that follows a rule, or at the first one; one file is one short array
     lists = named.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ord", "name", "value"))).alias("l"))

@@ -57,25 +57,32 @@ def stalls(samples: DataFrame, key: str, time_col: str, bytes_col: str, seconds:
     return samples.withColumn("__gap", F.coalesce(gap, F.lit(False))).withColumn("stalled", F.max("__gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__gap")
 
 
-def merge_samples(feeds: DataFrame, key: str, time_col: str, bytes_col: str, least: float = 0.15) -> DataFrame:
-    """Samples of at least ``least`` seconds each, from feeds of bytes: sequential in a key, so a function of a state
-    that is three numbers, run over the sorted feeds of each key."""
+def merge_samples(feeds: DataFrame, key: str, time_col: str, bytes_col: str, least: float = 0.15, stall: float = 5.0) -> DataFrame:
+    """Samples (key, seconds, n, stalled) of at least ``least`` seconds each, from feeds of bytes. A feed without bytes
+    after ``stall`` seconds or more makes no sample and stalls its key: samples after it say so. Sequential in a key, so
+    a function of a small state, run over the sorted feeds of each key."""
     import pandas as pd
 
     kind = dict(feeds.dtypes)[key]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows, begin, held = [], None, 0
+        rows, begin, held, stalled = [], None, 0, False
         for t, n in group.sort_values("t")[["t", "n"]].itertuples(index=False):
             begin = t if begin is None else begin
             held += n
-            if (t - begin) / 1e6 >= least:
-                rows.append((group["k"].iloc[0], (t - begin) / 1e6, held))
-                begin, held = t, 0
-        return pd.DataFrame(rows, columns=["k", "seconds", "n"])
+            seconds = (t - begin) / 1e6
+            if seconds < least:
+                continue
+            begin = t
+            if n == 0 and seconds >= stall:
+                stalled = True
+                continue
+            rows.append((group["k"].iloc[0], seconds, held, stalled))
+            held = 0
+        return pd.DataFrame(rows, columns=["k", "seconds", "n", "stalled"])
 
     flat = feeds.select(F.col(key).alias("k"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("t"), F.col(bytes_col).cast("long").alias("n"))
-    return flat.groupBy("k").applyInPandas(run, f"k {kind}, seconds double, n long").withColumnRenamed("k", key)
+    return flat.groupBy("k").applyInPandas(run, f"k {kind}, seconds double, n long, stalled boolean").withColumnRenamed("k", key)
 
 
 def link_counts(links: DataFrame, key: str) -> DataFrame:

@@ -56,3 +56,31 @@ def continues(code: Column) -> Column:
 
 def with_headers(head: Column, body: Column) -> Column:
     return F.concat(head, F.lit("\r\n"), body)
+
+
+def discard(documents: DataFrame) -> None:
+    """Runs all that leads to the documents and keeps none of it."""
+    documents.write.format("noop").mode("overwrite").save()
+
+
+def stamped(documents: DataFrame, header_col: str = "last_modified", fetched_col: str = "fetched_at") -> DataFrame:
+    """``modified``: the time of a Last-Modified header that can be read, else the time of the fetch."""
+    return documents.withColumn("modified", F.coalesce(X.http_date(F.col(header_col)), F.col(fetched_col).cast("timestamp")))
+
+
+def write_documents(documents: DataFrame, folder: str, body_col: str = "body", overwrite: bool = True) -> None:
+    """The documents as a table by path. Object stores have no files that many tasks could each name safely, so a path is
+    a column: :func:`read_document` finds one by Parquet's statistics, as rows are sorted by it in ranges."""
+    rows = documents.select("path", F.col(body_col).cast("binary").alias("body"))
+    rows.repartitionByRange("path").sortWithinPartitions("path").write.mode("overwrite" if overwrite else "append").parquet(folder)
+
+
+def read_document(spark, folder: str, path: str) -> DataFrame:
+    return spark.read.parquet(folder).filter(F.col("path") == path)
+
+
+def appended(held: DataFrame, parts: DataFrame) -> DataFrame:
+    """``held`` (path, body) with the bodies of partial responses (path, code, body) behind; other responses are errors
+    and change nothing."""
+    more = parts.filter(continues(F.col("code"))).groupBy("path").agg(F.min("body").alias("__more"))
+    return held.join(more, "path", "left").withColumn("body", F.concat("body", F.coalesce("__more", F.lit(b"")))).drop("__more")

@@ -47,11 +47,20 @@ def links_js(spark, d):
     return rows.select("page_id", F.explode(E.script_strings(text)).alias("link"))
 
 
-@query(f"WITH {LINKS_SQL} SELECT page_id, count(*) FILTER (pos % 3 = 0) AS n_inline, count(*) FILTER (pos % 3 <> 0) AS n_linked FROM links GROUP BY page_id")
+@query("SELECT page_id, page_id % 3 + page_id % 2 + 1 AS n_inline, page_id % 4 + page_id % 2 + 1 AS n_linked FROM pages")
 def links_inline_linked_counts(spark, d):
+    """Images, a frame, which is both, a style sheet and a next page besides anchors."""
     from webframe.operators.stats import link_counts
 
-    return link_counts(anchor_links(spark, d).withColumn("inline", F.col("pos") % 3 == 0), "page_id")
+    n = F.col("page_id")
+    some = lambda most, text: F.array_join(F.transform(F.filter(F.array(*[F.lit(i) for i in range(1, 4)]), lambda i: i <= n % most), text), "")
+    html = F.concat(
+        some(3, lambda i: F.concat(F.lit("<img src=i"), i, F.lit(".png>"))), some(4, lambda i: F.concat(F.lit("<a href='p"), i, F.lit("'>x</a>"))),
+        F.when(n % 2 == 1, "<iframe src=frame></iframe>").otherwise(""), F.lit('<link rel=stylesheet href=s.css><link rel="next" href=more>'),
+    )
+    found = E.html_links(pages(spark, d).withColumn("html", html))
+    both = found.select("page_id", F.explode(F.filter(F.array(F.when(F.col("inline"), True), F.when(F.col("linked"), False)), lambda x: x.isNotNull())).alias("inline"))
+    return link_counts(both, "page_id")
 
 
 @query(f"WITH {LINKS_SQL} SELECT DISTINCT page_id, link FROM links")

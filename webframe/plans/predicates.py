@@ -108,12 +108,13 @@ def robots_verdict(spark, d):
     return robots.allowed(p.select("page_id", "url"), robots.rules(files), "webframe").select("page_id", F.col("robots_ok").alias("ok"))
 
 
-@query("SELECT page_id, url LIKE '%/en/%' AS verdict, 'callback_hook' AS reason FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url LIKE 'https:%' ELSE url LIKE '%/en/%' END AS verdict, CASE WHEN page_id % 3 = 0 THEN 'filters' ELSE 'callback_hook' END AS reason FROM pages")
 def hook_accept_url(spark, d):
+    """The hook decides, and leaves a third of the pages to the filters."""
     hooks = H.Hooks()
-    hooks.connect("accept_url", lambda url, verdict, reason, results: url.contains("/en/"))
+    hooks.connect("accept_url", lambda url, verdict, reason, results: F.when(F.col("page_id") % 3 != 0, url.contains("/en/")))
     rows = pages(spark, d).withColumn("scheme", U.scheme(F.col("url")))
-    v = P.with_hook(P.verdict({"SchemeFilter": P.scheme_filter()}), hooks.callbacks["accept_url"][0])
+    v = P.with_hook(P.verdict({"HTTPSOnlyFilter": P.https_only()}), hooks.callbacks["accept_url"][0])
     return rows.select("page_id", v["verdict"].alias("verdict"), v["reason"].alias("reason"))
 
 
@@ -124,7 +125,8 @@ def hook_get_urls(spark, d):
     return H.more_urls(pages(spark, d), hooks)
 
 
-@query("SELECT page_id, CASE WHEN url LIKE 'https:%' THEN NULL ELSE 'https://a.example/' END AS none_down, 'http://a.example/' AS up FROM pages")
+@query("SELECT page_id, CASE WHEN url LIKE 'http:%' AND page_id % 2 = 0 THEN NULL WHEN page_id % 2 = 0 THEN 'https://a.example/' WHEN page_id % 5 <> 0 THEN 'http://a.example/' END AS referer FROM pages")
 def referer_suppression(spark, d):
-    u = F.col("url")
-    return pages(spark, d).select("page_id", F.when(U.scheme(u) == "https", P.referer(F.lit("http://b.example/"), F.lit("https://a.example/"))).otherwise(F.lit("https://a.example/")).alias("none_down"), P.referer(u, F.lit("http://a.example/")).alias("up"))
+    n = F.col("page_id")
+    parent = F.when(n % 2 == 0, "https://a.example/").when(n % 5 != 0, "http://a.example/")
+    return pages(spark, d).select("page_id", P.referer(F.col("url"), parent).alias("referer"))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import gzip
+import zlib
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webframe.functions import links as L
 from webframe.functions import naming as N
@@ -56,9 +59,18 @@ def url_query_pairs(spark, d):
     return pages(spark, d).select("page_id", F.explode(U.split_query(U.query(F.col("url")))).alias("p")).select("page_id", "p.*")
 
 
-@query("SELECT page_id, CASE WHEN url LIKE '%?page=2%' THEN 'page=2;ref=x' WHEN url LIKE '%?utm_source=feed%' THEN 'utm_source=feed' ELSE '=' END AS flat FROM pages")
+_QUERIES = "regexp_extract(url, '\\?([^#]*)', 1) || '&k' || page_id % 3 || '=a+b&k0=c=d&&k' || page_id % 2"
+
+
+@query(
+    f"WITH p AS (SELECT page_id, string_split({_QUERIES}, '&') AS ps FROM pages), x AS (SELECT page_id, i, ps[i] AS p FROM (SELECT page_id, ps, unnest(generate_series(1, len(ps))) AS i FROM p)), "
+    "v AS (SELECT page_id, regexp_extract(p, '^([^=]*)', 1) AS name, min(i) AS first, string_agg(replace(regexp_extract(p, '=(.*)$', 1), '+', ' '), ',' ORDER BY i) AS held FROM x GROUP BY 1, 2) "
+    "SELECT page_id, string_agg(name || '=' || held, ';' ORDER BY first) AS flat FROM v GROUP BY page_id"
+)
 def url_query_map(spark, d):
-    m = U.query_map(U.query(F.col("url")))
+    n = F.col("page_id")
+    text = F.concat(U.query(F.col("url")), F.lit("&k"), (n % 3).cast("string"), F.lit("=a+b&k0=c=d&&k"), (n % 2).cast("string"))
+    m = U.query_map(text)
     return pages(spark, d).select("page_id", F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ","))), ";").alias("flat"))
 
 
@@ -96,10 +108,13 @@ def url_escaped_fragment(spark, d):
     return pages(spark, d).select("page_id", U.rewrite(F.regexp_replace("url", "#top$", "#!top"), hash_fragment=True).alias("url"))
 
 
-@query("SELECT page_id, url LIKE '%.html%' AS under_html, regexp_matches(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) || '/', '^/[a-z][a-z]/1') AS glob FROM pages")
+_FULL = f"{_PATH.replace('CASE', '(CASE', 1)}) || CASE WHEN ({_PATH}) LIKE '%/' THEN '' ELSE '/' END"
+
+
+@query(f"SELECT page_id, ({_FULL}) LIKE '/en/%' AS under, regexp_extract({_PATH}, '^(.*/)', 1) LIKE '/fr/%' AS under_slash, regexp_matches({_FULL}, '^/[a-z][a-z]/1') AS glob FROM pages")
 def url_is_subdir(spark, d):
     p = U.path(F.col("url"))
-    return pages(spark, d).select("page_id", F.col("url").contains(".html").alias("under_html"), U.is_subdir("/??/1*", p, wildcards=True).alias("glob"))
+    return pages(spark, d).select("page_id", U.is_subdir("/en", p).alias("under"), U.is_subdir("/fr/x", p, trailing_slash=True).alias("under_slash"), U.is_subdir("/??/1*", p, wildcards=True).alias("glob"))
 
 
 @query(
@@ -191,13 +206,20 @@ def http_framing(spark, d):
     )
 
 
-@query("SELECT page_id, CAST(octet_length(encode(html)) AS INTEGER) AS size, sha1(html) AS digest FROM pages")
+_zipped = X._bytes_udf(gzip.compress, T.BinaryType())
+_deflated = X._bytes_udf(lambda b: zlib.compress(b)[2:-4], T.BinaryType())
+
+
+@query("SELECT page_id, CAST(octet_length(encode(html)) AS INTEGER) AS size, sha1(html) AS digest, sha1(html) AS inflated, page_id % 4 = 3 AS cut FROM pages")
 def body_decoding(spark, d):
-    """Pages cut into chunks of text are put together again."""
+    """Chunked pages, a half of them gzip inside, are put together and inflated again; a cut transfer gives null."""
     body = F.encode("html", "utf-8")
-    head = F.concat(F.lower(F.hex(F.octet_length(body).cast("long"))), F.lit(";x=1\r\n")).cast("binary")
-    whole = X.gunzip(X.unchunk(F.concat(head, body, F.lit("\r\n0\r\n\r\n").cast("binary"))))
-    return pages(spark, d).select("page_id", F.octet_length(whole).alias("size"), F.sha1(whole).alias("digest"))
+    sent = F.when(F.col("page_id") % 2 == 0, _zipped(body)).otherwise(body)
+    rows = pages(spark, d).select("page_id", sent.alias("sent"), _deflated(body).alias("raw"))
+    head = F.concat(F.lower(F.hex(F.octet_length("sent").cast("long"))), F.lit(";x=1\r\n")).cast("binary")
+    chunked = F.concat(head, "sent", F.lit("\r\n0\r\n\r\n").cast("binary"))
+    whole, part = X.gunzip(X.unchunk(chunked)), X.unchunk(F.when(F.col("page_id") % 4 == 3, F.substring(chunked, 1, 9)).otherwise(chunked))
+    return rows.select("page_id", F.octet_length(whole).alias("size"), F.sha1(whole).alias("digest"), F.sha1(X.inflate("raw")).alias("inflated"), part.isNull().alias("cut"))
 
 
 @query()
@@ -206,10 +228,32 @@ def charset_detection(spark, d):
     return pages(spark, d).select("page_id", X.encoding_of(data).alias("encoding"))
 
 
-@query("SELECT page_id, regexp_matches(lower(html[1:4096]), '<!doctype html|<html|<head|<title|<body|<script|<table|<a href|<!--') AS html, false AS css, false AS js, false AS xml, false AS sitemap FROM pages")
+_SNIFFED = (
+    # media type, body, path; html, css, javascript, xml, sitemap
+    ("text/html", "var x", "/a", True, False, True, False, False),
+    ("text/html", "<HTML> color: var", "/a.css", True, False, False, False, False),
+    ("text/plain", "color: red; var x", "/a", False, False, False, False, False),
+    ("text/plain", "x", "/a.CSS", False, True, False, False, False),
+    ("text/css", "<html>", "/a", True, True, False, False, False),
+    (None, "@import x", "/a", False, True, False, False, False),
+    (None, "setTimeout(1)", "/a.xhtml", True, False, True, False, False),
+    ("application/javascript", "x", "/s.js", False, False, True, False, False),
+    ("application/rss+xml", "x", "/a", False, False, False, True, False),
+    ("x/y", "<?xml version='1'?><urlset>", "/a", False, False, False, True, True),
+    ("x/y", "<?xml version='1'?><URLSET>", "/a", False, False, False, True, False),
+    ("x/y", "x", "/robots.txt", False, False, False, False, True),
+    ("x/y", "<body><!-- x -->", "/sitemap-1.xml", False, False, False, True, True),
+    ("x/y", "<a\x01 href=x>", "/a", True, False, False, False, False),
+)
+_SNIFFED_SQL = ", ".join(f"({i}, {', '.join(map(str, row[3:]))})" for i, row in enumerate(_SNIFFED))
+
+
+@query(f"SELECT page_id, t.html, t.css, t.js, t.xml, t.sitemap FROM pages JOIN (VALUES {_SNIFFED_SQL}) AS t(i, html, css, js, xml, sitemap) ON page_id % {len(_SNIFFED)} = i")
 def doc_sniff(spark, d):
-    none, body, p = F.lit(None).cast("string"), F.col("html"), F.lit("/x")
-    return pages(spark, d).select("page_id", X.is_html(none, body, p).alias("html"), X.is_css(none, body, p).alias("css"), X.is_javascript(none, body, p).alias("js"), X.is_xml(none, body, p).alias("xml"), X.is_sitemap(body, p).alias("sitemap"))
+    """Fourteen kinds of responses; bodies go on with those of the pages far beyond what is looked at."""
+    case = F.get(F.array(*[F.struct(*[F.lit(x).cast("string").alias(n) for n, x in zip("kbp", row[:3], strict=True)]) for row in _SNIFFED]), F.col("page_id") % len(_SNIFFED))
+    kind, body, p = case["k"], F.concat(case["b"], F.lit(" " * 4096), F.col("html")), case["p"]
+    return pages(spark, d).select("page_id", X.is_html(kind, body, p).alias("html"), X.is_css(kind, body, p).alias("css"), X.is_javascript(kind, body, p).alias("js"), X.is_xml(kind, body, p).alias("xml"), X.is_sitemap(body, p).alias("sitemap"))
 
 
 _LISTING_NOW = dt.datetime(2024, 6, 1)

@@ -1,7 +1,9 @@
 """WARC 1.0 as a Python data source: ``spark.read.format("warc")`` and ``df.write.format("warc")``.
 
-Reading takes one file a task through Spark's own binary reader, so any file system works. Writing gives one file for
-each task in a folder that all executors share, under a temporary name that the commit renames.
+Reading takes one file a task through Spark's own binary reader, so any file system works. Writing gives one file or,
+where files rotate, several for each task, with a gzip member for each record. Tasks open files through pyarrow's file
+systems, so the folder is a URI of a store that all executors and the driver reach, or a path that they share. A file has a
+temporary name until the job commits: a task that fails or runs twice leaves nothing behind in the archives.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
@@ -72,39 +76,60 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, RECORD)
 
 
+@dataclass
 class _Written(WriterCommitMessage):
-    def __init__(self, temporary: str, final: str):
-        self.temporary, self.final = temporary, final
+    files: list[tuple[str, str]]  # temporary and final paths
+
+
+def _store(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri if "://" in uri else os.path.abspath(uri.removeprefix("file:")))
 
 
 class WarcWriter(DataSourceWriter):
+    """Options: path, prefix, compress, and max_size, the bytes after which a file ends (0: never)."""
+
     def __init__(self, options: dict):
-        self.folder, self.prefix, self.compress = options["path"].removeprefix("file://"), options.get("prefix", "archive"), options.get("compress", "true") == "true"
+        self.folder, self.prefix, self.compress, self.max_size = options["path"].rstrip("/"), options.get("prefix", "archive"), options.get("compress", "true") == "true", int(options.get("max_size", "0"))
+        self.job = uuid.uuid4().hex
 
     def write(self, rows) -> _Written:
         from pyspark import TaskContext
 
-        os.makedirs(self.folder, exist_ok=True)
-        part = TaskContext.get().partitionId()
-        end = ".warc.gz" if self.compress else ".warc"
-        final = f"{self.folder}/{self.prefix}-{part:05d}{end}"
-        temporary = f"{self.folder}/.{uuid.uuid4().hex}{end}"
-        info = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, final)}>"), ("Content-Type", "application/warc-fields")]
-        with open(temporary, "wb") as f:
-            put = lambda data: f.write(gzip.compress(data) if self.compress else data)  # noqa: E731  a member for each record
-            put(serialize(info, b"software: webframe\r\nformat: WARC File Format 1.0\r\n"))
+        store, folder = _store(self.folder)
+        part, attempt, end = TaskContext.get().partitionId(), uuid.uuid4().hex, ".warc.gz" if self.compress else ".warc"
+        store.create_dir(f"{folder}/_temporary-{self.job}", recursive=True)
+        files: list[tuple[str, str]] = []
+        out, size = None, 0
+        pack = lambda data: gzip.compress(data) if self.compress else data  # noqa: E731  a member for each record
+        try:
             for row in rows:
-                put(serialize([(x["name"], x["value"]) for x in row["fields"]], bytes(row["block"]), row["payload_offset"] if "payload_offset" in row else None))
-        return _Written(temporary, final)
+                if out is None or self.max_size and size > self.max_size:
+                    if out:
+                        out.close()
+                    name = f"{self.prefix}-{part:05d}-{len(files):05d}{end}"
+                    files.append((f"{folder}/_temporary-{self.job}/{attempt}-{name}", f"{folder}/{name}"))
+                    out = store.open_output_stream(files[-1][0], compression=None)
+                    info = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")]
+                    size = out.write(pack(serialize(info, b"software: webframe\r\nformat: WARC File Format 1.0\r\n")))
+                size += out.write(pack(serialize([(x["name"], x["value"]) for x in row["fields"]], bytes(row["block"]), row["payload_offset"] if "payload_offset" in row else None)))
+        finally:
+            if out:
+                out.close()
+        return _Written(files)
 
     def commit(self, messages) -> None:
+        store, folder = _store(self.folder)
         for m in messages:
-            os.replace(m.temporary, m.final)
+            for temporary, final in m.files if m else ():
+                store.move(temporary, final)
+        self._clean(store, folder)
 
     def abort(self, messages) -> None:
-        for m in messages:
-            if m and os.path.exists(m.temporary):
-                os.remove(m.temporary)
+        self._clean(*_store(self.folder))
+
+    def _clean(self, store: pafs.FileSystem, folder: str) -> None:
+        if store.get_file_info(f"{folder}/_temporary-{self.job}").type == pafs.FileType.Directory:
+            store.delete_dir(f"{folder}/_temporary-{self.job}")
 
 
 class WarcSource(DataSource):
@@ -121,6 +146,7 @@ class WarcSource(DataSource):
         return WarcWriter(self.options)
 
 
-def write_warc(records: DataFrame, folder: str, prefix: str = "archive", compress: bool = True) -> None:
+def write_warc(records: DataFrame, folder: str, prefix: str = "archive", compress: bool = True, max_size: int = 0) -> None:
+    """``records``: fields, block and, for a payload digest, payload_offset."""
     records.sparkSession.dataSource.register(WarcSource)
-    records.write.format("warc").mode("append").option("prefix", prefix).option("compress", str(compress).lower()).save(folder)
+    records.write.format("warc").mode("append").option("prefix", prefix).option("compress", str(compress).lower()).option("max_size", str(max_size)).save(folder)
