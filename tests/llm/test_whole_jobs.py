@@ -176,19 +176,6 @@ def test_every_different_call_and_result_stays(spark):
     assert sorted((json.loads(r["json"])["arguments"]["text"], json.loads(r["json"])["result"], r["n_calls"], r["n_results"]) for r in rows) == [("a", "x", 1, 1), ("a", "y", 1, 2), ("b", "x", 1, 1)]
 
 
-def test_queries_read_whole_texts(spark, tmp_path):
-    from urllib.parse import quote
-
-    from webframe.plans import catalog
-
-    rows = [(k, "\n ".join(f"wörd {k}, x{i}\t" for i in range(200))) for k in range(5)] + [(9, "short"), (10, "")]
-    spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
-    encoded = {r["doc_id"]: r["encoded"] for r in catalog.QUERIES["url_percent_encode"](spark, str(tmp_path)).collect()}
-    assert encoded == {i: quote(re.sub("[^a-zA-Zà-ÿ ]", "", t)) for i, t in rows}
-    soup = {r["doc_id"]: r["soup"] for r in catalog.QUERIES["link_soup_clean"](spark, str(tmp_path)).collect()}
-    assert soup == {i: "".join(x.strip() for x in t.split("\n")) for i, t in rows}
-
-
 def test_boilerplate_is_found_at_any_host_size(spark):
     from webframe.llm import quality
 
@@ -200,25 +187,6 @@ def test_boilerplate_is_found_at_any_host_size(spark):
     assert quality.judge(docs).filter("n_boilerplate_words NOT IN (0, 3)").count() == 0
 
 
-def test_writers_rotate_and_script_links_are_whole(spark, tmp_path):
-    from webframe.plans import catalog
-
-    rng = random.Random(6)
-    rows = [(k, "x" * rng.randrange(6000)) for k in range(400)]
-    spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
-    want, held, seq = {}, Counter(), Counter()
-    for i, t in rows:
-        if held[i % 50] > 8192:
-            seq[i % 50] += 1
-            held[i % 50] = 0
-        want[i] = seq[i % 50]
-        held[i % 50] += len(t)
-    assert {r["doc_id"]: r["file_seq"] for r in catalog.QUERIES["warc_rotation"](spark, str(tmp_path)).collect()} == want and max(want.values()) > 0
-    pages = [(1, "http://h.example/", '<script>var u = "http://b.example/own.html";</script>')]
-    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    assert {r["link"] for r in catalog.QUERIES["links_js"](spark, str(tmp_path)).collect()} == {"http://a.example/1/x.html", "http://b.example/own.html"}
-
-
 def brute_passages(rows):
     """Rows without the 13-word passages that a row of a smaller id has; emptied rows go."""
     least, out = {}, []
