@@ -246,7 +246,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own, text = f"c{columns.index(id_col)}", f"c{columns.index(text_col)}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     batches = max(parts, -(-input_bytes(docs) // BATCH_BYTES))
-    buckets = max(parts, batches // 2)
+    buckets = batches  # each holds about as many keys as a batch sends
     rest = [c for c in docs.columns if c not in (own, text)]
     out = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     named = docs.filter(F.col(own).isNotNull()).withColumnsRenamed({own: "id", text: "text"})
