@@ -74,6 +74,8 @@ def run(spark: SparkSession, seeds: DataFrame, edges: DataFrame, fetches: DataFr
     for name, kind in (("location", "string"), ("size", "long")):
         if name not in fetches.columns:
             fetches = fetches.withColumn(name, F.lit(None).cast(kind))
+    if config.strip_session_id or config.escaped_fragment:
+        edges = edges.withColumn("link", U.rewrite(F.col("link"), config.escaped_fragment, config.strip_session_id))
     rules = cut(robots.rules(robots_files)) if config.robots and robots_files is not None else None
     tests = P.assemble(config)
     opened = cut(fr.insert(fr.empty(spark), seeds))

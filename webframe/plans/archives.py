@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from webframe.operators import archive as A
@@ -70,7 +72,7 @@ def cdx_index(spark, d):
 
 @query(f"{_INDEX_SQL} SELECT 'http://docs.example/' || doc_id AS url, 'r' || doc_id AS warc_id, digest AS payload_digest FROM o")
 def cdx_roundtrip(spark, d):
-    folder = f"{checkpoint_dir(spark)}/cdx_roundtrip"
+    folder = f"{checkpoint_dir(spark)}/cdx_roundtrip-{uuid.uuid4().hex}"
     cdx.write_cdx(_index(spark, d), folder)
     return cdx.visits_from_cdx(cdx.read_cdx(spark, folder))
 

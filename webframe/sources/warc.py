@@ -14,6 +14,7 @@ import hashlib
 import os
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,16 +57,32 @@ def split_records(data: bytes) -> Iterator[tuple[int, list[tuple[str, str]], byt
         at = head_end + 8 + size
 
 
+def members(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, content) of each gzip member, or of a plain file as a whole; a cut member raises ValueError."""
+    if data[:2] != b"\x1f\x8b":
+        yield 0, data
+        return
+    at = 0
+    while at < len(data):
+        d = zlib.decompressobj(31)
+        content = d.decompress(data[at:])
+        if not d.eof:
+            raise ValueError(f"the gzip member at byte {at} is cut")
+        yield at, content
+        at = len(data) - len(d.unused_data)
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record of the files (gzip or plain) under ``path``."""
+    """One row for each record of the files (gzip or plain) under ``path``; ``offset`` is the record's in a plain file, and
+    in a gzip file that of its member, which one can inflate from there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = content.as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 rows, held = [], 0
-                for offset, fields, block in split_records(data):
+                data = content.as_py()
+                zipped = data[:2] == b"\x1f\x8b"
+                for offset, fields, block in ((begin if zipped else at, fields, block) for begin, member in members(data) for at, fields, block in split_records(member)):
                     rows.append({"file": name, "offset": offset, "fields": [{"name": k, "value": v} for k, v in fields], "block": block})
                     held += len(block)
                     if held > 4 << 20:
