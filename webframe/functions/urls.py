@@ -161,7 +161,7 @@ def try_parse_url(url: str | None) -> dict | None:
 def url_info(urls: pd.Series) -> pd.DataFrame:
     """The parts of each URL; all null where it is invalid."""
     rows = [try_parse_url(u) or {} for u in urls]
-    out = pd.DataFrame(rows, columns=URL_INFO.names)
+    out = pd.DataFrame(rows, columns=URL_INFO.names, dtype=object)
     out["port"] = out["port"].astype("Int32")
     return out
 

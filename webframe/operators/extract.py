@@ -153,14 +153,18 @@ class Element:
         return _attribute_links(self.tag, self.attrib, self.scripts)
 
 
+def _type_of(link: str) -> str | None:
+    return L.link_type_of(_soup(link))
+
+
 def _embedded(name: str | None, link: str, value_type: str = "plain", base: str | None = None) -> Found:
-    return Found(name, link, True, False, L.link_type_of(link), value_type, base)
+    return Found(name, link, True, False, _type_of(link), value_type, base)
 
 
 def _guessed(name: str | None, link: str, value_type: str = "plain") -> Found:
     """A link of which only its text tells what it is."""
     inline = L.likely_inline(link)
-    return Found(name, link, inline, not inline, L.link_type_of(link), value_type)
+    return Found(name, link, inline, not inline, _type_of(link), value_type)
 
 
 def _of_attributes(e: Element) -> Iterator[Found]:
@@ -169,7 +173,7 @@ def _of_attributes(e: Element) -> Iterator[Found]:
             yield _guessed(name, link)
             continue
         kind = KINDS.get((e.tag, name), PAGE if name == "href" else EMBEDDED)
-        yield Found(name, link, kind != PAGE, kind != EMBEDDED, L.link_type_of(link))
+        yield Found(name, link, kind != PAGE, kind != EMBEDDED, _type_of(link))
 
 
 def _of_relation(e: Element) -> Iterator[Found]:
@@ -216,7 +220,7 @@ def _of_script(e: Element) -> Iterator[Found]:
 
 def _of_link_text(e: Element) -> Iterator[Found]:
     if e.text:
-        yield Found(None, e.text, False, True, L.link_type_of(e.text))
+        yield Found(None, e.text, False, True, _type_of(e.text))
 
 
 def _of_style_attribute(e: Element) -> Iterator[Found]:
