@@ -135,3 +135,12 @@ def test_predicates(spark):
 def test_link_sets(spark):
     links = spark.createDataFrame([("k", "b", True, False), ("k", "a", True, True), ("k", "a", True, True), ("q", "z", False, True)], "k string, link string, inline boolean, linked boolean")
     assert {r["k"]: (r["inline_links"], r["linked_links"]) for r in stats.link_sets(links, "k").collect()} == {"k": (["a", "b"], ["a"]), "q": ([], ["z"])}
+
+
+def test_frontier_in_a_sql_store(spark, tmp_path):
+    rows = frontier.insert(frontier.empty(spark), spark.createDataFrame([(0, "http://a/"), (1, "http://b/ü")], "seq long, url string"))
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    seeds.save_frontier_jdbc(rows, url, driver=driver)
+    back = seeds.load_frontier_jdbc(spark, url, driver=driver)
+    assert back.columns == frontier.COLUMNS
+    assert sorted((r["seq"], r["url"], r["status"], r["level"], r["filename"]) for r in back.collect()) == [(0, "http://a/", "todo", 0, None), (1, "http://b/ü", "todo", 0, None)]

@@ -1,4 +1,4 @@
-"""Optional streaming forms: discovered links into the frontier, and counts over event time."""
+"""Optional streaming forms: discovered links into the frontier, counts over event time, and keys seen a while ago."""
 
 from __future__ import annotations
 
@@ -27,3 +27,9 @@ def fetch_rates(events: DataFrame, time_col: str = "ts", window: str = "1 hour",
     rows = events.withColumn("__t", F.col(time_col).cast("timestamp"))
     rows = rows.withWatermark("__t", late) if events.isStreaming else rows
     return rows.groupBy(F.window("__t", window).alias("w"), "status").agg(F.count("*").alias("n"), F.sum("size").alias("size")).select(F.col("w.start").alias("window_start"), "status", "n", "size")
+
+
+def first_within(events: DataFrame, key: str, time_col: str, ttl: str) -> DataFrame:
+    """The events of a stream whose key wasn't seen for ``ttl`` of event time: a cache with a time to live as a state that
+    Spark expires by the watermark."""
+    return events.withColumn("__t", F.col(time_col).cast("timestamp")).withWatermark("__t", ttl).dropDuplicatesWithinWatermark([key]).drop("__t")
