@@ -39,6 +39,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return conf or current.get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of our own in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)
