@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webframe.session import cut, table
+from webframe.session import cut, remove, table
 from webframe.llm import chat, decontamination, language_id, pieces, quality, sharding, simhash, substring_dedup, url_filter, warc
 
 
@@ -45,7 +45,9 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = F.col("type") == "response"
     rows = warc.read(spark, folder).withColumn("digest", F.when(full, F.sha1("payload")).otherwise(F.col("digest")))
     rows = rows.withColumn("payload_length", F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length"))).drop("payload", "http_head")
-    return warc.transactions(cut(rows)).select(
+    rows = cut(rows)  # without payloads; the archives have been read and can go
+    remove(spark, folder)
+    return warc.transactions(rows).select(
         F.col("response.capture_key").cast("long").alias("page_id"),
         F.col("response.payload_length").alias("payload_bytes"),
         F.col("response.digest").alias("payload_digest"),
