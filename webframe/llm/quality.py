@@ -27,7 +27,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 REPEAT_WIDTH = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 MIN_DOCS, SHARE, KEEP = 5, 0.0, 0.5
-SENT_ROWS = 500_000
+#: most numbers of eight bytes that are sent to the documents
+SENT_NUMBERS = 4_000_000
 
 
 def _let(value: Column, body) -> Column:
@@ -138,10 +139,10 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     """The rows of ``docs`` that are kept, unchanged. :func:`remove_lines` keeps the same rows without their boilerplate.
 
     Rules of one document need no exchange. The depleted ones are written first; they are sent to the documents if they
-    are few (at most SENT_ROWS of two numbers), and otherwise meet them in a shuffled join.
+    are few (at most SENT_NUMBERS together), and otherwise meet them in a shuffled join.
     """
     gone = cut(_lost(docs, id_col, text_col, host_col, min_docs, share).filter(F.col("l_words") - F.col("lost") < F.lit(keep) * F.col("l_words")).select("l_key", "l_hash"))
-    side = F.broadcast(gone) if gone.count() <= SENT_ROWS else gone
+    side = F.broadcast(gone) if 2 * gone.count() <= SENT_NUMBERS else gone
     return _passes_base(docs, text_col).join(side, _same(docs, gone, id_col, text_col, host_col), "left_anti")
 
 
@@ -155,11 +156,11 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The hashes of the lines that a row loses come back to it, and its lines are split and filtered again. All other
     lines, blank ones too, stay as they are; texts that lose nothing are not touched. Rows and hashes are sent to the
-    documents if together they are SENT_ROWS numbers at most.
+    documents if together they are SENT_NUMBERS at most.
     """
     found = cut(_lost(docs, id_col, text_col, host_col, min_docs, share))
     numbers = found.agg(F.sum(F.size("l_lines") + 4)).first()[0] or 0
-    side = F.broadcast(found) if numbers <= SENT_ROWS else found
+    side = F.broadcast(found) if numbers <= SENT_NUMBERS else found
     depleted = F.coalesce(found["l_words"] - found["lost"] < F.lit(keep) * found["l_words"], F.lit(False))
     rows = _passes_base(docs, text_col).join(side, _same(docs, found, id_col, text_col, host_col), "left").filter(~depleted)
     left = F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda x: ~F.array_contains(found["l_lines"], F.xxhash64(_normal(x)))), "\n")
