@@ -89,7 +89,7 @@ class _Batch:
         self.owner = W.owner(self.offsets)
         self.valid = W.inside(self.offsets, width)
         self.rolled = W.rolling(self.words, self.block)
-        self.place = np.arange(len(self.words)) - self.offsets[:-1][self.owner]
+        self.place = np.arange(len(self.words), dtype=np.int32) - self.offsets[:-1].astype(np.int32)[self.owner]
 
     def probes(self) -> np.ndarray:
         """Which rolling blocks lie in some window of one document."""

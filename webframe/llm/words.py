@@ -21,7 +21,7 @@ def _power_tables(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """``base**i`` and ``base**-i`` modulo 2**64 for i < n, kept for the worker's next batches."""
     key = int(base)
     if key not in _powers or len(_powers[key][0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length()) if n else 1 << 16
+        size = max(1 << 16, n + n // 4)
         pair = []
         for b in (base, np.uint64(pow(key, -1, 1 << 64))):
             t = np.full(size, b, np.uint64)
@@ -68,8 +68,8 @@ def tokenise(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     data, offsets = utf8(column)
     hashes, counts = [], []
     at, n = 0, len(offsets) - 1
-    while at < n:  # in pieces of about 4 MB; a longer value is a piece of its own
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (4 << 20), "right")) - 1)
+    while at < n:  # in pieces of about 1 MB, which tables of powers are for; a longer value is a piece of its own
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 20), "right")) - 1)
         piece, cuts = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         word = ~_SPACE[piece]
         begin, end = word.copy(), word.copy()
@@ -108,7 +108,7 @@ def second_rolling(words: np.ndarray, width: int) -> np.ndarray:
 
 def owner(offsets: np.ndarray) -> np.ndarray:
     """For every word the index of its value."""
-    return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    return np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
 
 
 def inside(offsets: np.ndarray, width: int) -> np.ndarray:
