@@ -173,7 +173,7 @@ def test_every_different_call_and_result_stays(spark):
     # identifiers that are turns: two results of one turn's call
     turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "b"), (1, 1, "assistant", "x"), (1, 1, "assistant", "y"), (1, 1, "assistant", "y")], "conv_id long, turn long, role string, text string")
     rows = chat.link(chat.turns_as_messages(turns)).collect()
-    assert sorted((json.loads(r["json"])["arguments"]["text"], json.loads(r["json"])["result"], r["n_calls"], r["n_results"]) for r in rows) == [("a", "x", 1, 1), ("a", "y", 1, 2), ("b", "x", 1, 1)]
+    assert sorted((json.loads(r["json"])["arguments"]["lines"][0], json.loads(r["json"])["result"], r["n_calls"], r["n_results"]) for r in rows) == [("a", "x", 1, 1), ("a", "y", 1, 2), ("b", "x", 1, 1)]
 
 
 def test_boilerplate_is_found_at_any_host_size(spark):
