@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webframe.session import cut, remove, table
-from webframe.llm import chat, decontamination, divergence, language_id, pieces, quality, resampling, sharding, simhash, substring_dedup, url_filter, warc
+from webframe.llm import chat, decontamination, divergence, language_id, pieces, quality, resampling, sharding, simhash, substring_dedup, superminhash, url_filter, warc
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_model())
 
 
+def op11_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return done.select("doc_id", "n_features", "weight", "score", "rank")
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_quality_rules": op9_quality_rules,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_superminhash": op11_superminhash,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_source_divergence": op13_source_divergence,
 }
