@@ -17,7 +17,7 @@ text, so that neither an id nor a source fills one:
 A key is sent once by a batch however many of its documents have it, so a passage that a third of all rows share costs
 one entry for each batch, and no pair of documents is ever formed. Packed rows are at most as many as the keys in them.
 Probes are 31 bits inside their bucket, and buckets grow in number with the input; a chance hit of the probe only sends
-a window. Windows are equal if 96 bits of two independent hashes over their words are.
+a window. Windows are equal if 96 bits of two hashes are, which come from two hashes of each word's bytes.
 
 Defined results: a null or empty text, or one of fewer than 13 words, loses nothing; a row with a null id neither
 loses words nor is a source of repeats; rows with equal ids are not smaller than one another; repeated rows all stay, and
@@ -85,7 +85,7 @@ class _Batch:
     def __init__(self, ids: pa.ChunkedArray, texts: pa.ChunkedArray, width: int):
         self.width, self.block = width, (width + 1) // 2
         self.ids = np.asarray(ids.cast(pa.int64()).to_numpy()).astype(np.int64)
-        self.words, self.offsets = W.tokenise(texts)
+        self.words, self.others, self.offsets = W.tokenise(texts)
         self.owner = W.owner(self.offsets)
         self.valid = W.inside(self.offsets, width)
         self.rolled = W.rolling(self.words, self.block)
@@ -123,7 +123,7 @@ class _Batch:
         return starts[hit[starts + -self.place[starts] % self.block]]
 
     def windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return W.rolling(self.words, self.width)[starts], W.second_rolling(self.words, self.width)[starts]
+        return W.rolling(self.words, self.width)[starts], W.second_rolling(self.others, self.width)[starts]
 
     def first(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(order, head, repeated) of windows sorted by their words, then id."""
@@ -262,7 +262,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def nameless(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tables:
             texts = pa.chunked_array([batch.column(batch.schema.get_field_index(text))])
-            hashes, offsets = W.tokenise(texts)
+            hashes, _, offsets = W.tokenise(texts)
             yield from pa.table([*batch.columns, *_results(offsets, texts, np.zeros(len(hashes), bool))], names=schema.names).cast(schema).to_batches()
 
     done = done.unionByName(docs.filter(F.col(own).isNull()).mapInArrow(nameless, out))

@@ -9,9 +9,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
 _OTHER = np.uint64(0xA0761D6478BD642F)
+LONG = 256
+#: the first k of 8 bytes
+_HEAD = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -63,12 +67,36 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def tokenise(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word, and n + 1 offsets of each value's first word."""
+def _digests(piece: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each word's bytes: chunks of 8 bytes of all words together are mixed into two states of their own
+    seeds and factors, so that no two words of up to 8 bytes are alike. Words over LONG bytes are hashed one by one."""
+    padded = np.append(piece, np.zeros(8, np.uint8))
+    windows = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
+    one, two = np.full(len(starts), _BASE, np.uint64), np.full(len(starts), _STEP, np.uint64)
+    active, at, rest = np.arange(len(starts)), starts, np.where(lengths > LONG, 0, lengths)
+    while True:
+        some = rest > 0
+        if not some.all():
+            active, at, rest = active[some], at[some], rest[some]
+        if not len(active):
+            break
+        chunk = windows[at].view("<u8")[:, 0] & _HEAD[np.minimum(rest, 8)]
+        one[active] = mix(one[active] ^ chunk)
+        two[active] = mix(two[active] + chunk * _OTHER)
+        at, rest = at + 8, rest - 8
+    size = lengths.astype(np.uint64)
+    one, two = mix(one + size * _STEP), mix(two ^ size * _BASE)
+    for i in np.flatnonzero(lengths > LONG):
+        one[i], two[i] = np.frombuffer(xxhash.xxh3_128_digest(piece[starts[i] : starts[i] + lengths[i]].tobytes()), np.uint64)
+    return one, two
+
+
+def tokenise(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of every word, and n + 1 offsets of each value's first word."""
     data, offsets = utf8(column)
-    hashes, counts = [], []
+    one, two, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], []
     at, n = 0, len(offsets) - 1
-    while at < n:  # in pieces of about 1 MB, which tables of powers are for; a longer value is a piece of its own
+    while at < n:  # in pieces of about 1 MB; a longer value is a piece of its own
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 20), "right")) - 1)
         piece, cuts = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         word = ~_SPACE[piece]
@@ -79,13 +107,14 @@ def tokenise(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
         inner = inner[(inner > 0) & (inner < len(piece))]
         begin[inner] = word[inner]
         end[inner - 1] = word[inner - 1]
-        starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        h = _span_hash(piece.astype(np.uint64) + np.uint64(1), _BASE, starts, ends)
-        hashes.append(mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+        starts = np.flatnonzero(begin)
+        ones, twos = _digests(piece, starts, np.flatnonzero(end) + 1 - starts)
+        one.append(ones)
+        two.append(twos)
         counts.append(np.diff(np.searchsorted(starts, cuts)))
         at = to
     count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(count)])
+    return np.concatenate(one), np.concatenate(two), np.concatenate([[0], np.cumsum(count)])
 
 
 def rolling(words: np.ndarray, width: int) -> np.ndarray:
@@ -97,13 +126,13 @@ def rolling(words: np.ndarray, width: int) -> np.ndarray:
     return mix(_span_hash(words, _STEP, starts, starts + width))
 
 
-def second_rolling(words: np.ndarray, width: int) -> np.ndarray:
-    """32 bits of a second hash of the same windows, from other word values and another base."""
-    n = len(words) - width + 1
+def second_rolling(others: np.ndarray, width: int) -> np.ndarray:
+    """32 bits of a second hash of the same windows, from the words' other hashes and by another base."""
+    n = len(others) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint32)
     starts = np.arange(n)
-    return (mix(_span_hash(mix(words ^ _OTHER), _BASE, starts, starts + width)) >> np.uint64(32)).astype(np.uint32)
+    return (mix(_span_hash(others, _BASE, starts, starts + width)) >> np.uint64(32)).astype(np.uint32)
 
 
 def owner(offsets: np.ndarray) -> np.ndarray:
