@@ -79,17 +79,41 @@ def rotate(records: DataFrame, size_col: str, max_size: int, key: str, *order: C
     return records.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, f"{kinds}, file_seq int")
 
 
-def exchange_records(transactions: DataFrame) -> DataFrame:
-    """(id, record_type, concurrent_to, url, block, payload_offset): a request and a response record for each of
-    ``transactions`` (key, url, request_head, response_head, body); the response names its request."""
-    own = lambda kind: F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.md5(F.concat_ws(":", F.lit(kind), F.col("key").cast("string")).cast("binary")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
-    bytes_of = lambda c: F.coalesce(F.col(c).cast("binary"), F.lit(b""))
-    record = lambda kind, to, block, offset: F.struct(own(kind).alias("id"), F.lit(kind).alias("record_type"), to.alias("concurrent_to"), F.col("url"), block.alias("block"), offset.cast("int").alias("payload_offset"))
-    pair = F.array(
-        record("request", F.lit(None).cast("string"), bytes_of("request_head"), F.lit(None)),
-        record("response", own("request"), F.concat(bytes_of("response_head"), bytes_of("body")), F.octet_length(bytes_of("response_head"))),
-    )
-    return transactions.select("key", F.explode(pair).alias("r")).select("key", "r.*")
+def _own_id(kind: str) -> Column:
+    """A record's id from its kind and the transaction's key."""
+    digits = F.md5(F.concat_ws(":", F.lit(kind), F.col("key").cast("string")).cast("binary"))
+    return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(digits, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
+
+
+def _bytes_of(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
+
+
+def _records(transactions: DataFrame, carried: tuple[str, ...], *each: tuple[str, Column, Column, Column, str]) -> DataFrame:
+    one = lambda kind, to, block, offset, media: F.struct(_own_id(kind).alias("id"), F.lit(kind).alias("record_type"), to.alias("concurrent_to"), F.col("url"), block.alias("block"), offset.cast("int").alias("payload_offset"), F.lit(media).alias("content_type"))
+    return transactions.select("key", *carried, F.explode(F.array(*[one(*x) for x in each])).alias("r")).select("key", *carried, "r.*")
+
+
+def exchange_records(transactions: DataFrame, *carried: str) -> DataFrame:
+    """(key, carried columns, id, record_type, concurrent_to, url, block, payload_offset, content_type): a request and a
+    response record for each of ``transactions`` (key, url, request_head, response_head, body); the response names its
+    request. Keys tell fetches apart, of one URL too."""
+    none = F.lit(None).cast("string")
+    return _records(
+        transactions, carried,
+        ("request", none, _bytes_of("request_head"), F.lit(None), "application/http;msgtype=request"),
+        ("response", _own_id("request"), F.concat(_bytes_of("response_head"), _bytes_of("body")), F.octet_length(_bytes_of("response_head")), "application/http;msgtype=response"),
+    )
+
+
+def ftp_records(transfers: DataFrame, *carried: str) -> DataFrame:
+    """The same columns for ``transfers`` (key, url, conversation, body): the lines of the control connection as metadata, and
+    the file as a resource that names them."""
+    return _records(
+        transfers, carried,
+        ("metadata", F.lit(None).cast("string"), _bytes_of("conversation"), F.lit(None), "text/x-ftp-control-conversation"),
+        ("resource", _own_id("metadata"), _bytes_of("body"), F.lit(None), "application/octet-stream"),
+    )
 
 
 def file_name(prefix: str, seq: Column, compress: bool = True) -> Column:
@@ -103,6 +127,9 @@ def cdx_lines(index: DataFrame) -> DataFrame:
 
 
 def control_conversation(events: DataFrame, key: str, *order: Column) -> DataFrame:
-    """The lines of a control connection: ``* `` for notes, ``> `` for commands, ``< `` for replies."""
+    """The lines of each control connection: ``* `` for notes, ``> `` for commands, ``< `` for replies, which may have several
+    lines. A connection is as long as one fetch."""
     mark = F.when(F.col("kind") == "command", "> ").when(F.col("kind") == "reply", "< ").otherwise("* ")
-    return events.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("o"), F.concat(mark, "text").alias("line")))), lambda x: x["line"]), "\r\n").alias("block"))
+    lines = F.array_join(F.transform(F.split(F.regexp_replace("text", r"\r?\n$", ""), r"\r?\n"), lambda x: F.concat(mark, x)), "\r\n")
+    placed = events.select(key, F.struct(F.struct(*order).alias("o"), lines.alias("line")).alias("x"))
+    return placed.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]), "\r\n").alias("block"))

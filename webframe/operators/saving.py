@@ -57,43 +57,60 @@ def convert_links(rows: DataFrame, config: CrawlConfig, folder: str) -> None:
     writers.write_documents(out, f"{folder}/converted")
 
 
-def save_archives(documents: DataFrame, config: CrawlConfig, folder: str, visits: DataFrame | None = None) -> None:
-    """WARC files of all exchanges, rotated by size; with ``warc_dedup`` responses that ``visits`` know are revisits
-    without a payload, and with ``warc_cdx`` an index of the written responses."""
-    records = A.exchange_records(documents.select(F.xxhash64("url").alias("key"), "url", "request_head", "response_head", "body"))
-    payload = F.expr("substring(block, payload_offset + 1)")
-    records = records.withColumn("payload_digest", F.when(F.col("record_type") == "response", A.digest_base32(payload)))
-    again = F.lit(False)
-    if config.warc_dedup and visits is not None:
-        known = visits.select(F.col("url").alias("__u"), F.col("payload_digest").alias("__d"), F.col("warc_id").alias("refers_to")).dropDuplicates(["__u", "__d"])
-        records = records.join(known, (F.col("url") == F.col("__u")) & (F.col("payload_digest") == F.col("__d")), "left").drop("__u", "__d")
-        again = F.col("refers_to").isNotNull()
-    else:
-        records = records.withColumn("refers_to", F.lit(None).cast("string"))
-    kind = F.when(again, "revisit").otherwise(F.col("record_type"))
+def _warc_date(time: Column) -> Column:
+    return F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def warc_rows(records: DataFrame) -> DataFrame:
+    """``records`` (of :func:`archive.exchange_records` or :func:`archive.ftp_records` with date, and refers_to for revisits) as
+    rows that the WARC source writes. The writer adds the time of its job where there is no date."""
+    again = F.col("refers_to").isNotNull()
     field = lambda name, value: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"))
     fields = F.array(
-        field("WARC-Type", kind), field("WARC-Record-ID", F.col("id")), field("WARC-Target-URI", F.col("url")), field("WARC-Concurrent-To", F.col("concurrent_to")),
-        field("WARC-Refers-To", F.when(again, F.col("refers_to"))), field("WARC-Profile", F.when(again, F.lit(A.PROFILE))), field("WARC-Truncated", F.when(again, F.lit("length"))),
-        field("Content-Type", F.concat(F.lit("application/http;msgtype="), "record_type")),
+        field("WARC-Type", F.when(again, "revisit").otherwise(F.col("record_type"))), field("WARC-Record-ID", F.col("id")), field("WARC-Date", F.col("date")), field("WARC-Target-URI", F.col("url")),
+        field("WARC-Concurrent-To", F.col("concurrent_to")), field("WARC-Refers-To", F.col("refers_to")), field("WARC-Profile", F.when(again, F.lit(A.PROFILE))),
+        field("WARC-Truncated", F.when(again, F.lit("length"))), field("Content-Type", F.col("content_type")),
     )
     block = F.when(again, F.expr("substring(block, 1, payload_offset)")).otherwise(F.col("block"))
-    rows = records.select(F.filter(fields, lambda x: x["value"].isNotNull()).alias("fields"), block.alias("block"), "payload_offset")
-    warc.write_warc(rows, f"{folder}/archives", max_size=config.warc_max_size or 0)
+    return records.select(F.filter(fields, lambda x: x["value"].isNotNull()).alias("fields"), block.alias("block"), "payload_offset")
+
+
+def save_archives(documents: DataFrame, config: CrawlConfig, folder: str, visits: DataFrame | None = None, transfers: DataFrame | None = None) -> None:
+    """WARC files of all exchanges, rotated by size; with ``warc_dedup`` responses that ``visits`` know are revisits
+    without a payload, and with ``warc_cdx`` an index of the written responses. Each fetch has ids of its own.
+    ``transfers`` (url, fetched_at, conversation, body) are fetches over FTP."""
+    dated = lambda rows, *columns: rows.select(F.expr("uuid()").alias("key"), "url", _warc_date(F.col("fetched_at")).alias("date"), *columns)
+    records = A.exchange_records(dated(documents, "request_head", "response_head", "body"), "date")
+    unknown = F.lit(None).cast("string")
+    if config.warc_dedup and visits is not None:
+        payload = F.expr("substring(block, payload_offset + 1)")
+        records = records.withColumn("payload_digest", F.when(F.col("record_type") == "response", A.digest_base32(payload)))
+        known = visits.select(F.col("url").alias("__u"), F.col("payload_digest").alias("__d"), F.col("warc_id").alias("refers_to")).dropDuplicates(["__u", "__d"])
+        records = records.join(known, (F.col("url") == F.col("__u")) & (F.col("payload_digest") == F.col("__d")), "left").drop("__u", "__d", "payload_digest")
+    else:
+        records = records.withColumn("refers_to", unknown)
+    if transfers is not None:
+        records = records.unionByName(A.ftp_records(dated(transfers, "conversation", "body"), "date").withColumn("refers_to", unknown))
+    warc.write_warc(warc_rows(records), f"{folder}/archives", max_size=config.warc_max_size or 0)
     if config.warc_cdx:
-        index_archives(rows.sparkSession, f"{folder}/archives", f"{folder}/cdx")
+        index_archives(records.sparkSession, f"{folder}/archives", f"{folder}/cdx")
 
 
-def index_archives(spark, archives: str, folder: str) -> None:
-    """The CDX of archives that are there: offsets are those of a record's own gzip member."""
-    read = warc.read_warc(spark, archives)
-    get = lambda n: F.get(F.filter("fields", lambda f: f["name"] == n), F.lit(0))["value"]
+def archive_index(spark, archives: str) -> DataFrame:
+    """The columns of a CDX for the responses of archives that are there: offset and size are those of a record's own gzip
+    member, and the time is the record's in seconds."""
+    read = warc.read_warc(spark, archives).filter(F.col("type") == "response")
+    digest = F.get(F.filter("fields", lambda f: f["name"] == "WARC-Payload-Digest"), F.lit(0))["value"]
     text = F.col("block").cast("string")
-    rows = read.select(
-        get("WARC-Target-URI").alias("url"), F.lit("-").alias("ts"), X.mimetype(F.regexp_extract(text, r"(?im)^content-type:\s*([^\r\n]*)", 1)).alias("mime"), X.response_line(text)["code"].alias("code"),
-        F.regexp_replace(get("WARC-Payload-Digest"), "^sha1:", "").alias("digest"), F.octet_length("block").alias("size"), "offset", F.regexp_extract("file", "([^/]*)$", 1).alias("file"), get("WARC-Record-ID").alias("record_id"), get("WARC-Type").alias("kind"),
+    return read.select(
+        "url", F.unix_timestamp("date", "yyyy-MM-dd'T'HH:mm:ssX").alias("ts"), X.mimetype(F.regexp_extract(text, r"(?im)^content-type:\s*([^\r\n]*)", 1)).alias("mime"), X.response_line(text)["code"].alias("code"),
+        F.regexp_replace(digest, "^sha1:", "").alias("digest"), F.col("length").alias("size"), "offset", F.regexp_extract("file", "([^/]*)$", 1).alias("file"), F.col("id").alias("record_id"),
     )
-    cdx.write_cdx(rows.filter(F.col("kind") == "response").drop("kind"), folder)
+
+
+def index_archives(spark, archives: str, folder: str) -> None:
+    """Writes the CDX of archives."""
+    cdx.write_cdx(archive_index(spark, archives), folder)
 
 
 def series(config: CrawlConfig, visits: DataFrame | None = None) -> list[tuple[str, Callable]]:
