@@ -76,3 +76,18 @@ def test_what_looks_like_a_link(spark):
     texts = [*LIKELY, *UNLIKELY, "blah", "1.23", "site.com", "a.html", "//h/x", "http://a//b", "./x", "img.html", "a?b=c.js", "x.js?y=1.2"]
     rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", L.is_likely_link(F.col("x")).alias("l"), L.is_unlikely_link(F.col("x")).alias("u")).collect()
     assert {r["x"]: (r["l"], r["u"]) for r in rows} == {x: (L.likely_link(x), L.unlikely_link(x)) for x in texts}
+
+
+def test_any_text_is_a_page():
+    """Cut and scrambled pages, marked sections and broken markup among them, never stop reading."""
+    import random
+
+    rng = random.Random(12)
+    page = '<!DOCTYPE html><![if !IE]><![CDATA[x]]><html><base href="/b/"><a href="one">1</a><![foo[ <a href="two"> ]]><!-- c --><?php x ?><style>a{background:url(i.png)}</style><script>f("/s.js")</script><p <a href=\'three\' ><meta http-equiv=refresh content="0;url=r"></p></>&#x;&amp<![ x'
+    for k in range(1000):
+        a, b = sorted(rng.randrange(len(page) + 1) for _ in range(2))
+        text = page[:a] if k % 3 == 0 else page[a:b] if k % 3 == 1 else "".join(rng.choice((page[i : i + 4], "<![", "]]>", "<!", "<", ">")) for i in range(a, b, 4))
+        E.document_links(text, "http://h/")
+    links = [x[3] for x in E.document_links(page, "http://h/")]
+    assert {"http://h/b/one", "http://h/b/three", "http://h/b/i.png"} <= set(links)
+    assert [x[3] for x in E.document_links("<![foo[<a href=a></a><![ x><a href=b>", "http://h/")] == ["http://h/b"]

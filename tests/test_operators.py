@@ -136,3 +136,32 @@ def test_converted_documents(spark):
         "http://e.com/d/i.html": '<a href="../../e.com/x.html">x</a><img src=\'../p.png\'><a href="#f">f</a><p title="href=x">'.replace("../../e.com/", "../"),
         "http://e.com/s.css": "a{background:url(p.png)} @import 'http://e.com/q.css';",
     }
+
+
+def test_scans_in_chunks_equal_whole_scans(spark):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from webframe.operators import scrapers as S
+
+    rng = random.Random(7)
+    texts = ["", None, "abcdefgh ijk", "a" * 40, " ", "ab " * 30, "x" * 7 + " " + "y" * 8 + " z", "éé漢漢 ab" * 5] + ["".join(rng.choice("ab -é") for _ in range(rng.randrange(80))) for _ in range(60)]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    for pattern in ("[a-z]+", "[a-z]+ ?[a-z]?", "a-?b|b a", "[^ ]+"):
+        for chunk in (1, 3, 4, 7, 100):
+            found = {r["k"]: r["m"] for r in frame.select("k", S.scanned(F.col("t"), pattern, chunk, 90).alias("m")).collect()}
+            assert found == {k: re.findall(pattern, t or "") for k, t in enumerate(texts)}, (pattern, chunk)
+    assert frame.select(S.scanned(F.col("t"), "[a-z]+", 4, 8)).collect()[2][0] == ["abcdefgh", "ijk"]
+
+
+def test_partial_responses_are_all_appended_in_order(spark):
+    held = spark.createDataFrame([("a", b"0-"), ("b", None), ("c", b"c")], "path string, body binary")
+    parts = spark.createDataFrame([("a", 206, 2, b"bb"), ("a", 206, 1, b"aa"), ("a", 206, 10, b"cc"), ("a", 500, 0, b"no"), ("b", 206, 1, b"x"), ("b", 206, 2, None), ("d", 206, 1, b"lost")], "path string, code int, seq int, body binary")
+    from pyspark.sql import functions as F
+
+    from webframe.operators import writers
+
+    found = {r["path"]: bytes(r["body"]) for r in writers.appended(held, parts, F.col("seq")).collect()}
+    assert found == {"a": b"0-aabbcc", "b": b"x", "c": b"c"}

@@ -57,3 +57,17 @@ def test_series_of_steps(spark, tmp_path):
     assert saving.finish(docs, CrawlConfig(delete_after=True, convert_links=True), str(tmp_path / "b")) == ["archives", "files"]
     assert not os.path.exists(tmp_path / "b" / "files")
     assert saving.finish(docs, config, str(tmp_path / "c"), stop_before="files") == ["archives"]
+
+
+def test_one_document_of_all_bodies_with_heads(spark, tmp_path):
+    docs = documents(spark).repartition(3)
+    rows = [(r["url"], bytes(r["body"]), r["response_head"]) for r in docs.collect()]
+    config = CrawlConfig(output_document=True, save_headers=True, convert_links=True)
+    assert saving.finish(docs, config, str(tmp_path)) == ["archives", "files"]
+    names = sorted(n for n in os.listdir(tmp_path / "document"))
+    assert all(n.startswith("part-") for n in names)
+    whole = b"".join((tmp_path / "document" / n).read_bytes() for n in names)
+    assert whole == b"".join(head.encode() + body for _, body, head in sorted(rows))
+    saving.finish(docs, CrawlConfig(save_headers=True), str(tmp_path / "b"))
+    kept = {bytes(r["body"]) for r in spark.read.parquet(str(tmp_path / "b" / "files")).collect()}
+    assert kept == {head.encode() + body for _, body, head in rows}

@@ -60,6 +60,8 @@ class CrawlConfig:
     restrict_file_names: tuple[str, ...] = field(default=("unix", "ascii"))
     max_filename_length: int | None = None
     delete_after: bool = False
+    save_headers: bool = False
+    output_document: bool = False  # all bodies as one document instead of files
     # archives
     warc_max_size: int | None = None
     warc_dedup: bool = False

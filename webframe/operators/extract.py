@@ -87,6 +87,10 @@ class _Walker(HTMLParser):
         self.base: str | None = None
         self.nofollow = False
 
+    def parse_marked_section(self, i, report=1):
+        """``<![`` is no markup of HTML: a comment up to the next ``>``, after which reading goes on."""
+        return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag, attrs):
         attrib: dict[str, str] = {}
         for k, v in attrs:
@@ -274,7 +278,7 @@ def document_links(html: str, url: str, refresh: str | None = None, css: bool =
 
 
 def html_links(pages: DataFrame, key: str = "page_id", url_col: str = "url", html_col: str = "html", refresh_col: str | None = None, **options) -> DataFrame:
-    """One row for each link of each page: the key and FIELDS. A page that can't be tokenized has no links."""
+    """One row for each link of each page: the key and FIELDS. Any text is a page: what is no markup is passed over."""
     kind = dict(pages.dtypes)[key]
     names = [key, *(c.split(" ")[0] for c in FIELDS.split(", "))]
     types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.string()]

@@ -36,12 +36,17 @@ def named(documents: DataFrame, config: CrawlConfig) -> DataFrame:
 
 
 def save_files(documents: DataFrame, config: CrawlConfig, folder: str) -> DataFrame:
-    """The documents as files by path, of equal paths with numbers; nothing is kept where files are deleted after."""
+    """The documents as files by path, of equal paths with numbers, or as one document by time and URL, their response
+    heads in front if these are wanted; nothing is kept where files are deleted after."""
     rows = writers.anti_clobbered(writers.stamped(named(documents, config)), F.col("url"))
+    body = writers.with_headers(F.col("response_head"), F.col("body")) if config.save_headers else F.col("body")
+    saved = rows.withColumn("body", body)
     if config.delete_after:
-        writers.discard(rows)
+        writers.discard(saved)
+    elif config.output_document:
+        writers.single_document(saved, f"{folder}/document", "body", F.col("fetched_at"), F.col("url"))
     else:
-        writers.write_documents(rows, f"{folder}/files")
+        writers.write_documents(saved, f"{folder}/files")
     return rows
 
 
@@ -116,7 +121,7 @@ def index_archives(spark, archives: str, folder: str) -> None:
 def series(config: CrawlConfig, visits: DataFrame | None = None) -> list[tuple[str, Callable]]:
     """(name, step) in order; a step takes the documents, or what ``files`` made of them, and the folder."""
     steps = [("archives", lambda docs, rows, folder: save_archives(docs, config, folder, visits)), ("files", lambda docs, rows, folder: save_files(docs, config, folder))]
-    if config.convert_links and not config.delete_after:
+    if config.convert_links and not config.delete_after and not config.output_document:
         steps.append(("conversion", lambda docs, rows, folder: convert_links(rows, config, folder)))
     return steps
 

@@ -95,18 +95,31 @@ def segments(text: Column, pattern: str) -> Column:
 
 
 def scanned(text: Column, pattern: str, chunk: int = 16_384, overlap: int = 4_096) -> Column:
-    """array of the matches of ``pattern`` found in chunks that overlap, for values so long that patterns shouldn't go
-    over them at once. A match that begins in a chunk's own part counts there; matches up to ``overlap`` are whole."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(chunk))
-
-    def one(start: Column) -> Column:
-        piece = F.substr(text, start + 1, F.lit(chunk + overlap))
-        parts = segments(piece, pattern)
+    """array of the matches of ``pattern`` found in chunks, for values so long that patterns shouldn't go over them at once.
+
+    A fold over chunks whose state is the place to go on from: a match that begins in a chunk is its own and may reach into
+    the next ``overlap`` characters; the next chunk begins where that one ends, or where the last match did. Matches up to
+    ``overlap`` are those of the whole text; a pattern sees nothing before its chunk. Empty matches aren't told.
+    """
+    n = F.coalesce(F.length(text), F.lit(0))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<string>>").alias("out"))
+
+    def one(state: Column, _: Column) -> Column:
+        parts = segments(F.substr(text, state["at"] + 1, F.lit(chunk + overlap)), pattern)
+        zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("own"), F.lit(0).alias("end"))
+        # of the parts that begin in the chunk: how many, and where the last match among them ends
         placed = F.aggregate(
             parts,
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-            lambda a, x: F.struct((a["at"] + F.length(x["text"])).alias("at"), F.when(x["is_link"] & (a["at"] < chunk), F.concat(a["out"], F.array(x["text"]))).otherwise(a["out"]).alias("out")),
+            zero,
+            lambda a, x: F.struct(
+                (a["at"] + F.length(x["text"])).alias("at"),
+                (a["own"] + F.when(a["at"] < chunk, 1).otherwise(0)).alias("own"),
+                F.when((a["at"] < chunk) & x["is_link"], a["at"] + F.length(x["text"])).otherwise(a["end"]).alias("end"),
+            ),
+            lambda a: F.struct(a["own"].alias("own"), F.greatest(a["end"], F.lit(chunk)).alias("step")),
         )
-        return placed["out"]
+        own = F.transform(F.filter(F.slice(parts, F.lit(1), placed["own"]), lambda x: x["is_link"]), lambda x: x["text"])
+        more = F.struct((state["at"] + placed["step"]).alias("at"), F.concat(state["out"], F.array(own)).alias("out"))
+        return F.when(state["at"] >= n, state).otherwise(more)
 
-    return F.flatten(F.transform(starts, one))
+    return F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor(n / chunk).cast("int")), begin, one)["out"])

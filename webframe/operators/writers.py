@@ -9,6 +9,7 @@ from webframe.config import CrawlConfig
 from webframe.functions import naming as N
 from webframe.functions import text as X
 from webframe.operators.frontier import anti_clobber
+from webframe.session import cut
 
 
 def with_paths(documents: DataFrame, config: CrawlConfig, url_col: str = "url", type_col: str | None = None, body_col: str | None = None) -> DataFrame:
@@ -44,9 +45,33 @@ def anti_clobber_dirs(paths: DataFrame, files: DataFrame, suffix: str = ".d") ->
     return paths.join(hit, "dir_path", "left").withColumn("safe_dir", F.when(F.col("__i").isNull(), F.col("dir_path")).otherwise(fixed)).drop("__i")
 
 
-def single_document(documents: DataFrame, path: str, body_col: str, *order: Column) -> None:
-    """All bodies as one sorted set of text files."""
-    documents.orderBy(*order).select(F.col(body_col).cast("string")).write.mode("overwrite").text(path)
+def single_document(documents: DataFrame, folder: str, body_col: str, *order: Column) -> DataFrame:
+    """All bodies, byte by byte and nothing between them, as one document in parts: (name, size) of the files below
+    ``folder``, which give the document when put together by name. Rows are sorted in ranges and each task writes its own
+    part, first under a name of the attempt; a part that is made again is the same."""
+    import uuid
+
+    import pyarrow as pa
+
+    from webframe.sources.warc import _store
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        store, path = _store(folder)
+        part, size = f"part-{TaskContext.get().partitionId():05d}", 0
+        store.create_dir(path, recursive=True)
+        held = f"{path}/_{part}-{uuid.uuid4().hex}"
+        with store.open_output_stream(held, compression=None) as out:
+            for batch in batches:
+                for body in batch.column(0):
+                    size += out.write(body.as_py() or b"")
+        store.move(held, f"{path}/{part}")
+        yield pa.RecordBatch.from_pylist([{"name": part, "size": size}], pa.schema([("name", pa.string()), ("size", pa.int64())]))
+
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = documents.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return cut(placed.select(F.col(body_col).cast("binary").alias("body")).mapInArrow(run, "name string, size long"))
 
 
 def continues(code: Column) -> Column:
@@ -55,7 +80,9 @@ def continues(code: Column) -> Column:
 
 
 def with_headers(head: Column, body: Column) -> Column:
-    return F.concat(head, F.lit("\r\n"), body)
+    """The bytes of a head, an empty line if it doesn't end with one, and the body."""
+    head = F.coalesce(head.cast("binary"), F.lit(b""))
+    return F.concat(head, F.when(F.endswith(head, F.lit(b"\r\n\r\n")), F.lit(b"")).otherwise(F.lit(b"\r\n")), body.cast("binary"))
 
 
 def discard(documents: DataFrame) -> None:
@@ -79,8 +106,10 @@ def read_document(spark, folder: str, path: str) -> DataFrame:
     return spark.read.parquet(folder).filter(F.col("path") == path)
 
 
-def appended(held: DataFrame, parts: DataFrame) -> DataFrame:
-    """``held`` (path, body) with the bodies of partial responses (path, code, body) behind; other responses are errors
-    and change nothing."""
-    more = parts.filter(continues(F.col("code"))).groupBy("path").agg(F.min("body").alias("__more"))
-    return held.join(more, "path", "left").withColumn("body", F.concat("body", F.coalesce("__more", F.lit(b"")))).drop("__more")
+def appended(held: DataFrame, parts: DataFrame, *order: Column) -> DataFrame:
+    """``held`` (path, body) with the bodies of partial responses (path, code, body) behind, all of a path by ``order`` and of
+    equal order by their bytes; other responses are errors and change nothing. The parts of a path are one file."""
+    row = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.coalesce("body", F.lit(b"")).alias("body"))
+    more = parts.filter(continues(F.col("code"))).groupBy("path").agg(F.sort_array(F.collect_list(row)).alias("__more"))
+    joined = F.aggregate("__more", F.coalesce("body", F.lit(b"")), lambda a, x: F.concat(a, x["body"]))
+    return held.join(more, "path", "left").withColumn("body", F.when(F.col("__more").isNull(), F.col("body")).otherwise(joined)).drop("__more")

@@ -6,14 +6,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from webframe.config import CrawlConfig
 from webframe.operators import archive as A
 from webframe.operators import convert as C
 from webframe.operators import frontier as fr
+from webframe.operators import saving
 from webframe.plans.catalog import query
 from webframe.plans.inputs import CANONICAL_SQL, FRONTIER_SQL, LINKS_SQL, anchor_links, frontier, pages
 from webframe.functions import urls as U
-from webframe.session import checkpoint_dir, table
-from webframe.sources import cdx
+from webframe.session import checkpoint_dir, cut, remove, table
+from webframe.sources import cdx, warc
 
 _BODY = "encode(coalesce(text, ''))"
 _INDEX_SQL = f"""
@@ -77,6 +79,28 @@ def cdx_roundtrip(spark, d):
     return cdx.visits_from_cdx(cdx.read_cdx(spark, folder))
 
 
+@query(f"SELECT {CANONICAL_SQL} AS url, 1704067200 + page_id AS ts, 'text/html' AS mime, CASE WHEN page_id % 3 = 0 THEN '404' ELSE '200' END AS code, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS size, sha1(encode(coalesce(html, ''))) AS digest, true AS same, true AS within FROM pages")
+def archives_saved(spark, d):
+    """Pages are written as archives that rotate and are indexed; each response of the index is read again from its place."""
+    code = F.when(F.col("page_id") % 3 == 0, "404 Not Found").otherwise("200 OK")
+    head = F.concat(F.lit("HTTP/1.1 "), code, F.lit("\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"))
+    url = U.canonical(F.col("url"))
+    docs = pages(spark, d).select(url.alias("url"), F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")).alias("fetched_at"), F.concat(F.lit("GET "), url, F.lit(" HTTP/1.1\r\n\r\n")).alias("request_head"), head.alias("response_head"), F.col("html").alias("body"))
+    folder = f"{checkpoint_dir(spark)}/archives-{uuid.uuid4().hex}"
+    saving.save_archives(docs, CrawlConfig(warc_cdx=True, warc_max_size=1 << 20), folder)
+    index = cdx.read_cdx(spark, f"{folder}/cdx").toDF("x_a", "x_b", "x_m", "x_s", "x_k", "x_size", "x_V", "x_g", "x_u")
+    back = warc.fetch(index.select(F.col("x_g").alias("file"), F.col("x_V").alias("offset")), f"{folder}/archives")
+    payload = F.expr("substring(block, instr(cast(block AS STRING), '\r\n\r\n') + 4)")
+    rows = back.join(index, F.col("id") == F.col("x_u")).select(
+        "url", F.col("x_b").cast("long").alias("ts"), F.col("x_m").alias("mime"), F.col("x_s").alias("code"), F.octet_length(payload).cast("long").alias("size"), F.sha1(payload).alias("digest"),
+        ((F.col("url") == F.col("x_a")) & (F.unix_timestamp("date", "yyyy-MM-dd'T'HH:mm:ssX") == F.col("x_b").cast("long")) & (A.digest_base32(payload) == F.col("x_k"))).alias("same"),
+        (F.col("length") == F.col("x_size").cast("long")).alias("within"),
+    )
+    rows = cut(rows)  # the archives have been read and can go
+    remove(spark, folder)
+    return rows
+
+
 @query()
 def warc_rotation(spark, d):
     """Files rotate at 8 KiB, which writers reach at every size; the running sum starts anew in each file, so there is no SQL."""

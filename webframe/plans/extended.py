@@ -211,6 +211,25 @@ def chunked_scan(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(S.scanned(F.col("text"), "[A-Z][a-z]+", 1_000, 200), " ").alias("words"))
 
 
+@query("SELECT doc_id, array_to_string(regexp_extract_all(text, '[a-zA-Z]+(?: [a-z]+)?'), '|') AS words FROM documents")
+def chunked_scan_anywhere(spark, d):
+    """The same for a pattern that could begin again inside of each match, in chunks of 300 characters."""
+    return table(spark, d, "documents").select("doc_id", F.array_join(S.scanned(F.col("text"), "[a-zA-Z]+(?: [a-z]+)?", 300, 200), "|").alias("words"))
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents")
+def partial_append(spark, d):
+    """Texts that come in four partial responses behind what is there, with errors between them, are whole again."""
+    body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    step = F.floor(F.octet_length(body) / 5).cast("int") + 1
+    rows = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), body.alias("all"), step.alias("step"))
+    held = rows.select("doc_id", "path", F.substring("all", F.lit(1), F.col("step")).alias("body"))
+    part = F.explode(F.transform(F.array(*[F.lit(k) for k in (4, 2, 1, 3)]), lambda k: F.struct(k.alias("seq"), F.substring(F.col("all"), k * F.col("step") + 1, F.col("step")).alias("body"))))
+    parts = rows.select("path", part.alias("x")).select("path", "x.seq", F.lit(206).alias("code"), "x.body")
+    errors = rows.select("path", F.lit(2).alias("seq"), F.lit(416).alias("code"), F.lit(b"Range Not Satisfiable").alias("body"))
+    return W.appended(held, parts.unionByName(errors), F.col("seq")).select("doc_id", F.sha2("body", 256).alias("digest"))
+
+
 @query("SELECT page_id, url, '{\"n\":' || page_id || ',\"url\":' || CAST(to_json(url) AS VARCHAR) || '}' AS meta FROM pages")
 def containers_and_metadata(spark, d):
     rows = pages(spark, d).select("page_id", F.struct(F.array(F.encode("url", "utf-8")).alias("list"), F.create_map(F.lit("k"), F.encode("url", "utf-8")).alias("map")).alias("held"), "url")

@@ -16,7 +16,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages with four more anchors in front: relative, in other quotes or none, and with userinfo, an IPv6 address,
-    dot segments and characters to escape."""
+    dot segments and characters to escape; behind marked sections, which are no markup of HTML."""
     n = F.col("page_id").cast("string")
     more = F.concat(
         F.lit("<a href='rel"), n, F.lit(".html'>1</a><A class=x HREF=?q="), n, F.lit(' >2</A><a title="a>b" href="../up/./'), n, F.lit('/x y">3</a><a\nhref = "//User:pw@[::1]:8080/A/../é?x=%c3#f">4</a>')
