@@ -41,3 +41,16 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())
+
+
+def joined(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """``found`` (node, component) with ``edges`` (u, v) besides, cut. Rounds run over the components that edges connect, not
+    over all nodes."""
+    edges = cut(edges)
+    side = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    met = edges.join(side("u"), "u", "left").join(side("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    over = cut(components(met))
+    fresh = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(found.select("node"), "node", "left_anti")
+    every = found.unionByName(fresh.select("node", F.col("node").alias("component")))
+    now = every.join(over.select(F.col("node").alias("component"), F.col("component").alias("over")), "component", "left")
+    return cut(now.select("node", F.coalesce("over", "component").alias("component")))

@@ -13,9 +13,10 @@ Each set also has a parity bitmap of about as many bits as members: a bit is set
 Two bitmaps differ in at most as many bits as the sets differ in members, which is a ninth of both sizes at similarity
 4/5, so most candidates are dropped by their bitmaps without a look at their sets, and none that is similar enough.
 
-A list's members are first compared with the list's smallest set and with their neighbours in the order of size, in
-partitions sorted by range, as a list may be of any length. Only pairs that are not in one component after that are
-compared too, so that a large group of near copies costs no square of its size; lists that still hold several components
+A list's members are first met with the list's smallest set and with their neighbours in the order of size, in partitions
+sorted by range, as a list may be of any length. Of these each set is verified with the one whose bitmap is nearest, and
+then, twice, with the nearest of another component in its lists. Only pairs that are not in one component after that are
+all compared, so that a large group of near copies costs no square of its size; lists that still hold several components
 pass on the pairs that their bitmaps allow, and long ones are dealt by pairs of chunks, so that no list is gathered whole.
 
 Defined results: words are parted by ASCII blanks and A-Z are lowered, as in :mod:`simhash`; fewer than WIDTH words are
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from webframe.llm.components import components
+from webframe.llm.components import components, joined
 from webframe.session import cut
 
 WIDTH = 5
@@ -121,12 +122,6 @@ def folded(bitmaps: np.ndarray, size: int) -> np.ndarray:
 _BIT_COUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def _near(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Whether sets with these bitmaps and sizes can be similar enough: by their sizes, and by the bits that differ."""
-    sizes = UNDER * np.minimum(n, m) >= OVER * np.maximum(n, m)
-    return sizes & ((UNDER + OVER) * _BIT_COUNT[a ^ b].sum(axis=-1, dtype=np.int64) <= (UNDER - OVER) * (n + m))
-
-
 def _pair_batch(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
     a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (us, vs))
     return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
@@ -190,61 +185,123 @@ def _first_candidates(lists: DataFrame) -> DataFrame:
     return lists.mapInArrow(beside, "u long, v long").distinct()
 
 
+def _differing(rows: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return _BIT_COUNT[rows ^ row].sum(axis=-1, dtype=np.int64)
+
+
+def _pairs(key, n, part, chunk, lead, bits, alone: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place, places, differing bits) for the pairs of members of a list that are not of one ``part`` and that sizes, leads and
+    bitmaps allow, each pair once; all pairs of a chunk if ``alone``, else those between two chunks."""
+    size = np.array([len(x) for x in bits])
+    for c in np.unique(size):
+        near = np.flatnonzero((size == c) | (size == 2 * c))  # sizes of a pair differ by a quarter at most
+        rows = np.concatenate([folded(np.frombuffer(bits[k], np.uint8), c)[None] for k in near])
+        for i in np.flatnonzero(size[near] == c):
+            j = np.flatnonzero((part[near] != part[near[i]]) & ((size[near] > c) | (np.arange(len(near)) > i)))
+            j = j if alone else j[chunk[near[j]] != chunk[near[i]]]
+            m, own = n[near[j]], n[near[i]]
+            j = j[(((m <= own) & lead[near[j]]) | ((m >= own) & lead[near[i]])) & (UNDER * np.minimum(m, own) >= OVER * np.maximum(m, own))]
+            if len(j):
+                bits_off = _differing(rows[j], rows[i])
+                ok = (UNDER + OVER) * bits_off <= (UNDER - OVER) * (n[near[j]] + own)
+                if ok.any():
+                    yield near[i], near[j[ok]], bits_off[ok]
+
+
+def _members(batch: pa.RecordBatch, at: int) -> Iterator[tuple]:
+    """The columns of each list's members: a list at a time, as a batch holds many."""
+    for i in range(batch.num_rows):
+        m = batch.column(at)[i].values
+        key, n, part, chunk, lead = (np.asarray(m.field(x)).astype(np.int64) for x in ("key", "n", "part", "chunk", "lead"))
+        yield key, n, part, chunk, lead > 0, m.field("bits").to_pylist()
+
+
+def _mixed(lists: DataFrame, bitmaps: DataFrame, salt: int) -> DataFrame:
+    """The members of lists of several parts, with their bitmaps and one of the list's ``chunks``."""
+    mixed = lists.groupBy("s").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("m")).filter(F.col("lo") != F.col("hi"))
+    held = lists.join(mixed, "s").join(bitmaps.select("key", "bits"), "key").withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
+    return held.withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(salt)), F.col("chunks")).cast("int"))
+
+
+def _nearest_others(lists: DataFrame, bitmaps: DataFrame, salt: int) -> DataFrame:
+    """(u, v), u > v: for each member of lists of several parts the one of another part whose bitmap is nearest, of those
+    that are in a chunk with it. Linear in the members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, n, part, chunk, lead, bits in _members(batch, 0):
+                best = np.full(len(key), np.iinfo(np.int64).max)
+                to = np.full(len(key), -1)
+                for i, js, off in _pairs(key, n, part, chunk, lead, bits, True):
+                    far = (off << 20) // (n[js] + n[i])
+                    k = int(np.argmin(far))
+                    if far[k] < best[i]:
+                        best[i], to[i] = far[k], js[k]
+                    nearer = far < best[js]
+                    best[js[nearer]], to[js[nearer]] = far[nearer], i
+                have = to >= 0
+                yield pa.RecordBatch.from_arrays([pa.array(key[have]), pa.array(key[to[have]]), pa.array(best[have])], names=["own", "other", "far"])
+
+    met = _mixed(lists, bitmaps, salt).groupBy("s", "chunk").agg(_gathered()).filter(F.size("m") > 1).select("m")
+    found = met.mapInArrow(run, "own long, other long, far long").groupBy("own").agg(F.min_by("other", F.struct("far", "other")).alias("other"))
+    return found.select(F.greatest("own", "other").alias("u"), F.least("own", "other").alias("v")).distinct()
+
+
+def _gathered():
+    return F.collect_list(F.struct("key", "n", "part", "chunk", "lead", "bits")).alias("m")
+
+
 def _other_candidates(lists: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """Distinct (u, v), u > v, of members of one list that are not of one ``part`` and that their bitmaps allow. Lists of
     one part have none."""
 
-    def pairs(key, n, part, chunk, lead, bits, alone) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        size = np.array([len(x) for x in bits])
-        for c in np.unique(size):
-            near = np.flatnonzero((size == c) | (size == 2 * c))  # sizes of a pair differ by a quarter at most
-            rows = np.concatenate([folded(np.frombuffer(bits[k], np.uint8), c)[None] for k in near])
-            for i in np.flatnonzero(size[near] == c):
-                j = np.flatnonzero((part[near] != part[near[i]]) & ((size[near] > c) | (np.arange(len(near)) > i)))
-                j = j if alone else j[chunk[near[j]] != chunk[near[i]]]
-                m, own = n[near[j]], n[near[i]]
-                j = j[((m <= own) & lead[near[j]]) | ((m >= own) & lead[near[i]])]
-                j = j[_near(rows[j], rows[i], n[near[j]], n[near[i]])] if len(j) else j
-                if len(j):
-                    yield np.full(len(j), key[near[i]]), key[near[j]]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets = np.asarray(batch.column(1).offsets)
-            flat = batch.column(1).flatten()
-            offsets = offsets - offsets[0]
-            key, n, part, chunk = (np.asarray(flat.field(x)).astype(np.int64) for x in ("key", "n", "part", "chunk"))
-            lead = np.asarray(flat.field("lead")).astype(np.int64) > 0
-            bits = flat.field("bits").to_pylist()
-            us, vs = [], []
-            for a, b, alone in zip(offsets[:-1], offsets[1:], batch.column(0).to_pylist(), strict=True):
-                for u, v in pairs(key[a:b], n[a:b], part[a:b], chunk[a:b], lead[a:b], bits[a:b], alone):
-                    us.append(u)
-                    vs.append(v)
-            yield _pair_batch(us, vs)
+            for alone, (key, *rest) in zip(batch.column(0).to_pylist(), _members(batch, 1), strict=True):
+                found = [(np.full(len(js), key[i]), key[js]) for i, js, _ in _pairs(key, *rest, alone)]
+                if found:
+                    yield _pair_batch(*map(list, zip(*found, strict=True)))
 
-    mixed = lists.groupBy("s").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("m")).filter(F.col("lo") != F.col("hi"))
-    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-    held = lists.join(mixed, "s").join(bitmaps.select("key", "bits"), "key").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    held = _mixed(lists, bitmaps, 0)
     dealt = held.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    met = dealt.groupBy("s", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b")).agg(F.collect_list(F.struct("key", "n", "part", "chunk", "lead", "bits")).alias("m"))
+    met = dealt.groupBy("s", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b")).agg(_gathered())
     return met.filter(F.size("m") > 1).select((F.col("a") == F.col("b")).alias("alone"), "m").mapInArrow(run, "u long, v long").distinct()
 
 
 def _allowed(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """The pairs that their bitmaps allow."""
+    """(u, v, far) of the pairs that their bitmaps allow: how far the bitmaps are from one another, by the sets' sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (np.asarray(batch.column(k)).astype(np.int64) for k in (2, 4))
-            keep = np.zeros(batch.num_rows, bool)
+            off = np.zeros(batch.num_rows, np.int64)
             for k, (a, b) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
                 size = min(len(a), len(b))
-                keep[k] = _near(folded(np.frombuffer(a, np.uint8), size), folded(np.frombuffer(b, np.uint8), size), n[k], m[k])
-            yield batch.select(["u", "v"]).filter(pa.array(keep))
+                off[k] = _differing(folded(np.frombuffer(a, np.uint8), size), folded(np.frombuffer(b, np.uint8), size))
+            keep = (UNDER * np.minimum(n, m) >= OVER * np.maximum(n, m)) & ((UNDER + OVER) * off <= (UNDER - OVER) * (n + m))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((off << 20) // np.maximum(n + m, 1))], names=["u", "v", "far"]).filter(pa.array(keep))
 
     side = lambda x: bitmaps.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
-    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "nu", "bu", "nv", "bv").mapInArrow(run, "u long, v long")
+    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "nu", "bu", "nv", "bv").mapInArrow(run, "u long, v long, far long")
+
+
+def linked(lists: DataFrame, bitmaps: DataFrame, confirm) -> DataFrame:
+    """(node, component) of the nodes that have links. ``lists``: s, n, key, lead; ``bitmaps``: key, n, bits; ``confirm`` keeps
+    the pairs (u, v) that are similar enough by their sets.
+
+    Each node is confirmed with its nearest candidate first, and again with the nearest of another component, so that
+    groups are whole but for few nodes before all pairs of different components that a list holds are confirmed.
+    """
+    told = lambda: lists.join(found, lists["key"] == found["node"], "left").select("s", "key", "n", "lead", F.coalesce("component", "key").alias("part"))
+    first = _allowed(_first_candidates(lists), bitmaps)
+    tried = cut(first.groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("v")))
+    found = cut(components(confirm(tried)))
+    for salt in (1, 2):
+        more = cut(_nearest_others(told(), bitmaps, salt).join(tried, ["u", "v"], "left_anti"))
+        found = joined(found, confirm(more))
+        tried = tried.union(more)
+    rest = cut(_other_candidates(told(), bitmaps).join(tried, ["u", "v"], "left_anti"))
+    return joined(found, confirm(rest)) if rest.limit(1).count() else found
 
 
 def _verified(docs: DataFrame, text_col: str, pairs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -299,13 +356,7 @@ def groups(docs: DataFrame, text_col: str = "text", names: tuple[str, str] = ("_
     distinct = cut(marked.select("key", "n", "bits", "text_hash").dropDuplicates(["key"]))
     postings = marked.select("key", "n", "lead", F.posexplode("prefix").alias("at", "s"))
     lists = cut(_lists(postings.select("s", "n", "key", (F.col("at") < F.col("lead")).cast("long").alias("lead")), parts))
-    pairs = cut(_first_candidates(lists))
-    edges = cut(_verified(docs, text_col, cut(_allowed(pairs, distinct)), distinct))
-    found = cut(components(edges))
-    told = lists.join(found, lists["key"] == found["node"], "left").select("s", "key", "n", "lead", F.coalesce("component", "key").alias("part"))
-    rest = cut(_other_candidates(told, distinct).join(pairs, ["u", "v"], "left_anti"))
-    if rest.limit(1).count():
-        found = cut(components(edges.union(_verified(docs, text_col, rest, distinct))))
+    found = linked(lists, distinct, lambda pairs: _verified(docs, text_col, pairs, distinct))
     rows = docs.mapInArrow(keyed, StructType([*docs.schema.fields, StructField(names[0], LongType())]))
     side = F.broadcast(found) if found.count() <= SENT_KEYS else found
     met = rows.join(side, rows[names[0]] == found["node"], "left")

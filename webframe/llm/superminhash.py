@@ -14,7 +14,7 @@ similarity 1/20 one pair in a million meets.
 
 Equal sets are one node, with a number of its own for a key of 128 bits. Lists of nodes by band are compared as in
 :mod:`near_copies`: sizes and parity bitmaps rule out most pairs without a chance of error; each node is verified first
-with one of its candidates, and after that only pairs of different components are, so that a group of near copies of any
+with its nearest candidates, and after that only pairs of different components are, so that a group of near copies of any
 size costs no square of it. Each link is confirmed on both full sets.
 
 Defined results: A-Z are lowered, words are parted by the six ASCII blanks; fewer words than a shingle's are one shingle;
@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webframe.llm import near_copies as N
-from webframe.llm.components import components
 from webframe.llm.words import mix
 from webframe.session import cut
 
@@ -175,14 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     postings = nodes.select(F.explode("bands").alias("s"), "n", F.col("node").alias("key"), F.lit(1).cast("long").alias("lead"))
     lists = cut(N._lists(postings, parts))
     bitmaps = nodes.select(F.col("node").alias("key"), "n", "bits")
-    allowed = N._allowed(N._first_candidates(lists), bitmaps)
-    chosen = cut(allowed.groupBy("u").agg(F.min_by("v", F.xxhash64("u", "v")).alias("v")))
-    edges = cut(_confirmed(docs, text_col, nodes, chosen))
-    found = cut(components(edges))
-    told = lists.join(found, lists["key"] == found["node"], "left").select("s", "key", "n", "lead", F.coalesce("component", "key").alias("part"))
-    rest = cut(N._other_candidates(told, bitmaps).join(chosen, ["u", "v"], "left_anti"))
-    if rest.limit(1).count():
-        found = cut(components(edges.union(_confirmed(docs, text_col, nodes, rest))))
+    found = N.linked(lists, bitmaps, lambda pairs: _confirmed(docs, text_col, nodes, pairs))
     grouped = nodes.select("hi", "lo", "least", "node").join(found, "node", "left").select("hi", "lo", "least", F.coalesce("component", "node").alias("part"))
     least = grouped.groupBy("part").agg(F.min("least").alias("component_id"))
     named = cut(grouped.join(least, "part").select("hi", "lo", "component_id"))
