@@ -190,11 +190,17 @@ def is_xml(content_type: Column, body: Column, url_path: Column) -> Column:
 
 
 def is_sitemap(body: Column, url_path: Column) -> Column:
-    """By its begin, in the letters as they are, or by its path; binary bodies may be gzip."""
+    """By its begin, in the letters as they are, or by its path. Of bytes that may be gzip take :func:`page_text` first."""
     peek, p = _peek(body), F.lower(url_path)
     return first_true(_yes(peek.contains("<?xml") & peek.rlike(SITEMAP_ROOTS)), _yes((p == "/robots.txt") | (p.contains("sitemap") & p.contains(".xml"))))
 
 
+def page_text(data: Column) -> Column:
+    """The text of bytes, of which only those that begin like gzip go through a worker."""
+    zipped = F.startswith(data, F.lit(b"\x1f\x8b"))
+    return F.when(zipped, inflated_text(F.when(zipped, data))).otherwise(F.decode(data, "utf-8"))
+
+
 def inflated_text(data: Column) -> Column:
     """The text of bytes that may be gzip, whole or cut."""
     return F.decode(gunzip_any(data), "utf-8")

@@ -36,17 +36,22 @@ def pattern_regex(pattern: Column) -> Column:
 
 def allowed(urls: DataFrame, rule_rows: DataFrame, agent: str, url_col: str = "url", key: str = "origin") -> DataFrame:
     """``urls`` with ``robots_ok``. The agent's own groups apply, else those of ``*``; the longest pattern wins, and
-    of equal ones an allow. An equi-join on the origin; rules are pre-reduced to those of the agent."""
+    of equal ones an allow. An equi-join on the origin; rules are pre-reduced to those of the agent. Plain patterns are
+    compared as beginnings; only those with ``*`` or ``$`` are regular expressions, made once for each origin."""
     name = F.lit(agent.lower())
     own = rule_rows.filter((F.col("agent") != "*") & (F.col("agent") != "") & name.contains(F.col("agent")))
     rest = rule_rows.filter(F.col("agent") == "*").join(own.select(key).distinct(), key, "left_anti")
-    use = own.unionByName(rest).groupBy(F.col(key).alias("__key")).agg(F.collect_set(F.struct(F.length("pattern").alias("n"), "allow", pattern_regex(F.col("pattern")).alias("re"))).alias("__rules"))
-    joined = urls.withColumn("__origin", U.origin(F.col(url_col))).join(use, F.col("__origin") == F.col("__key"), "left")
-    q = U.query(F.col(url_col))
-    target = F.concat(U.path(F.col(url_col)), F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
-    fits = F.filter("__rules", lambda r: F.rlike(target, r["re"]))
+    wild = F.col("pattern").rlike(r"\*|\$$")
+    rule = F.struct(F.length("pattern").alias("n"), "allow", F.when(wild, pattern_regex(F.col("pattern"))).otherwise(F.col("pattern")).alias("p"))
+    some = lambda test: F.collect_set(F.when(test, rule))
+    use = own.unionByName(rest).groupBy(F.col(key).alias("__key")).agg(some(~wild).alias("__plain"), some(wild).alias("__wild"))
+    # what is taken from a URL has a column of its own, so that it is computed once
+    parts = urls.withColumns({"__origin": U.origin(F.col(url_col)), "__path": U.path(F.col(url_col)), "__query": U.query(F.col(url_col))})
+    joined = parts.join(use, F.col("__origin") == F.col("__key"), "left")
+    joined = joined.withColumn("__target", F.concat("__path", F.when(F.col("__query") == "", "").otherwise(F.concat(F.lit("?"), "__query"))))
+    fits = F.concat(F.filter("__plain", lambda r: F.startswith(F.col("__target"), r["p"])), F.filter("__wild", lambda r: F.rlike(F.col("__target"), r["p"])))
     best = F.array_max(F.transform(fits, lambda r: F.struct(r["n"], r["allow"])))
-    return joined.withColumn("robots_ok", F.coalesce(best["allow"], F.lit(True)) | (U.path(F.col(url_col)) == "/robots.txt")).drop("__origin", "__key", "__rules")
+    return joined.withColumn("robots_ok", F.coalesce(best["allow"], F.lit(True)) | (F.col("__path") == "/robots.txt")).drop("__origin", "__path", "__query", "__target", "__key", "__plain", "__wild")
 
 
 def file_verdict(code: Column) -> Column:

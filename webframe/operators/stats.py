@@ -57,32 +57,54 @@ def stalls(samples: DataFrame, key: str, time_col: str, bytes_col: str, seconds:
     return samples.withColumn("__gap", F.coalesce(gap, F.lit(False))).withColumn("stalled", F.max("__gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__gap")
 
 
+class SampleFold:
+    """What the feeds of one key have come to so far: a state of four numbers, fed in the order of time."""
+
+    def __init__(self, least: float = 0.15, stall: float = 5.0):
+        self.least, self.stall = least, stall
+        self.begin: int | None = None
+        self.held, self.stalled = 0, False
+
+    def feed(self, t: int, n: int) -> tuple[float, int, bool] | None:
+        """(seconds, bytes, stalled) if a feed of n bytes at t microseconds ends a sample."""
+        self.begin = t if self.begin is None else self.begin
+        self.held += n
+        seconds = (t - self.begin) / 1e6
+        if seconds < self.least:
+            return None
+        self.begin = t
+        if n == 0 and seconds >= self.stall:
+            self.stalled = True
+            return None
+        out = (seconds, self.held, self.stalled)
+        self.held = 0
+        return out
+
+
 def merge_samples(feeds: DataFrame, key: str, time_col: str, bytes_col: str, least: float = 0.15, stall: float = 5.0) -> DataFrame:
     """Samples (key, seconds, n, stalled) of at least ``least`` seconds each, from feeds of bytes. A feed without bytes
-    after ``stall`` seconds or more makes no sample and stalls its key: samples after it say so. Sequential in a key, so
-    a function of a small state, run over the sorted feeds of each key."""
-    import pandas as pd
+    after ``stall`` seconds or more makes no sample and stalls its key: samples after it say so. Sequential in a key: its
+    sorted feeds stream through a state of four numbers, and no key is gathered."""
+    import pyarrow as pa
 
     kind = dict(feeds.dtypes)[key]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows, begin, held, stalled = [], None, 0, False
-        for t, n in group.sort_values("t")[["t", "n"]].itertuples(index=False):
-            begin = t if begin is None else begin
-            held += n
-            seconds = (t - begin) / 1e6
-            if seconds < least:
-                continue
-            begin = t
-            if n == 0 and seconds >= stall:
-                stalled = True
-                continue
-            rows.append((group["k"].iloc[0], seconds, held, stalled))
-            held = 0
-        return pd.DataFrame(rows, columns=["k", "seconds", "n", "stalled"])
+    def run(batches):
+        last, begun, state = None, False, None
+        for batch in batches:
+            place, rows = [], []
+            for i, (k, t, n) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if not begun or k != last:
+                    last, begun, state = k, True, SampleFold(least, stall)
+                if made := state.feed(t, n or 0):
+                    place.append(i)
+                    rows.append(made)
+            seconds, size, stalled = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place, pa.int64())), pa.array(seconds, pa.float64()), pa.array(size, pa.int64()), pa.array(stalled, pa.bool_())], names=["k", "seconds", "n", "stalled"])
 
     flat = feeds.select(F.col(key).alias("k"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("t"), F.col(bytes_col).cast("long").alias("n"))
-    return flat.groupBy("k").applyInPandas(run, f"k {kind}, seconds double, n long, stalled boolean").withColumnRenamed("k", key)
+    placed = flat.repartition("k").sortWithinPartitions("k", "t", "n")
+    return placed.mapInArrow(run, f"k {kind}, seconds double, n long, stalled boolean").withColumnRenamed("k", key)
 
 
 def link_counts(links: DataFrame, key: str) -> DataFrame:
