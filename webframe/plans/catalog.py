@@ -26,4 +26,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["links_by_host"](spark, sf_dir)
 
 
-from webframe.plans import archives, crawling, extended, predicates, relations, scalars  # noqa: E402, F401
+from webframe.plans import archives, crawling, durable, extended, predicates, relations, scalars  # noqa: E402, F401
