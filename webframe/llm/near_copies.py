@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from webframe.llm.components import components, joined
-from webframe.session import cut
+from webframe.session import cut, tidy
 
 WIDTH = 5
 #: least similarity, as a fraction
@@ -293,15 +293,16 @@ def linked(lists: DataFrame, bitmaps: DataFrame, confirm) -> DataFrame:
     groups are whole but for few nodes before all pairs of different components that a list holds are confirmed.
     """
     told = lambda: lists.join(found, lists["key"] == found["node"], "left").select("s", "key", "n", "lead", F.coalesce("component", "key").alias("part"))
-    first = _allowed(_first_candidates(lists), bitmaps)
-    tried = cut(first.groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("v")))
-    found = cut(components(confirm(tried)))
-    for salt in (1, 2):
-        more = cut(_nearest_others(told(), bitmaps, salt).join(tried, ["u", "v"], "left_anti"))
-        found = joined(found, confirm(more))
-        tried = tried.union(more)
-    rest = cut(_other_candidates(told(), bitmaps).join(tried, ["u", "v"], "left_anti"))
-    return joined(found, confirm(rest)) if rest.limit(1).count() else found
+    with tidy(lists.sparkSession):
+        first = _allowed(_first_candidates(lists), bitmaps)
+        tried = cut(first.groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("v")))
+        found = cut(components(confirm(tried)))
+        for salt in (1, 2):
+            more = cut(_nearest_others(told(), bitmaps, salt).join(tried, ["u", "v"], "left_anti"))
+            found = joined(found, confirm(more))
+            tried = tried.union(more)
+        rest = cut(_other_candidates(told(), bitmaps).join(tried, ["u", "v"], "left_anti"))
+        return joined(found, confirm(rest)) if rest.limit(1).count() else found
 
 
 def _verified(docs: DataFrame, text_col: str, pairs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -352,11 +353,12 @@ def groups(docs: DataFrame, text_col: str = "text", names: tuple[str, str] = ("_
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(text_col, F.xxhash64(text_col).alias("text_hash"))
     marked = texts.mapInArrow(marks, "key long, n long, prefix array<long>, lead long, bits binary, text_hash long")
-    # the prefixes are many times as large as the rest: they go to their lists at once and are not written for later
-    distinct = cut(marked.select("key", "n", "bits", "text_hash").dropDuplicates(["key"]))
-    postings = marked.select("key", "n", "lead", F.posexplode("prefix").alias("at", "s"))
-    lists = cut(_lists(postings.select("s", "n", "key", (F.col("at") < F.col("lead")).cast("long").alias("lead")), parts))
-    found = linked(lists, distinct, lambda pairs: _verified(docs, text_col, pairs, distinct))
+    with tidy(spark):
+        # the prefixes are many times as large as the rest: they go to their lists at once and are not written for later
+        distinct = cut(marked.select("key", "n", "bits", "text_hash").dropDuplicates(["key"]))
+        postings = marked.select("key", "n", "lead", F.posexplode("prefix").alias("at", "s"))
+        lists = cut(_lists(postings.select("s", "n", "key", (F.col("at") < F.col("lead")).cast("long").alias("lead")), parts))
+        found = linked(lists, distinct, lambda pairs: _verified(docs, text_col, pairs, distinct))
     rows = docs.mapInArrow(keyed, StructType([*docs.schema.fields, StructField(names[0], LongType())]))
     side = F.broadcast(found) if found.count() <= SENT_KEYS else found
     met = rows.join(side, rows[names[0]] == found["node"], "left")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from webframe.llm import near_copies as N
 from webframe.llm.words import mix
-from webframe.session import cut
+from webframe.session import cut, tidy
 
 WIDTH, BANDS, REGISTERS = 2, 64, 6
 #: registers of a signature: the prime number from BANDS * REGISTERS on
@@ -167,12 +167,13 @@ def _confirmed(docs: DataFrame, text_col: str, nodes: DataFrame, pairs: DataFram
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable) and kept of every row."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marks = cut(_marks(docs, id_col, text_col))
-    full = marks.filter(F.col("n") > 0)
-    same = full.groupBy("hi", "lo").agg(F.min("id").alias("least"), F.min("n").alias("n"), F.min("text_hash").alias("text_hash"), F.min("bands").alias("bands"), F.min("bits").alias("bits"))
-    nodes = cut(same.repartition(parts, "hi", "lo")).withColumn("node", F.monotonically_increasing_id())
-    postings = nodes.select(F.explode("bands").alias("s"), "n", F.col("node").alias("key"), F.lit(1).cast("long").alias("lead"))
-    lists = cut(N._lists(postings, parts))
+    with tidy(docs.sparkSession):
+        marks = cut(_marks(docs, id_col, text_col))
+        full = marks.filter(F.col("n") > 0)
+        same = full.groupBy("hi", "lo").agg(F.min("id").alias("least"), F.min("n").alias("n"), F.min("text_hash").alias("text_hash"), F.min("bands").alias("bands"), F.min("bits").alias("bits"))
+        nodes = cut(same.repartition(parts, "hi", "lo")).withColumn("node", F.monotonically_increasing_id())
+        postings = nodes.select(F.explode("bands").alias("s"), "n", F.col("node").alias("key"), F.lit(1).cast("long").alias("lead"))
+        lists = cut(N._lists(postings, parts))
     bitmaps = nodes.select(F.col("node").alias("key"), "n", "bits")
     found = N.linked(lists, bitmaps, lambda pairs: _confirmed(docs, text_col, nodes, pairs))
     grouped = nodes.select("hi", "lo", "least", "node").join(found, "node", "left").select("hi", "lo", "least", F.coalesce("component", "node").alias("part"))
