@@ -75,7 +75,10 @@ _UNKNOWN_BYTES = 1 << 52
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a frame (file sizes for scans). Where it has none, one pass adds up the rows' strings."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except ValueError:  # products over joins of unknown frames have more digits than Python reads
+        size = _UNKNOWN_BYTES
     if size < _UNKNOWN_BYTES:
         return size
     texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
