@@ -177,8 +177,9 @@ def _canonical_of_any(urls: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.StringType())
-def _resolved_of_any(bases: pd.Series, links: pd.Series) -> pd.Series:
-    joined = (join_url(b, x) for b, x in zip(bases, links, strict=True))
+def _resolved_of_any(pairs: pd.DataFrame) -> pd.Series:
+    text = lambda x: x if isinstance(x, str) else None
+    joined = (join_url(text(b), text(x)) for b, x in zip(pairs["base"], pairs["link"], strict=True))
     return pd.Series([None if u is None else (try_parse_url(u) or {}).get("url") for u in joined], dtype=object)
 
 
@@ -290,19 +291,21 @@ def hostname_with_port(url: Column) -> Column:
 
 
 def _canonical_of_plain(url: Column) -> Column:
-    """The URL without its fragment and default port; a missing path is ``/``."""
+    """The URL without its fragment, an empty query and a default port; a missing path is ``/``."""
+    asked = F.regexp_replace(F.substring_index(url, "#", 1), r"^([^?]*)\?$", "$1")
+    bare = F.regexp_replace(asked, r"^(http://[^/?]*):80(?=[/?]|$)|^(https://[^/?]*):443(?=[/?]|$)", "$1$2")
+    return F.regexp_replace(bare, r"^(https?://[^/?]*)(?=\?|$)", "$1/")
 
-    def parts(u: Column) -> Column:
-        tail = let(query(u), lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
-        return F.concat(scheme(u), F.lit("://"), hostname_with_port(u), path(u), tail)
 
-    return let(url, parts)
+def _if_plain(url: Column) -> Column:
+    """The canonical URL of a plain one, null of others; ``url`` is evaluated once."""
+    return let(url, lambda u: F.when(is_plain(u), _canonical_of_plain(u)))
 
 
 def canonical(url: Column) -> Column:
     """The canonical URL of any text; null where it can't be one."""
-    plain = F.coalesce(is_plain(url), F.lit(False))
-    return F.when(plain, _canonical_of_plain(url)).otherwise(_canonical_of_any(F.when(~plain, url)))
+    native = _if_plain(url)
+    return F.coalesce(native, _canonical_of_any(F.when(native.isNull(), url)))
 
 
 def origin(url: Column) -> Column:
@@ -313,15 +316,16 @@ _ABSOLUTE = "^[a-zA-Z][a-zA-Z0-9+.-]*:"
 
 
 def join_plain(base: Column, link: Column) -> Column:
-    """A root-relative, scheme-relative or absolute link against a plain base; null for other links."""
-    return F.when(F.rlike(link, F.lit(_ABSOLUTE)), link).when(link.startswith("//"), F.concat(scheme(base), F.lit(":"), link)).when(link.startswith("/"), F.concat(origin(base), link))
+    """A root-relative, scheme-relative or absolute link against a plain base; null for other links. A default port of the
+    base stays."""
+    root = F.substring_index(F.substring_index(F.substring_index(base, "#", 1), "?", 1), "/", 3)
+    return F.when(F.rlike(link, F.lit(_ABSOLUTE)), link).when(link.startswith("//"), F.concat(F.substring_index(base, ":", 1), F.lit(":"), link)).when(link.startswith("/"), F.concat(root, link))
 
 
 def resolved(base: Column, link: Column) -> Column:
     """The canonical URL of a link in a document at ``base``; null where there is none."""
-    joined = join_plain(base, link)
-    plain = F.coalesce(is_plain(joined) & is_plain(base), F.lit(False))
-    return F.when(plain, _canonical_of_plain(joined)).otherwise(_resolved_of_any(F.when(~plain, base), F.when(~plain, link)))
+    native = F.when(is_plain(base), _if_plain(join_plain(base, link)))
+    return F.coalesce(native, _resolved_of_any(F.when(native.isNull(), F.struct(base.alias("base"), link.alias("link")))))
 
 
 def split_path(p: Column) -> Column:
