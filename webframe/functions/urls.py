@@ -282,10 +282,11 @@ def fragment(url: Column) -> Column:
 def hostname_with_port(url: Column) -> Column:
     """The host, an IPv6 address in brackets, and the port unless it is the scheme's."""
 
+    defaults = [f"{name}:{number}" for name, number in DEFAULT_PORTS.items()]
+
     def shown(h: Column) -> Column:
-        bare = F.when(h.startswith("["), F.concat(F.substring_index(h, "]", 1), F.lit("]"))).otherwise(F.substring_index(h, ":", 1))
-        given = _given_port(h)
-        return F.when(given.isNull() | (given == _default_port(scheme(url))), F.lower(bare)).otherwise(F.concat_ws(":", F.lower(bare), given.cast("string")))
+        bare = F.lower(F.when(h.startswith("["), F.concat(F.substring_index(h, "]", 1), F.lit("]"))).otherwise(F.substring_index(h, ":", 1)))
+        return let(_given_port(h).cast("string"), lambda p: F.when(p.isNull() | F.concat_ws(":", scheme(url), p).isin(*defaults), bare).otherwise(F.concat_ws(":", bare, p)))
 
     return let(_host_and_port(url), shown)
 
