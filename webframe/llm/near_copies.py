@@ -105,9 +105,10 @@ def _common(docs: DataFrame, text_col: str) -> np.ndarray:
     return np.sort(np.asarray(rows.select("s").toArrow().column(0).to_numpy()).astype(np.int64))
 
 
-def parity(s: np.ndarray) -> bytes:
-    """The bitmap of a set: 64 bits, or the power of two from its size on."""
-    bits = max(64, 1 << max(0, len(s) - 1).bit_length())
+def parity(s: np.ndarray, scale: int = 1) -> bytes:
+    """The bitmap of a set: 64 bits, or the power of two from ``scale`` times its size on. The more bits, the fewer members
+    fall on one of them and the nearer is the bound."""
+    bits = max(64, 1 << max(0, scale * len(s) - 1).bit_length())
     return np.packbits(np.bincount((s.view(np.uint64) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 

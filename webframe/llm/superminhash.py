@@ -39,6 +39,8 @@ from webframe.session import cut, tidy
 WIDTH, BANDS, REGISTERS = 2, 64, 6
 #: registers of a signature: the prime number from BANDS * REGISTERS on
 LENGTH = next(n for n in range(BANDS * REGISTERS, 1 << 16) if all(n % k for k in range(2, int(n**0.5) + 1)))
+#: bits of a bitmap for each member of its set: of sets of similarity 0.77 or less hardly a pair passes
+SCALE = 4
 #: elements of the sets that are signed at once
 ELEMENTS = 1 << 17
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
@@ -124,7 +126,7 @@ def _marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             known = pa.array(np.where(first < 0, 0, first), pa.int64(), mask=first < 0)
             told = lambda values: values.take(known)  # noqa: E731  null but for the first rows
             lists = pa.ListArray.from_arrays(pa.array(np.arange(many + 1) * BANDS, pa.int32()), pa.array(made.ravel(), pa.int64()))
-            bits = pa.array([N.parity(s) if len(s) else b"" for s in sets], pa.binary())
+            bits = pa.array([N.parity(s, SCALE) if len(s) else b"" for s in sets], pa.binary())
             columns = [batch.column(0), *(pa.array(pairs[of, c], pa.int64()) for c in (0, 1)), pa.array(np.array(sizes, np.int64)[of], pa.int64()), batch.column(2), told(lists), told(bits)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "hi", "lo", "n", "text_hash", "bands", "bits"])
 
