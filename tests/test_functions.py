@@ -73,6 +73,9 @@ def test_seeds_and_frontier_stores(spark, tmp_path):
     assert {r["url"] for r in found.collect()} >= {"http://a.com/", "http://b.com/", "http://c.com/x"} and found.select("seq").distinct().count() == found.count()
     (tmp_path / "p.html").write_text("<a href=x>1</a><img src='/y.png'>")
     assert {r["url"] for r in seeds.seeds_from_html(spark, str(tmp_path / "p.html"), "http://e.com/d/").collect()} == {"http://e.com/d/x", "http://e.com/y.png"}
+    (tmp_path / "q.html").write_text("<a href=z>1</a>")
+    each = seeds.seeds_from_html(spark, str(tmp_path / "*.html")).collect()
+    assert [r["url"] for r in sorted(each, key=lambda r: r["seq"])] == [f"file://{tmp_path}/x", "file:///y.png", f"file://{tmp_path}/z"]
     rows = frontier.insert(frontier.empty(spark), spark.createDataFrame([(0, "http://a/"), (1, "http://b/")], "seq long, url string"))
     rows = frontier.update_one(rows, "http://b/", status="done", filename="f")
     path = seeds.save_frontier(rows, str(tmp_path / "f"), 3)

@@ -101,3 +101,11 @@ def test_subdirectories_queries_and_sessions(spark):
     assert split("&") == [] and split("a=ð&b") == [("a", "ð")] and split("a=ð&b=", keep_blank=True) == [("a", "ð"), ("b", "")] and split("a=ð&b=%2F") == [("a", "ð"), ("b", "%2F")]
     assert one.select(U.strip_query_session(F.lit("sid=" + "0123456789abcdef" * 2 + "&horse=dog&"))).first()[0] == "horse=dog&"
     assert one.select(U.rewrite(F.lit("http://example.com/forum/#!forum/x"), hash_fragment=True)).first()[0] == "http://example.com/forum/?_escaped_fragment_=forum/x"
+
+
+def test_parts_by_name(spark):
+    rows = spark.createDataFrame([("HTTP://u:p@Example.Com:8080/a/../b?q=1#f",), ("nothing at all://",), (None,)], "u string")
+    found = [r["m"] for r in rows.select(U.to_map(U.url_info(F.col("u"))).alias("m")).collect()]
+    want = {k: str(v) for k, v in U.parse_url("HTTP://u:p@Example.Com:8080/a/../b?q=1#f").items() if v is not None}
+    assert found[0] == {k: want[k] for k in U.URL_INFO.fieldNames() if k in want} and found[0]["port"] == "8080" and found[0]["hostname"] == "example.com"
+    assert found[2] is None

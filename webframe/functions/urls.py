@@ -171,6 +171,12 @@ def with_url_info(df: DataFrame, url_col: str = "url", name: str = "info") -> Da
     return df.withColumn(name, url_info(F.col(url_col)))
 
 
+def to_map(info: Column) -> Column:
+    """The parts of a URL (:func:`url_info`) by name, without those it does not have; null of what is no URL."""
+    parts = F.array(*[F.struct(F.lit(f.name).alias("key"), info[f.name].cast("string").alias("value")) for f in URL_INFO.fields])
+    return F.when(info["url"].isNotNull(), F.map_from_entries(F.filter(parts, lambda p: p["value"].isNotNull())))
+
+
 @F.pandas_udf(T.StringType())
 def _canonical_of_any(urls: pd.Series) -> pd.Series:
     return pd.Series([None if u is None else (try_parse_url(u) or {}).get("url") for u in urls], dtype=object)

@@ -179,3 +179,9 @@ def numbered_batches(rows: DataFrame, size: int = 1000, *order: Column) -> DataF
 def evicted(cache: DataFrame, max_items: int, time_col: str = "used_at") -> DataFrame:
     """The rows that stay: the most recently used ones. A top-k, which Spark takes partition by partition."""
     return cache.orderBy(F.desc(time_col)).limit(max_items)
+
+
+def kept(cache: DataFrame, now: Column, max_items: int, seconds: float, time_col: str = "used_at", *order: Column) -> DataFrame:
+    """The rows of a cache bounded in age and in items: the latest ones of those that are younger than ``seconds``."""
+    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(time_col).cast("timestamp"))) / 1e6
+    return cache.filter(age < seconds).orderBy(F.desc(time_col), *order).limit(max_items)

@@ -132,6 +132,14 @@ def cache_eviction(spark, d):
     return fr.evicted(rows, 50).select("event_id")
 
 
+@query("SELECT event_id FROM events WHERE epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts) < 86400000000::BIGINT * 3 ORDER BY ts DESC, event_id DESC LIMIT 400")
+def cache_ttl(spark, d):
+    """A cache of 400 items at most, none of them three days old."""
+    rows = table(spark, d, "events").select("event_id", "ts")
+    now = rows.agg(F.max("ts")).first()[0]
+    return fr.kept(rows, F.lit(now), 400, 3 * 86400, "ts", F.desc("event_id")).select("event_id")
+
+
 @query("WITH p AS (SELECT page_id, url, html FROM pages), r AS (SELECT page_id, 'GET ' || url || ' HTTP/1.1' || chr(13) || chr(10) || chr(13) || chr(10) AS ask, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || chr(13) || chr(10) AS head, html FROM p) SELECT page_id, 'request' AS record_type, CAST(octet_length(encode(ask)) AS INTEGER) AS size, sha1(ask) AS digest, false AS linked FROM r UNION ALL SELECT page_id, 'response', CAST(octet_length(encode(head || html)) AS INTEGER), sha1(html), true FROM r")
 def warc_exchange(spark, d):
     """Requests and responses as pairs of records; the digest of a response is its payload's."""

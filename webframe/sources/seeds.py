@@ -21,10 +21,13 @@ def seeds(spark: SparkSession, urls: list[str] = (), text_path: str | None = Non
     return parsed.select(F.monotonically_increasing_id().alias("seq"), F.col("info.url").alias("url"))
 
 
-def seeds_from_html(spark: SparkSession, path: str, base: str) -> DataFrame:
-    """Seeds from every link of local HTML files."""
-    pages = spark.read.text(path, wholetext=True).select(F.lit(0).alias("page_id"), F.lit(base).alias("url"), F.col("value").alias("html"))
-    return html_links(pages).select(F.col("ordinal").cast("long").alias("seq"), F.col("link").alias("url"))
+def seeds_from_html(spark: SparkSession, path: str, base: str | None = None) -> DataFrame:
+    """Seeds from every link of local HTML files, against one base, or without one against each file's own URL. They are
+    numbered in the order of files and links."""
+    own = F.col("_metadata.file_path")
+    pages = spark.read.text(path, wholetext=True).select(own.alias("file"), (F.lit(base) if base else own).alias("url"), F.col("value").alias("html"))
+    links = html_links(pages, key="file").orderBy("file", "ordinal")
+    return links.select(F.monotonically_increasing_id().alias("seq"), F.col("link").alias("url"))
 
 
 def save_frontier(frontier: DataFrame, folder: str, version: int) -> str:
