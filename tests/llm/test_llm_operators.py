@@ -282,5 +282,5 @@ def test_empty_and_null_tables(spark, tmp_path, name):
             cols = [F.lit(None).cast(t).alias(c) for c, t in like.dtypes]
             spark.range(n).select(*cols).write.mode("overwrite").parquet(f"{folder}/{table}.parquet")
         rows = QUERIES[name](spark, folder).collect()
-        if name not in ("op2_decontamination", "op8_chat_formatting"):
+        if name not in ("op2_decontamination", "op8_chat_formatting", "op13_source_divergence"):  # whose rows are no documents
             assert len(rows) == n
