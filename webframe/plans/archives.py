@@ -116,7 +116,8 @@ def link_convert_lookup(spark, d):
     return C.lookup(links, done).select("page_id", "pos", "new_url")
 
 
-@query("SELECT page_id, CASE WHEN n = 0 THEN name ELSE name || '.' || n END AS name FROM (SELECT page_id, name, row_number() OVER (PARTITION BY name ORDER BY page_id) - 1 AS n FROM (SELECT page_id, 'p' || page_id % 7 AS name FROM pages))")
+@query("SELECT page_id, CASE WHEN n = 0 THEN name ELSE name || '.' || n END AS name FROM (SELECT page_id, name, row_number() OVER (PARTITION BY name ORDER BY page_id) - 1 AS n FROM (SELECT page_id, regexp_extract(url, '^[^:]+://([^/?#]*)', 1) AS name FROM pages))")
 def anti_clobber(spark, d):
-    rows = pages(spark, d).select("page_id", F.concat(F.lit("p"), (F.col("page_id") % 7).cast("string")).alias("name"))
+    """Pages that would be saved under the names of their hosts."""
+    rows = pages(spark, d).select("page_id", U.hostname(F.col("url")).alias("name"))
     return fr.anti_clobber(rows, "name", F.col("page_id"))

@@ -166,13 +166,13 @@ def scheme_dispatch(spark, d):
     return P.by_scheme(rows, {n: lambda df, n=n: df.withColumn("outcome", F.lit(n)) for n in ("http", "ftp")}).select("page_id", "outcome")
 
 
-@query("SELECT page_id, page_id % 2 = 0 OR page_id % 3 = 0 OR page_id % 7 = 0 AS web, page_id % 2 = 0 AND page_id % 3 = 0 AS generic FROM pages")
+@query("SELECT page_id, url LIKE '%.html%' OR url LIKE '%/en/%' OR url LIKE '%?%' AS web, url LIKE '%.html%' AND url LIKE '%/en/%' AS generic FROM pages")
 def request_predicates(spark, d):
-    """Virtual items always pass; a redirect passes if hosts alone are against it."""
-    n = F.col("page_id")
-    tests = {"RegexFilter": n % 2 == 0, "SpanHostsFilter": n % 3 == 0}
-    web = P.subsequent_request({"SpanHostsFilter": n % 3 == 0}, n % 2 == 0, n % 7 == 0)
-    return pages(spark, d).select("page_id", web.alias("web"), P.generic_request(tests).alias("generic"))
+    """Virtual items (here: with a query) always pass; a redirect (of a file) passes if hosts alone are against it."""
+    html, english, asked = (F.col("url").contains(x) for x in (".html", "/en/", "?"))
+    web = P.subsequent_request({"SpanHostsFilter": english}, html, asked)
+    generic = P.generic_request({"RegexFilter": html, "SpanHostsFilter": english})
+    return pages(spark, d).select("page_id", web.alias("web"), generic.alias("generic"))
 
 
 @query("SELECT true AS near, true AS again")
@@ -247,7 +247,8 @@ def containers_and_metadata(spark, d):
     return rows.select("page_id", same.alias("url"), X.json_metadata(url=F.col("url"), n=F.col("page_id"), none=F.lit(None).cast("string")).alias("meta"))
 
 
-@query("SELECT page_id, 'a b' || page_id || '/ü+' AS text, 'a b' || page_id || '/ü ' AS plus FROM pages")
+@query("SELECT doc_id, replace(text, ' ', '+') AS text, text AS plus FROM documents")
 def url_percent_decode(spark, d):
-    encoded = F.concat(F.lit("a%20b"), F.col("page_id").cast("string"), F.lit("/%C3%BC+"))
-    return pages(spark, d).select("page_id", U.str_udf(U.percent_decode)(encoded).alias("text"), U.str_udf(U.percent_decode_plus)(encoded).alias("plus"))
+    """Whole texts that were escaped come back; a plus sign stands for a space in one of the two forms."""
+    encoded = F.url_encode("text")
+    return table(spark, d, "documents").select("doc_id", U.str_udf(U.percent_decode)(encoded).alias("text"), U.str_udf(U.percent_decode_plus)(encoded).alias("plus"))

@@ -125,8 +125,10 @@ def hook_get_urls(spark, d):
     return H.more_urls(pages(spark, d), hooks)
 
 
-@query("SELECT page_id, CASE WHEN url LIKE 'http:%' AND page_id % 2 = 0 THEN NULL WHEN page_id % 2 = 0 THEN 'https://a.example/' WHEN page_id % 5 <> 0 THEN 'http://a.example/' END AS referer FROM pages")
+@query("SELECT p.page_id, CASE WHEN NOT (p.url LIKE 'http:%' AND q.url LIKE 'https:%') THEN q.url END AS referer FROM pages p LEFT JOIN pages q ON q.page_id = p.page_id // 2")
 def referer_suppression(spark, d):
-    n = F.col("page_id")
-    parent = F.when(n % 2 == 0, "https://a.example/").when(n % 5 != 0, "http://a.example/")
-    return pages(spark, d).select("page_id", P.referer(F.col("url"), parent).alias("referer"))
+    """Each page is reached from the page of half its number."""
+    p = pages(spark, d).select("page_id", "url")
+    parents = p.select(F.col("page_id").alias("half"), F.col("url").alias("parent"))
+    met = p.join(parents, F.floor(F.col("page_id") / 2) == F.col("half"), "left")
+    return met.select("page_id", P.referer(F.col("url"), F.col("parent")).alias("referer"))
