@@ -471,7 +471,7 @@ def test_stages_of_odd_tables(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, None, None, None, 1, "a", "b", "c", "d", "e") for i, t in rows], cols).repartition(3)
     want = {
         "quality_rules": Counter((i, t) for i, t in rows if t),
-        "simhash_near_dedup": Counter([(None, None), (None, own(1)), (None, own(1)), (1, None), (3, own(2)), (3, own(3)), (2**63 - 1, own(4)), (2**63 - 1, own(5)), rows[-1]]),
+        "near_dedup": Counter([(None, None), (None, own(1)), (None, own(1)), (1, None), (3, own(2)), (3, own(3)), (2**63 - 1, own(4)), (2**63 - 1, own(5)), rows[-1]]),
         "substring_dedup": Counter((i, t) for i, t in rows if i != 4),
         "benchmark_decontamination": Counter(rows),
     }

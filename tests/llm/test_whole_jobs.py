@@ -54,7 +54,7 @@ def test_near_copies_of_the_pipeline(spark):
     rows = near_rows()
     rows += [(3, "an own text under a repeated id that nothing else resembles at all")]
     docs = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    found = sorted((r["doc_id"], r["text"]) for r in P.simhash_near_dedup(spark, docs.repartition(3), "").collect())
+    found = sorted((r["doc_id"], r["text"]) for r in P.near_dedup(spark, docs.repartition(3), "").collect())
     want = [rows[i] for i in brute_near_copies(rows)]
     assert found == sorted(want) and len(want) < len(rows) - 30
 
