@@ -14,9 +14,7 @@ Two bitmaps differ in at most as many bits as the sets differ in members, which
 4/5, so most candidates are dropped by their bitmaps without a look at their sets, and none that is similar enough.
 
 A list's members are first met with the list's smallest set and with their neighbours in the order of size, in partitions
-sorted by range, as a list may be of any length. Of these each set is verified with the one whose bitmap is nearest, and
-then, twice, with the nearest of another component in its lists. Only pairs that are not in one component after that are
-all compared, so that a large group of near copies costs no square of its size; lists that still hold several components
+sorted by range, as a list may be of any length. Only pairs that are not in one component after that are all compared, so that a large group of near copies costs no square of its size; lists that still hold several components
 pass on the pairs that their bitmaps allow, and long ones are dealt by pairs of chunks, so that no list is gathered whole.
 
 Defined results: words are parted by ASCII blanks and A-Z are lowered, as in :mod:`simhash`; fewer than WIDTH words are
@@ -286,19 +284,20 @@ def _allowed(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "nu", "bu", "nv", "bv").mapInArrow(run, "u long, v long, far long")
 
 
-def linked(lists: DataFrame, bitmaps: DataFrame, confirm) -> DataFrame:
+def linked(lists: DataFrame, bitmaps: DataFrame, confirm, rounds: int = 0) -> DataFrame:
     """(node, component) of the nodes that have links. ``lists``: s, n, key, lead; ``bitmaps``: key, n, bits; ``confirm`` keeps
     the pairs (u, v) that are similar enough by their sets.
 
-    Each node is confirmed with its nearest candidate first, and again with the nearest of another component, so that
-    groups are whole but for few nodes before all pairs of different components that a list holds are confirmed.
+    Without ``rounds`` all first candidates are confirmed. With them each node is confirmed with the nearest of these alone,
+    and in each round with the nearest of another component: fewer sets travel, but lists are looked through in each. Either
+    way groups are whole but for few nodes before all pairs of different components that a list holds are confirmed.
     """
     told = lambda: lists.join(found, lists["key"] == found["node"], "left").select("s", "key", "n", "lead", F.coalesce("component", "key").alias("part"))
     with tidy(lists.sparkSession):
         first = _allowed(_first_candidates(lists), bitmaps)
-        tried = cut(first.groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("v")))
+        tried = cut(first.groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("v")) if rounds else first.select("u", "v"))
         found = cut(components(confirm(tried)))
-        for salt in (1, 2):
+        for salt in range(1, rounds + 1):
             more = cut(_nearest_others(told(), bitmaps, salt).join(tried, ["u", "v"], "left_anti"))
             found = joined(found, confirm(more))
             tried = tried.union(more)

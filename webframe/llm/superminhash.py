@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         postings = nodes.select(F.explode("bands").alias("s"), "n", F.col("node").alias("key"), F.lit(1).cast("long").alias("lead"))
         lists = cut(N._lists(postings, parts))
     bitmaps = nodes.select(F.col("node").alias("key"), "n", "bits")
-    found = N.linked(lists, bitmaps, lambda pairs: _confirmed(docs, text_col, nodes, pairs))
+    found = N.linked(lists, bitmaps, lambda pairs: _confirmed(docs, text_col, nodes, pairs), rounds=2)
     grouped = nodes.select("hi", "lo", "least", "node").join(found, "node", "left").select("hi", "lo", "least", F.coalesce("component", "node").alias("part"))
     least = grouped.groupBy("part").agg(F.min("least").alias("component_id"))
     named = cut(grouped.join(least, "part").select("hi", "lo", "component_id"))
