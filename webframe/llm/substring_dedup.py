@@ -40,7 +40,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from webframe.llm import words as W
 from webframe.session import input_bytes
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 NAMES = ("__n_words", "__n_removed", "__kept")
 _PACKED = "bucket int, batch int, keys binary"
 _PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("keys", pa.binary())])
