@@ -165,3 +165,31 @@ def test_partial_responses_are_all_appended_in_order(spark):
 
     found = {r["path"]: bytes(r["body"]) for r in writers.appended(held, parts, F.col("seq")).collect()}
     assert found == {"a": b"0-aabbcc", "b": b"x", "c": b"c"}
+
+
+def test_scans_of_long_texts_take_time_by_their_length(spark):
+    """Patterns once went over the whole text again for each of its parts: minutes for texts of this length."""
+    import re
+    import time
+
+    from pyspark.sql import functions as F
+
+    from webframe.operators import scrapers as S
+
+    text = "Ab cd " * 40_000
+    frame = spark.createDataFrame([(text,)], "t string")
+    began = time.time()
+    parts = frame.select(S.segments(F.col("t"), "[A-Z][a-z]+").alias("m")).first()["m"]
+    assert "".join(p["text"] for p in parts) == text and [p["text"] for p in parts if p["is_link"]] == ["Ab"] * 40_000
+    for pattern, chunk in (("[A-Z][a-z]+", 1_000), ("[a-zA-Z]+(?: [a-z]+)?", 300)):
+        assert frame.select(S.scanned(F.col("t"), pattern, chunk, 200).alias("m")).first()["m"] == re.findall(pattern, text)
+    assert time.time() - began < 60
+
+
+def test_scans_pass_chunks_that_a_match_covers(spark):
+    from pyspark.sql import functions as F
+
+    from webframe.operators import scrapers as S
+
+    frame = spark.createDataFrame([("a" * 11 + " b" + "😀" * 3 + "cc",)], "t string")
+    assert frame.select(S.scanned(F.col("t"), "[a-z]+|x*", 2, 20).alias("m")).first()["m"] == ["a" * 11, "b", "cc"]

@@ -87,39 +87,51 @@ def scrape(documents: DataFrame, scrapers: list[Scraper], first_only: bool = Fal
 
 def segments(text: Column, pattern: str) -> Column:
     """array<struct<text, is_link>> that covers the whole text: its parts that match and those between them."""
-    found = F.regexp_extract_all(text, F.lit(f"(?s)({pattern})"), F.lit(1))
-    between = F.split(text, f"(?s){pattern}", -1)
     part = lambda x, is_link: F.struct(x.alias("text"), F.lit(is_link).alias("is_link"))
-    pairs = F.transform(between, lambda x, i: F.array(part(x, False), part(F.get(found, i), True)))
+    pairs = F.zip_with(_between(text, pattern), _matches(text, pattern), lambda b, f: F.array(part(b, False), part(f, True)))
     return F.filter(F.flatten(pairs), lambda x: F.coalesce(x["text"], F.lit("")) != "")
 
 
+def _matches(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s)({pattern})"), F.lit(1))
+
+
+def _between(text: Column, pattern: str) -> Column:
+    return F.split(text, f"(?s){pattern}", -1)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often it is named: within lambdas Spark joins no common expressions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def scanned(text: Column, pattern: str, chunk: int = 16_384, overlap: int = 4_096) -> Column:
     """array of the matches of ``pattern`` found in chunks, for values so long that patterns shouldn't go over them at once.
 
-    A fold over chunks whose state is the place to go on from: a match that begins in a chunk is its own and may reach into
-    the next ``overlap`` characters; the next chunk begins where that one ends, or where the last match did. Matches up to
-    ``overlap`` are those of the whole text; a pattern sees nothing before its chunk. Empty matches aren't told.
+    A fold over chunks, each with the next ``overlap`` characters, whose state is how many characters of the next chunk are
+    passed: a match that begins in a chunk is its own and may reach into the overlap; the next chunk is read from where the
+    last match ended. Matches up to ``overlap`` are those of the whole text; a pattern sees nothing before the place it is
+    read from. Empty matches aren't told. A fold copies its state with each chunk, so it holds numbers; matches follow.
     """
-    n = F.coalesce(F.length(text), F.lit(0))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<string>>").alias("out"))
-
-    def one(state: Column, _: Column) -> Column:
-        parts = segments(F.substr(text, state["at"] + 1, F.lit(chunk + overlap)), pattern)
-        zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("own"), F.lit(0).alias("end"))
-        # of the parts that begin in the chunk: how many, and where the last match among them ends
-        placed = F.aggregate(
-            parts,
-            zero,
-            lambda a, x: F.struct(
-                (a["at"] + F.length(x["text"])).alias("at"),
-                (a["own"] + F.when(a["at"] < chunk, 1).otherwise(0)).alias("own"),
-                F.when((a["at"] < chunk) & x["is_link"], a["at"] + F.length(x["text"])).otherwise(a["end"]).alias("end"),
-            ),
-            lambda a: F.struct(a["own"].alias("own"), F.greatest(a["end"], F.lit(chunk)).alias("step")),
-        )
-        own = F.transform(F.filter(F.slice(parts, F.lit(1), placed["own"]), lambda x: x["is_link"]), lambda x: x["text"])
-        more = F.struct((state["at"] + placed["step"]).alias("at"), F.concat(state["out"], F.array(own)).alias("out"))
-        return F.when(state["at"] >= n, state).otherwise(more)
-
-    return F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor(n / chunk).cast("int")), begin, one)["out"])
+    windows = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?s)(?=(.{{1,{chunk + overlap}}}+)).{{1,{chunk}}}+"), F.lit(1))
+    begin = F.struct(F.lit(0).cast("long").alias("skip"), F.array().cast("array<long>").alias("places"))
+    high = lambda x: F.shiftright(x, 32)
+    low = lambda x: x.bitwiseAND((1 << 32) - 1)
+    pair = lambda x, y: F.shiftleft(x.cast("long"), 32) + y
+    rest = lambda window, skip: F.substr(window, skip.cast("int") + 1, F.lit(chunk + overlap))
+
+    def one(state: Column, window: Column) -> Column:
+        skip = state["skip"]
+        read, own = rest(window, skip), F.lit(chunk) - skip
+        pairs = F.zip_with(_between(read, pattern), _matches(read, pattern), lambda b, m: pair(F.coalesce(F.length(b), F.lit(0)), F.length(m)))
+
+        def step(a: Column, p: Column) -> Column:
+            """How many matches begin in the chunk (high half) and where the last one ends; below 0 once one lies behind it."""
+            return F.when((a < 0) | p.isNull(), a).when(low(a) + high(p) < own, a + (1 << 32) + high(p) + low(p)).otherwise(-1 - a)
+
+        found = F.aggregate(pairs, F.lit(0).cast("long"), step, lambda a: F.when(a < 0, -1 - a).otherwise(a))
+        return _once(found, lambda a: F.struct(F.greatest(low(a) - own, F.lit(0)).alias("skip"), F.concat(state["places"], F.array(pair(high(a), skip))).alias("places")))
+
+    places = F.aggregate(windows, begin, one)["places"]
+    own = F.zip_with(windows, places, lambda w, p: F.slice(_matches(rest(w, low(p)), pattern), F.lit(1), high(p).cast("int")))
+    return F.array_remove(F.flatten(own), "")
