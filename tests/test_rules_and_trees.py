@@ -137,3 +137,69 @@ def test_merged_samples_stream_through_their_state(spark):
         want += [(host, *made) for h, t, n in sorted((r[:3] for r in rows if r[0] == host), key=lambda r: r[1:]) if (made := fold.feed(t, n))]
     found = [tuple(r) for r in stats.merge_samples(feeds, "host", "ts", "n").select("host", "seconds", "n", "stalled").collect()]
     assert sorted(found, key=str) == sorted(want, key=str)
+
+
+def test_politeness_sets_one_timer_for_many_events(spark):
+    """A timer for each millisecond once read and wrote all that was held, so hosts took the square of their events."""
+    import pandas as pd
+
+    class Held:
+        def __init__(self, calls):
+            self.rows, self.calls = None, calls
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            self.calls.append("get")
+            return iter(self.rows or []) if not isinstance(self.rows, tuple) else self.rows
+
+        def put(self, rows):
+            self.calls.append("put")
+            self.rows = list(rows)
+
+        def appendList(self, rows):
+            self.calls.append("append")
+            self.rows = [*(self.rows or []), *rows]
+
+        def appendValue(self, row):
+            self.appendList([row])
+
+        def update(self, row):
+            self.rows = tuple(row)
+
+        def clear(self):
+            self.rows = None
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.calls = [], []
+
+        def getListState(self, *_):
+            return Held(self.calls)
+
+        getValueState = getListState
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Time:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+        getExpiryTimeInMs = getCurrentWatermarkInMs
+
+    handle, fold = Handle(), politeness.HostFold(politeness.Rules(wait=1))
+    it = politeness.Politeness(politeness.Rules(wait=1))
+    it.init(handle)
+    events = [(k * 5_000, k, k % 3 == 0) for k in range(1, 1001)]
+    list(it.handleInputRows(("h",), iter([pd.DataFrame(events[::-1], columns=["t", "n", "failed"])]), Time(0)))
+    assert handle.timers == [6] and handle.calls == ["append"]
+    want = [("h", *fold.event(*e)) for e in events]
+    out = [tuple(r) for f in it.handleExpiredTimer(("h",), Time(2500), Time(6)) for r in f.astype(object).values]
+    assert [r[:4] for r in out] == [r[:4] for r in want[:499]] and handle.timers == [6, 2501]
+    out = [tuple(r) for f in it.handleExpiredTimer(("h",), Time(9000), Time(2501)) for r in f.astype(object).values]
+    assert [r[:4] for r in out] == [r[:4] for r in want[499:]] and len(handle.timers) == 2

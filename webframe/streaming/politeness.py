@@ -20,7 +20,8 @@ from webframe.operators.stats import SAMPLES, SampleFold
 
 #: what becomes of each event: sample_* are null unless it ends a sample
 OUT = "host string, t long, failed boolean, wait double, sample_seconds double, sample_bytes long, stalled boolean, speed double, sleep double"
-_EVENT = "t long, n long, failed boolean"
+#: events that came together are one row, as each row of a state is converted by itself
+_EVENTS = "t array<long>, n array<long>, failed array<boolean>"
 _STATE = "begin long, held long, stalled boolean, errors int, seconds array<double>, sizes array<long>"
 
 
@@ -66,29 +67,38 @@ class HostFold:
         return (t, failed, r.hook(wait) if r.hook else wait, made[0] if made else None, made[1] if made else None, self.samples.stalled, speed, sleep)
 
 
+def _due(t: int) -> int:
+    """The millisecond at which all events of microsecond ``t`` are passed."""
+    return t // 1000 + 1
+
+
 class Politeness(StatefulProcessor):
     def __init__(self, rules: Rules):
         self.rules = rules
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", _EVENT)
+        self.pending = handle.getListState("pending", _EVENTS)
         self.state = handle.getValueState("state", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """Keeps the events and sets one timer, for the first of them: each call of the handle is a message to the JVM."""
+        first = None
         for batch in rows:
-            events = list(zip(batch["t"].tolist(), batch["n"].tolist(), batch["failed"].tolist(), strict=True))
-            for e in events:
-                self.pending.appendValue(e)
-            for at in {e[0] // 1000 + 1 for e in events}:  # milliseconds
-                self.handle.registerTimer(at)
-        yield pd.DataFrame(columns=[c.split(" ")[0] for c in OUT.split(", ")])
+            if len(batch):
+                self.pending.appendValue(tuple(batch[c].tolist() for c in ("t", "n", "failed")))
+                least = int(batch["t"].min())
+                first = least if first is None else min(first, least)
+        if first is not None:
+            self.handle.registerTimer(_due(first))
+        yield from ()  # an empty frame for each host would cost more than its events
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """All events that the timer's time has passed; what a later timer of the same events finds is nothing."""
-        held = sorted((int(t), int(n), bool(f)) for t, n, f in self.pending.get())
-        passed = [e for e in held if e[0] // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs()]
-        out = []
+        """All events that the watermark has passed, and a timer for the first of the rest; what another timer finds then is
+        nothing, or the rest."""
+        passed_by = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        held = sorted((int(t), int(n), bool(f)) for events in self.pending.get() for t, n, f in zip(*events, strict=True))
+        passed = [e for e in held if _due(e[0]) <= passed_by]
         if passed:
             fold = HostFold(self.rules)
             if self.state.exists():
@@ -98,8 +108,9 @@ class Politeness(StatefulProcessor):
             rest = held[len(passed) :]
             self.pending.clear()
             if rest:
-                self.pending.put(rest)
-        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in OUT.split(", ")])
+                self.pending.put([tuple(map(list, zip(*rest, strict=True)))])
+                self.handle.registerTimer(_due(rest[0][0]))
+            yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in OUT.split(", ")])
 
     def close(self) -> None:
         pass
