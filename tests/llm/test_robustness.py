@@ -484,3 +484,41 @@ def test_stages_of_odd_tables(spark, tmp_path):
         assert {(r["l_key"], r["f_host"], r["__key"], r["kept"], r["component"], r["id"]) for r in found} == {(1, "a", "b", "c", "d", "e")}
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert P.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows)
+
+
+def test_url_models_count_every_labelled_url_wherever_it_lies(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from webframe.llm import url_filter as U
+
+    ruled = spark.range(60_000).select(
+        F.concat(F.lit("h"), F.col("id") % 997, F.when(F.col("id") % 3 == 0, ".net").otherwise(".org")).alias("host"), F.concat(F.lit("/fr/"), F.col("id") % 50_500).alias("path"),
+        F.when(F.col("id") % 3 == 0, "block").otherwise("allow").alias("rule_verdict"),
+    )
+    ruled = ruled.unionByName(ruled.limit(500)).unionByName(spark.range(3).select(F.lit("x").alias("host"), F.lit("").alias("path"), F.lit(None).cast("string").alias("rule_verdict")))
+    urls = ruled.filter("rule_verdict IS NOT NULL").select("rule_verdict", F.concat("host", "path").alias("u")).distinct()
+    rows = urls.select("rule_verdict", "u", (F.pmod(F.xxhash64("u"), F.lit(U.HELD)) == 0).alias("held")).collect()
+    ratio = U.train(ruled)
+    for says, model in (("allow", ratio.accepted), ("block", ratio.rejected)):
+        want = U.Model.fit([r["u"].encode() for r in rows if r["rule_verdict"] == says and not r["held"]])
+        assert np.array_equal(model.seen, want.seen) and np.array_equal(model.total, want.total)
+    again = U.train(ruled.repartition(7))
+    assert (again.threshold, again.balance) == (ratio.threshold, ratio.balance) and np.array_equal(again.accepted.seen, ratio.accepted.seen)
+
+
+def test_url_threshold_is_the_best_of_all_cuts(spark):
+    from webframe.llm import url_filter as U
+
+    rng = random.Random(4)
+    for parts in ("1", "5"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        counts = {rng.choice([-1, 1]) * k / 64: (rng.randrange(4), rng.randrange(1, 4)) for k in range(200)}
+        scores = sorted(counts)
+        goods, bads = (sum(x[k] for x in counts.values()) for k in (0, 1))
+        cut_at = lambda k: (1 - sum(counts[s][0] for s in scores[:k]) / goods) + sum(counts[s][1] for s in scores[:k]) / bads
+        k = max(range(len(scores)), key=lambda k: (round(cut_at(k), 12), -k))
+        threshold, balance = U.calibrated(spark.createDataFrame([(s, *counts[s]) for s in scores], "score double, good long, bad long"))
+        assert threshold == (scores[max(0, k - 1)] + scores[k]) / 2 and abs(balance - cut_at(k) / 2) < 1e-12
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert U.calibrated(spark.createDataFrame([(1.0, 3, 0)], "score double, good long, bad long")) == (0.0, None)
