@@ -147,3 +147,16 @@ def test_frontier_in_a_sql_store(spark, tmp_path):
     back = seeds.load_frontier_jdbc(spark, url, driver=driver)
     assert back.columns == frontier.COLUMNS
     assert sorted((r["seq"], r["url"], r["status"], r["level"], r["filename"]) for r in back.collect()) == [(0, "http://a/", "todo", 0, None), (1, "http://b/ü", "todo", 0, None)]
+
+
+def test_bodies_go_to_python_by_the_hundred(spark):
+    import gzip
+
+    from pyspark.sql import functions as F
+
+    from webframe.functions import text as X
+
+    rows = [(k, gzip.compress(b"x" * k) if k % 3 else None if k % 2 else b"\x1f\x8bbad") for k in range(250)]
+    frame = spark.createDataFrame(rows, "k int, b binary").select("k", X.gunzip(F.col("b")).alias("b"))
+    assert "ArrowEvalPython" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert {r["k"]: r["b"] and bytes(r["b"]) for r in frame.collect()} == {k: b"x" * k if k % 3 else None for k, _ in rows}
