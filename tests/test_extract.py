@@ -91,3 +91,14 @@ def test_any_text_is_a_page():
     links = [x[3] for x in E.document_links(page, "http://h/")]
     assert {"http://h/b/one", "http://h/b/three", "http://h/b/i.png"} <= set(links)
     assert [x[3] for x in E.document_links("<![foo[<a href=a></a><![ x><a href=b>", "http://h/")] == ["http://h/b"]
+
+
+def test_pages_become_objects_by_few(spark):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["k"])
+    parts = list(E._few(iter([batch, batch.slice(0, 0), batch.slice(0, 1)])))
+    assert max(p.num_rows for p in parts) <= E.PAGES and [k for p in parts for k in p.column(0).to_pylist()] == [*range(1000), 0]
+    pages = spark.createDataFrame([(k, "http://a.example/", f"<a href=p{k}>x</a><a href=q{k}>x</a>" if k % 3 else None) for k in range(300)], "page_id int, url string, html string").coalesce(1)
+    found = {(r["page_id"], r["link"]) for r in E.html_links(pages).collect()}
+    assert found == {(k, f"http://a.example/{x}{k}") for k in range(300) if k % 3 for x in "pq"}
