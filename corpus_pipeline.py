@@ -33,22 +33,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (Jaccard similarity of 5-word shingles 0.8 or more) the row with the smallest id stays, of
     several with this id the one with the least hashes of its shingles and of all its columns; rows without an id can't be
-    told apart by it and stay. Only ids and hashes are dealt by group; texts meet the groups of two rows or more where they
-    are, if these are few enough to be sent."""
-    key, group, mark, least, same = (free_name(docs, x) for x in ("key", "group", "mark", "least", "same"))
-    found = near_copies.groups(docs.filter(F.col("doc_id").isNotNull()), names=(key, group))
-    whole = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
-    found = found.withColumn(mark, F.struct(F.col("doc_id").alias("i"), F.col(key).alias("k"), whole.alias("h")))
-    counted = found.groupBy(group, mark).agg(F.count("*").alias("n"))
-    groups = counted.groupBy(group).agg(F.min(mark).alias(least), F.min_by("n", mark).alias(same), F.sum("n").alias("n"))
-    several = cut(groups.filter("n > 1").drop("n"))
-    side = F.broadcast(several) if several.count() <= near_copies.SENT_KEYS else several
-    kept = found.join(side, group, "left").filter(F.col(least).isNull() | (F.col(mark) == F.col(least)))
+    told apart by it and stay. Only ids and hashes are dealt by group; rows that go are met by texts where these are, if they
+    are few enough to be sent. Texts go to Python to be grouped alone."""
+    i, h, t = (free_name(docs, x) for x in ("i", "h", "t"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    out = kept.filter(F.coalesce(same, F.lit(1)) == 1).select(*columns)
-    if several.filter(F.col(same) > 1).limit(1).count():  # rows that are equal in all columns
-        out = out.unionByName(kept.filter(F.col(same) > 1).dropDuplicates([group]).select(*columns))
-    return out.unionByName(docs.filter(F.col("doc_id").isNull()))
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    named = docs.filter(F.col("doc_id").isNotNull())
+    found = near_copies.texts_of_groups(named)
+    rows = named.select(F.col("doc_id").alias(i), F.xxhash64("text").alias(t), whole.alias(h))
+    met = rows.join(near_copies.sent(found), F.col(t) == F.col("text_hash")).select("group", F.struct(F.col(i).alias("i"), F.col("key").alias("k"), F.col(h).alias("h")).alias("mark"))
+    counted = cut(met.groupBy("group", "mark").agg(F.count("*").alias("n")))
+    several = counted.groupBy("group").agg(F.min("mark").alias("least"), F.sum("n").alias("rows")).filter("rows > 1").drop("rows")
+    # of equal rows all go, and one comes back
+    again = (F.col("mark") == F.col("least")) & (F.col("n") > 1)
+    gone = cut(counted.join(several, "group").filter((F.col("mark") != F.col("least")) | again).select(F.col("mark.i").alias(i), F.col("mark.h").alias(h), again.alias(t)))
+    marked = docs.withColumn(h, whole)
+    same = lambda x: (F.col("doc_id") == x[i]) & (marked[h] == x[h])
+    out = marked.join(near_copies.sent(gone), same(gone), "left_anti").select(*columns)
+    back = gone.filter(F.col(t))
+    if back.limit(1).count():
+        back = cut(back)
+        out = out.unionByName(marked.join(near_copies.sent(back), same(back), "left_semi").dropDuplicates(["doc_id", h]).select(*columns))
+    return out
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -233,3 +233,18 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         found = stage(spark, found, str(tmp_path)).checkpoint()
     assert sorted(map(tuple, found.collect())) == sorted((i, t, "en", "h", n) for i, t, n in want)
     assert planted and sum(i == 5 for i, *_ in want) == 2
+
+
+def test_near_copies_send_few_texts_to_python(spark):
+    import corpus_pipeline as P
+
+    from webframe.llm import near_copies
+    from webframe.session import batches_of
+
+    count = lambda batches: (b.select([]).from_pydict({"n": [b.num_rows]}) for b in batches)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with batches_of(spark, 7):
+        assert max(r["n"] for r in spark.range(100).mapInArrow(count, "n long").collect()) == 7
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before and near_copies.ROWS <= 1_000
+    docs = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in near_rows()], DOCS)
+    assert "InArrow" not in P.near_dedup(spark, docs, "")._jdf.queryExecution().executedPlan().toString()

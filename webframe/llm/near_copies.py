@@ -29,10 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from webframe.llm.components import components, joined
-from webframe.session import cut, tidy
+from webframe.session import batches_of, cut, tidy
 
 WIDTH = 5
 #: least similarity, as a fraction
@@ -41,6 +40,8 @@ OVER, UNDER = 4, 5
 SAMPLE_TEXTS, COMMON, SENT_COMMON = 5_000, 3, 1_000_000
 SENT_KEYS = 200_000
 CHUNK = 1_000
+#: rows that a worker gets at once
+ROWS = 1_000
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -327,39 +328,54 @@ def _verified(docs: DataFrame, text_col: str, pairs: DataFrame, distinct: DataFr
     return met.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
-def groups(docs: DataFrame, text_col: str = "text", names: tuple[str, str] = ("__key", "__group")) -> DataFrame:
-    """The rows of ``docs`` with a key of the text's shingle set, and the group of its near copies, under two names that
-    ``docs`` doesn't have."""
+def texts_of_groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(text_hash, key, group) of each text by its xxhash64: a key of its shingle set, and the group of its near copies. Texts
+    go to Python for this by ROWS, and once more for the prefixes; rows find their groups by the hash without Python."""
     spark = docs.sparkSession
-    common = spark.sparkContext.broadcast(_common(docs, text_col))
-    place = docs.columns.index(text_col)
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first: dict[int, tuple[int, np.ndarray]] = {}
-            for i, t in enumerate(batch.column(0).cast(pa.binary()).to_pylist()):
-                found = shingles(t or b"")
-                first.setdefault(key_of(found), (i, found))
-            sets = [s for _, s in first.values()]
-            cols = [pa.array(list(first), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([prefix(s, common.value) for s in sets], pa.list_(pa.int64())), pa.array(lead_of(np.array([len(s) for s in sets], np.int64))), pa.array([parity(s) for s in sets], pa.binary())]
-            hashes = batch.column(1).take(pa.array([i for i, _ in first.values()], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*cols, hashes], names=["key", "n", "prefix", "lead", "bits", "text_hash"])
+            sets = [shingles(t or b"") for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            cols = [pa.array([key_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), batch.column(1)]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "n", "bits", "text_hash"])
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
         for batch in batches:
-            keys = [key_of(shingles(t or b"")) for t in batch.column(place).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, names[0]])
+            fresh = []
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
+                found = shingles(t or b"")
+                key = key_of(found)
+                if key not in known:
+                    known.add(key)
+                    fresh.append((key, found))
+            sets = [s for _, s in fresh]
+            cols = [pa.array([k for k, _ in fresh], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([prefix(s, common.value) for s in sets], pa.list_(pa.int64())), pa.array(lead_of(np.array([len(s) for s in sets], np.int64)))]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "n", "prefix", "lead"])
+            if len(known) > SENT_KEYS:
+                known.clear()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(text_col, F.xxhash64(text_col).alias("text_hash"))
-    marked = texts.mapInArrow(marks, "key long, n long, prefix array<long>, lead long, bits binary, text_hash long")
-    with tidy(spark):
+    with tidy(spark), batches_of(spark, ROWS):
+        common = spark.sparkContext.broadcast(_common(docs, text_col))
         # the prefixes are many times as large as the rest: they go to their lists at once and are not written for later
-        distinct = cut(marked.select("key", "n", "bits", "text_hash").dropDuplicates(["key"]))
-        postings = marked.select("key", "n", "lead", F.posexplode("prefix").alias("at", "s"))
+        each = cut(texts.mapInArrow(marks, "key long, n long, bits binary, text_hash long").dropDuplicates(["text_hash"]))
+        distinct = cut(each.dropDuplicates(["key"]))
+        postings = texts.select(text_col).mapInArrow(prefixes, "key long, n long, prefix array<long>, lead long").select("key", "n", "lead", F.posexplode("prefix").alias("at", "s"))
         lists = cut(_lists(postings.select("s", "n", "key", (F.col("at") < F.col("lead")).cast("long").alias("lead")), parts))
         found = linked(lists, distinct, lambda pairs: _verified(docs, text_col, pairs, distinct))
-    rows = docs.mapInArrow(keyed, StructType([*docs.schema.fields, StructField(names[0], LongType())]))
-    side = F.broadcast(found) if found.count() <= SENT_KEYS else found
-    met = rows.join(side, rows[names[0]] == found["node"], "left")
-    return met.select(*[rows[c] for c in rows.columns], F.coalesce(found["component"], rows[names[0]]).alias(names[1]))
+    return cut(each.join(found, each["key"] == found["node"], "left").select("text_hash", "key", F.coalesce("component", "key").alias("group")))
+
+
+def sent(small: DataFrame) -> DataFrame:
+    """``small``, which is cut, to be sent to the rows that it meets if it is small."""
+    return F.broadcast(small) if small.count() <= SENT_KEYS else small
+
+
+def groups(docs: DataFrame, text_col: str = "text", names: tuple[str, str] = ("__key", "__group")) -> DataFrame:
+    """The rows of ``docs`` with a key of the text's shingle set, and the group of its near copies, under two names that
+    ``docs`` doesn't have."""
+    found = texts_of_groups(docs, text_col)
+    met = docs.join(sent(found), F.xxhash64(docs[text_col]) == found["text_hash"])
+    return met.select(*[docs[c] for c in docs.columns], found["key"].alias(names[0]), found["group"].alias(names[1]))

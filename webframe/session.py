@@ -69,6 +69,21 @@ def tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEAN, before)
 
 
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Queries that are run inside send Python workers so many rows at once. Spark's own 10,000 are 10,000 texts or sets, which
+    the JVM's writer, the worker and what it makes of them hold several times over. For frames that are cut."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
+
+
 #: Estimates from here on are Catalyst's default for frames whose size it doesn't know, not sizes.
 _UNKNOWN_BYTES = 1 << 52
 
