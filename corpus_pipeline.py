@@ -31,7 +31,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (Jaccard similarity of 5-word shingles 0.8 or more) the row with the smallest id stays, of
+    """Of each group of near copies (Jaccard similarity of 5-word shingles 0.8 or more; candidates by SimHash, and what SimHash
+    leaves by exact lists) the row with the smallest id stays, of
     several with this id the one with the least hashes of its shingles and of all its columns; rows without an id can't be
     told apart by it and stay. Only ids and hashes are dealt by group; rows that go are met by texts where these are, if they
     are few enough to be sent. Texts go to Python to be grouped alone."""

@@ -248,3 +248,28 @@ def test_near_copies_send_few_texts_to_python(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before and near_copies.ROWS <= 1_000
     docs = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in near_rows()], DOCS)
     assert "InArrow" not in P.near_dedup(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_simhash_finds_candidates_of_the_pipeline(spark, monkeypatch):
+    """Without the exact lists, what SimHash links and the sets confirm still goes."""
+    import corpus_pipeline as P
+
+    from webframe.llm import near_copies
+
+    none = lambda *a: spark.createDataFrame([], "u long, v long")
+    monkeypatch.setattr(near_copies, "_first_candidates", none)
+    monkeypatch.setattr(near_copies, "_other_candidates", none)
+    rng = random.Random(8)
+    rows = []
+    for k in range(30):
+        text = [f"w{rng.randrange(900)}" for _ in range(300)]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join([*text[:-1], "other"]))]
+    sets = [near_copies.shingles(t.encode()) for _, t in rows]
+    marks = [near_copies.fingerprint(s) & (2**64 - 1) for s in sets]
+    want = {(max(a, b), min(a, b)) for i, a in enumerate(marks) for b in marks[:i] if a != b and (a ^ b).bit_count() <= 2}
+    found = near_copies.simhash_candidates(spark.createDataFrame([(k, m - (m >> 63 << 64)) for k, m in enumerate(marks)], "key long, fp long"), 3).collect()
+    assert want and want <= {(max(marks[r["u"]], marks[r["v"]]), min(marks[r["u"]], marks[r["v"]])) for r in found}
+    assert all((marks[r["u"]] ^ marks[r["v"]]).bit_count() <= 2 for r in found)
+    docs = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in rows], DOCS)
+    stay = {r["doc_id"] for r in P.near_dedup(spark, docs, "").collect()}
+    assert stay == {i for i, _ in rows} - {2 * k + 1 for k in range(30) if (marks[2 * k] ^ marks[2 * k + 1]).bit_count() <= 2} and len(stay) < 55

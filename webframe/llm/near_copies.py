@@ -1,7 +1,11 @@
-"""Near copies by exact Jaccard similarity of word shingles, found through a prefix index.
+"""Near copies by SimHash and exact Jaccard similarity of word shingles.
 
-SimHash can't serve here: texts of similarity 0.8 differ in about 10 of 64 bits, often in more, and at such a radius two
-fingerprints are certain to share no byte. The sets themselves give a guarantee: put in one order, sets of similarity
+Each set has a SimHash fingerprint, and :mod:`simhash` finds those that are near: byte-position index, tally of shared bytes,
+count filter, verification by bits. Its pairs are candidates that the whole sets confirm.
+
+SimHash alone can't find all: texts of similarity 0.8 differ in about 10 of 64 bits, often in more, and at such a radius two
+fingerprints are certain to share no byte. What it leaves is found through a prefix index. The sets themselves give a
+guarantee: put in one order, sets of similarity
 4/5 or more share one of their first n - ceil(4n/5) + 1 members (the prefix-filter principle), whatever the order is.
 Shingles that a sample of texts shows to be common come last in it, so that few lists are long; the sample decides
 nothing else. Candidates are verified by their whole sets.
@@ -30,7 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webframe.llm import simhash
 from webframe.llm.components import components, joined
+from webframe.llm.words import mix
 from webframe.session import batches_of, cut, tidy
 
 WIDTH = 5
@@ -70,6 +76,11 @@ def key_of(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes()) >> 1
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """The SimHash of a set's members."""
+    return simhash.majority(mix(s.view(np.uint64)).astype(">u8").view(np.uint8))
+
+
 def prefix(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The first members of a sorted set of which one is shared by any set that is similar enough."""
     need = len(s) + (OVER * len(s)) // -UNDER + 1 if len(s) else 0
@@ -185,6 +196,16 @@ def _first_candidates(lists: DataFrame) -> DataFrame:
     return lists.mapInArrow(beside, "u long, v long").distinct()
 
 
+def simhash_candidates(distinct: DataFrame, parts: int) -> DataFrame:
+    """Distinct (u, v), u > v, of keys whose fingerprints SimHash links, from (key, fp). The least key stands for all of its
+    fingerprint, with which each of the others is a pair, so that pairs are linear in the sets."""
+    least = cut(distinct.groupBy("fp").agg(F.min("key").alias("least")).repartition(parts, "fp"))
+    side = lambda x: least.select(F.col("fp").alias(x), F.col("least").alias(f"k{x}"))
+    between = simhash.links(least.select("fp")).join(side("u"), "u").join(side("v"), "v").select("ku", "kv")
+    alike = distinct.select("fp", "key").join(least, "fp").filter(F.col("key") != F.col("least")).select("key", "least")
+    return between.union(alike).select(F.greatest("ku", "kv").alias("u"), F.least("ku", "kv").alias("v")).distinct()
+
+
 def _differing(rows: np.ndarray, row: np.ndarray) -> np.ndarray:
     return _BIT_COUNT[rows ^ row].sum(axis=-1, dtype=np.int64)
 
@@ -285,9 +306,9 @@ def _allowed(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "nu", "bu", "nv", "bv").mapInArrow(run, "u long, v long, far long")
 
 
-def linked(lists: DataFrame, bitmaps: DataFrame, confirm, rounds: int = 0) -> DataFrame:
+def linked(lists: DataFrame, bitmaps: DataFrame, confirm, rounds: int = 0, near: DataFrame | None = None) -> DataFrame:
     """(node, component) of the nodes that have links. ``lists``: s, n, key, lead; ``bitmaps``: key, n, bits; ``confirm`` keeps
-    the pairs (u, v) that are similar enough by their sets.
+    the pairs (u, v) that are similar enough by their sets. ``near``: pairs (u, v), u > v, that are candidates too.
 
     Without ``rounds`` all first candidates are confirmed. With them each node is confirmed with the nearest of these alone,
     and in each round with the nearest of another component: fewer sets travel, but lists are looked through in each. Either
@@ -295,7 +316,8 @@ def linked(lists: DataFrame, bitmaps: DataFrame, confirm, rounds: int = 0) -> Da
     """
     told = lambda: lists.join(found, lists["key"] == found["node"], "left").select("s", "key", "n", "lead", F.coalesce("component", "key").alias("part"))
     with tidy(lists.sparkSession):
-        first = _allowed(_first_candidates(lists), bitmaps)
+        met = _first_candidates(lists)
+        first = _allowed(met if near is None else met.union(near).distinct(), bitmaps)
         tried = cut(first.groupBy("u").agg(F.min_by("v", F.struct("far", "v")).alias("v")) if rounds else first.select("u", "v"))
         found = cut(components(confirm(tried)))
         for salt in range(1, rounds + 1):
@@ -336,8 +358,8 @@ def texts_of_groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t or b"") for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            cols = [pa.array([key_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), batch.column(1)]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "n", "bits", "text_hash"])
+            cols = [pa.array([key_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), pa.array([fingerprint(s) for s in sets], pa.int64()), batch.column(1)]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "n", "bits", "fp", "text_hash"])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
@@ -360,11 +382,12 @@ def texts_of_groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
     with tidy(spark), batches_of(spark, ROWS):
         common = spark.sparkContext.broadcast(_common(docs, text_col))
         # the prefixes are many times as large as the rest: they go to their lists at once and are not written for later
-        each = cut(texts.mapInArrow(marks, "key long, n long, bits binary, text_hash long").dropDuplicates(["text_hash"]))
+        each = cut(texts.mapInArrow(marks, "key long, n long, bits binary, fp long, text_hash long").dropDuplicates(["text_hash"]))
         distinct = cut(each.dropDuplicates(["key"]))
         postings = texts.select(text_col).mapInArrow(prefixes, "key long, n long, prefix array<long>, lead long").select("key", "n", "lead", F.posexplode("prefix").alias("at", "s"))
         lists = cut(_lists(postings.select("s", "n", "key", (F.col("at") < F.col("lead")).cast("long").alias("lead")), parts))
-        found = linked(lists, distinct, lambda pairs: _verified(docs, text_col, pairs, distinct))
+        near = cut(simhash_candidates(distinct.select("key", "fp"), parts))
+        found = linked(lists, distinct, lambda pairs: _verified(docs, text_col, pairs, distinct), near=near)
     return cut(each.join(found, each["key"] == found["node"], "left").select("text_hash", "key", F.coalesce("component", "key").alias("group")))
 
 

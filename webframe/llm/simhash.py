@@ -48,8 +48,12 @@ def fingerprint(text: bytes, width: int = WIDTH) -> int:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
     digest = xxhash.xxh64_digest
-    h = b"".join([digest(s, SEED) for s in shingles])
-    bits = np.unpackbits(np.frombuffer(h, np.uint8).reshape(-1, 8), axis=1)
+    return majority(np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), np.uint8))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes (8 bytes each, the highest first) have, as a signed integer."""
+    bits = np.unpackbits(hashes.reshape(-1, 8), axis=1)
     ones = bits.sum(axis=0, dtype=np.int64) * 2 > len(bits)
     return int.from_bytes(np.packbits(ones).tobytes(), "big", signed=True)
 
@@ -171,13 +175,18 @@ def postings(distinct: DataFrame) -> DataFrame:
     return gather(short, F.collect_list).unionByName(gather(long, F.collect_set))
 
 
+def links(distinct: DataFrame) -> DataFrame:
+    """Edges (u, v), u > v, between distinct fingerprints (fp): index, tally, count filter and verification by bits."""
+    return postings(distinct).mapInArrow(_links, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """id, fingerprint (16 hex digits) and component_id (the smallest id reachable) of every row."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     marks = cut(fingerprints(docs, id_col, text_col, width))
     # dealt again by number, as few bytes would else be merged into few tasks, and the index is many times as large
     distinct = cut(marks.groupBy("fp").agg(F.min("id").alias("least")).repartition(parts, "fp"))
-    found = cut(components(postings(distinct).mapInArrow(_links, "u long, v long")))
+    found = cut(components(links(distinct)))
     met = distinct.join(found, distinct["fp"] == found["node"])
     smallest = met.groupBy("component").agg(F.min("least").alias("smallest"))
     linked = found.join(smallest, "component").select("node", "smallest")
