@@ -273,3 +273,78 @@ def test_simhash_finds_candidates_of_the_pipeline(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in rows], DOCS)
     stay = {r["doc_id"] for r in P.near_dedup(spark, docs, "").collect()}
     assert stay == {i for i, _ in rows} - {2 * k + 1 for k in range(30) if (marks[2 * k] ^ marks[2 * k + 1]).bit_count() <= 2} and len(stay) < 55
+
+
+class Captured:
+    """A frame of two columns that hands over the function which Python workers run on its batches."""
+
+    columns = ["doc_id", "text"]
+    dtypes = [("doc_id", "bigint"), ("text", "string")]
+    schema = None
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        self.run = run
+        return self
+
+
+def peak_mb(run, batch):
+    """Rows out, and the peak of what Python and numpy allocate meanwhile."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in run(iter([batch])))
+        return rows, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def large_batch(rows=8_000, words=400):
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    known = [f"word{i}" for i in range(5_000)]
+    texts = [None if i % 1000 == 7 else " ".join(rng.choices(known, k=words)) for i in range(rows)]
+    return pa.RecordBatch.from_arrays([pa.array(range(rows), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+
+def test_workers_hold_no_whole_batch_as_objects(spark):
+    """Arrow's batches have up to 10,000 texts: of 27 MB here, as objects and in copies several times that."""
+    from webframe.llm import decontamination, pieces
+    from webframe.llm.queries import tokenizer_model
+
+    batch = large_batch()
+    assert batch.nbytes > 25e6
+    encoded = Captured(spark)
+    pieces.encode(encoded, tokenizer_model(), keep="ids")
+    list(encoded.run(iter([batch.slice(0, 1)])))  # the model is loaded
+    rows, mb = peak_mb(encoded.run, batch)
+    assert rows == batch.num_rows and mb < 22, mb
+    cleaned = Captured(spark)
+    text = batch.column(1)[4_321].as_py()
+    decontamination.clean(cleaned, spark.createDataFrame([(1, text[100:400])], "item_id int, text string"))
+    list(cleaned.run(iter([batch.slice(0, 1)])))
+    rows, mb = peak_mb(cleaned.run, batch)
+    assert rows == batch.num_rows - 1 and mb < 32, mb
+
+
+def test_hashes_of_windows_need_no_tables_of_all_words():
+    import numpy as np
+
+    from webframe.llm import words
+
+    words._powers.clear()
+    x = np.random.default_rng(3).integers(0, 2**64, 300_000, dtype=np.uint64)
+    for width in (7, 13):
+        one, two = words.rolling(x, width), words.second_rolling(x, width)
+        assert len(one) == len(two) == len(x) - width + 1
+        for at in (0, 65_530, 65_535, 65_536, 200_000, len(x) - width):  # also across the edges of what is hashed at once
+            assert one[at] == words.rolling(x[at : at + width], width)[0]
+            assert two[at] == words.second_rolling(x[at : at + width], width)[0]
+    assert max(len(t) for pair in words._powers.values() for t in pair) < 1 << 17

@@ -37,7 +37,7 @@ Q, WINDOW, STRIDE, MIN_CHARS = 8, 80, 40, 24
 CLOSE_WINDOW, CLOSE_STRIDE = 60, 8
 EDITS = WINDOW // 10
 BLOCK_CHARS = 1 << 20
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 18
 PAD = WINDOW + 6 * EDITS + Q
 _FILTER_BITS = 22
 HITS = 1 << 18
@@ -284,13 +284,14 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
 
 
 def _searched(index: Index, column: pa.Array, once: bool = False) -> Iterator[tuple[int, int, list]]:
-    """(from, to, hits) for runs of values of about PIECE_CHARS characters."""
-    texts, size, at = [normal(t) for t in column.to_pylist()], 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size > PIECE_CHARS or i == len(texts) - 1:
-            yield at, i + 1, index.search(texts[at : i + 1], once)
-            at, size = i + 1, 0
+    """(from, to, hits) for runs of values of about PIECE_CHARS characters; the values of one run alone are objects."""
+    texts, size, at = [], 0, 0
+    for i, value in enumerate(column):
+        texts.append(normal(value.as_py()))
+        size += len(texts[-1])
+        if size > PIECE_CHARS or i == len(column) - 1:
+            yield at, i + 1, index.search(texts, once)
+            texts, size, at = [], 0, i + 1
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -324,10 +325,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for at, _, rows in _searched(index.value, batch.column(place), once=True):
-                    keep[[at + r[0] for r in rows]] = False
-                yield batch.filter(pa.array(keep))
+                for at, to, rows in _searched(index.value, batch.column(place), once=True):
+                    keep = np.ones(to - at, bool)
+                    keep[[r[0] for r in rows]] = False
+                    yield batch.slice(at, to - at).filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -21,11 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁".encode()
-PIECE_BYTES = 1 << 20
+#: bytes of texts that a worker has as objects, with their ids, at once
+PIECE_BYTES = 1 << 18
 _loaded: dict[str, Encoder] = {}
 
 
@@ -170,10 +172,10 @@ def encoder(model: bytes) -> Encoder:
     return _loaded[key]
 
 
-def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
     at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        size += n or 0
         if size > PIECE_BYTES:
             yield at, i + 1
             at, size = i + 1, 0
@@ -195,9 +197,9 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model)
         for batch in batches:
-            raw = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for a, b in _groups(raw):
-                texts = [t.decode("utf-8", "replace") for t in raw[a:b]]
+            raw = batch.column(1).cast(pa.binary())
+            for a, b in _groups(raw):  # a batch may be a whole partition, of which Arrow's buffers are the only copy
+                texts = [(t or b"").decode("utf-8", "replace") for t in raw.slice(a, b - a).to_pylist()]
                 all_ids = e.encode(texts)
                 decoded = e.library.decode(all_ids)
                 rows: list[list] = [[] for _ in names[1:]]

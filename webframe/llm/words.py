@@ -14,6 +14,8 @@ import xxhash
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
 _OTHER = np.uint64(0xA0761D6478BD642F)
 LONG = 256
+#: windows that are hashed at once
+CHUNK = 1 << 16
 #: the first k of 8 bytes
 _HEAD = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _SPACE = np.zeros(256, bool)
@@ -117,22 +119,24 @@ def tokenise(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(one), np.concatenate(two), np.concatenate([[0], np.cumsum(count)])
 
 
+def _rolled(words: np.ndarray, width: int, base: np.uint64, out: np.ndarray) -> np.ndarray:
+    """``out`` with the highest bits of the windows' hashes. They don't depend on where a window stands, so that CHUNK windows
+    at once have the hashes that all would have, with tables and steps between of this size alone."""
+    shift = np.uint64(64 - 8 * out.itemsize)
+    for a in range(0, len(out), CHUNK):
+        starts = np.arange(min(CHUNK, len(out) - a))
+        out[a : a + CHUNK] = mix(_span_hash(words[a : a + CHUNK + width - 1], base, starts, starts + width)) >> shift
+    return out
+
+
 def rolling(words: np.ndarray, width: int) -> np.ndarray:
     """The hash of ``words[i : i + width]`` for every i; windows may cross values, see :func:`inside`."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    starts = np.arange(n)
-    return mix(_span_hash(words, _STEP, starts, starts + width))
+    return _rolled(words, width, _STEP, np.empty(max(0, len(words) - width + 1), np.uint64))
 
 
 def second_rolling(others: np.ndarray, width: int) -> np.ndarray:
     """32 bits of a second hash of the same windows, from the words' other hashes and by another base."""
-    n = len(others) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint32)
-    starts = np.arange(n)
-    return (mix(_span_hash(others, _BASE, starts, starts + width)) >> np.uint64(32)).astype(np.uint32)
+    return _rolled(others, width, _BASE, np.empty(max(0, len(others) - width + 1), np.uint32))
 
 
 def owner(offsets: np.ndarray) -> np.ndarray:
